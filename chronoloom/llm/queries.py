@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.common import load
 from chronoloom.llm.components import groups_by_shared_value
+from chronoloom.llm.encode import encode_corpus
 from chronoloom.llm.skeleton import same_look_pairs
 
 
@@ -40,5 +41,14 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_look_pairs(load(spark, sf_dir, "documents"), id="doc_id", text="text")
 
 
-QUERIES = {"p5_found": p5_found, "p9_found": p9_found}
+#: Where the public vocabularies lie; a path all of the driver's own, Spark hands the file on.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, see ``encode_corpus``."""
+    return encode_corpus(load(spark, sf_dir, "documents"), id="doc_id", text="text", vocabulary=VOCABULARY)
+
+
+QUERIES = {"p7_ids": p7_ids, "p5_found": p5_found, "p9_found": p9_found}
 SQL = {"p5_found": P5_SQL}
