@@ -114,11 +114,8 @@ def periods_and_gaps(
     )
     # Stitching: the pieces are disjoint, so lag alone tells whether they touch.
     w = Window.partitionBy(*k).orderBy("s")
-    ends = local.filter(edge).withColumns({"pe": F.lag("e").over(w), "ps": F.lag("shard").over(w)})
-    ends = ends.filter("pe IS NULL OR s > pe").withColumn("last_e", F.lead("pe").over(w))
-    top = local.filter(edge).groupBy(*k).agg(F.max("e").alias("top"))
-    ends = ends.join(top.select(*(F.col(x).alias(f"t_{x}") for x in k), "top"), [F.col(x).eqNullSafe(F.col(f"t_{x}")) for x in k])
-    ends = ends.withColumn("e", F.coalesce("last_e", "top"))
+    ends = local.filter(edge).withColumns({"pe": F.lag("e").over(w), "ps": F.lag("shard").over(w), "top": F.max("e").over(Window.partitionBy(*k))})
+    ends = ends.filter("pe IS NULL OR s > pe").withColumn("e", F.coalesce(F.lead("pe").over(w), F.col("top")))
     outer = ends.select(
         *k,
         F.explode(
