@@ -8,9 +8,26 @@ from pyspark.sql import functions as F
 from chronoloom.common import load
 from chronoloom.llm.components import groups_by_shared_value
 from chronoloom.llm.encode import encode_corpus
+from chronoloom.llm.overlap import cross_split_overlaps, overlap_pairs, overlap_report
 from chronoloom.llm.skeleton import same_look_pairs
 
 
+def _overlaps(spark: SparkSession, sf_dir: str):
+    data = load(spark, sf_dir, "training_data")
+    return cross_split_overlaps(data, id="example_id", text="text", split="split", source="source")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training examples that recur in an evaluation split, see ``cross_split_overlaps``."""
+    pairs = overlap_pairs(*_overlaps(spark, sf_dir))
+    return pairs.select(F.col("a").alias("example_id_a"), F.col("b").alias("example_id_b"))
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlaps counted per evaluation split and source."""
+    return overlap_report(*_overlaps(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of entities tied by shared alias names, see ``groups_by_shared_value``."""
     a = load(spark, sf_dir, "aliases")
@@ -50,5 +67,5 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(load(spark, sf_dir, "documents"), id="doc_id", text="text", vocabulary=VOCABULARY)
 
 
-QUERIES = {"p7_ids": p7_ids, "p5_found": p5_found, "p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p7_ids": p7_ids, "p5_found": p5_found, "p9_found": p9_found}
 SQL = {"p5_found": P5_SQL}
