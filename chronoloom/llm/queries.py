@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronoloom.common import load
 from chronoloom.llm.components import groups_by_shared_value
 from chronoloom.llm.encode import encode_corpus
+from chronoloom.llm.leak import leaked_items
 from chronoloom.llm.overlap import cross_split_overlaps, overlap_pairs, overlap_report
 from chronoloom.llm.skeleton import same_look_pairs
 
@@ -53,6 +54,12 @@ SELECT id AS canonical_id, g AS group_id FROM least
 """
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain passages of evaluation items, see ``leaked_items``."""
+    docs, items = load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items")
+    return leaked_items(docs, items, id="doc_id", text="text", item_id="item_id", item_text="text").select("doc_id", "item_id")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose texts differ but look the same, see ``same_look_pairs``."""
     return same_look_pairs(load(spark, sf_dir, "documents"), id="doc_id", text="text")
@@ -67,5 +74,5 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(load(spark, sf_dir, "documents"), id="doc_id", text="text", vocabulary=VOCABULARY)
 
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p7_ids": p7_ids, "p5_found": p5_found, "p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p7_ids": p7_ids, "p5_found": p5_found, "p8_found": p8_found, "p9_found": p9_found}
 SQL = {"p5_found": P5_SQL}
