@@ -9,6 +9,7 @@ from chronoloom.common import load
 from chronoloom.llm.components import groups_by_shared_value
 from chronoloom.llm.encode import encode_corpus
 from chronoloom.llm.leak import leaked_items
+from chronoloom.llm.names import identity_pairs, name_identities
 from chronoloom.llm.overlap import cross_split_overlaps, overlap_pairs, overlap_report
 from chronoloom.llm.skeleton import same_look_pairs
 
@@ -29,6 +30,23 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_report(*_overlaps(spark, sf_dir))
 
 
+def _identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_identities(
+        load(spark, sf_dir, "entities"), load(spark, sf_dir, "aliases"),
+        entity_id="id", entity_name="name", entity_type="entity_type", alias_id="alias_id", canonical_id="canonical_id", alias_name="alias_name",
+    )
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that name the same person or organisation, see ``name_identities``."""
+    return identity_pairs(_identities(spark, sf_dir))
+
+
+def p4_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each record with the identity it names."""
+    return _identities(spark, sf_dir)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of entities tied by shared alias names, see ``groups_by_shared_value``."""
     a = load(spark, sf_dir, "aliases")
@@ -74,5 +92,5 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(load(spark, sf_dir, "documents"), id="doc_id", text="text", vocabulary=VOCABULARY)
 
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p7_ids": p7_ids, "p5_found": p5_found, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p4_found": p4_found, "p4_identities": p4_identities, "p2_found": p2_found, "p2_report": p2_report, "p7_ids": p7_ids, "p5_found": p5_found, "p8_found": p8_found, "p9_found": p9_found}
 SQL = {"p5_found": P5_SQL}
