@@ -11,6 +11,7 @@ from chronoloom.llm.encode import encode_corpus
 from chronoloom.llm.leak import leaked_items
 from chronoloom.llm.names import identity_pairs, name_identities
 from chronoloom.llm.overlap import cross_split_overlaps, overlap_pairs, overlap_report
+from chronoloom.llm.pii import found_texts, gazetteer, personal_spans, redacted
 from chronoloom.llm.skeleton import same_look_pairs
 
 
@@ -30,6 +31,22 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_report(*_overlaps(spark, sf_dir))
 
 
+def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = gazetteer(load(spark, sf_dir, "entities"), name="name", kind="entity_type")
+    return personal_spans(load(spark, sf_dir, "episodes"), id="id", text="content", names=names)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in the episodes, see ``personal_spans``."""
+    found = found_texts(_personal(spark, sf_dir), id="id", text="content")
+    return found.select(F.col("id").alias("episode_id"), "kind", "found_text")
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The episodes with typed placeholders in place of personal data."""
+    return redacted(_personal(spark, sf_dir), id="id", text="content")
+
+
 def _identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_identities(
         load(spark, sf_dir, "entities"), load(spark, sf_dir, "aliases"),
@@ -92,5 +109,5 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(load(spark, sf_dir, "documents"), id="doc_id", text="text", vocabulary=VOCABULARY)
 
 
-QUERIES = {"p4_found": p4_found, "p4_identities": p4_identities, "p2_found": p2_found, "p2_report": p2_report, "p7_ids": p7_ids, "p5_found": p5_found, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_identities": p4_identities, "p2_found": p2_found, "p2_report": p2_report, "p7_ids": p7_ids, "p5_found": p5_found, "p8_found": p8_found, "p9_found": p9_found}
 SQL = {"p5_found": P5_SQL}
