@@ -44,7 +44,7 @@ ADDRESS = {
     "en": rf"(?:(?:Flat|Apt|Apartment|Unit|Suite|Floor|Room)\s\w{{1,5}},\s)?\d{{1,5}}[a-zA-Z]?\s(?:(?:\d{{1,3}}(?:st|nd|rd|th)|[A-Z][\w'’]*(?:-[A-Z]\w+)*)\s){{1,4}}?(?:{EN_TYPES})(?!\s(?:[A-Z]\w+\s)?{EN_TYPES}){SUITE}",
     "de": r"(?:(?:Alte[rs]?|Neue[rs]?|Am|An\sder|Im|Zum|Zur|Große|Kleine|Obere|Untere|Hintere|Lange)\s)?[A-ZÄÖÜ][\wäöüß]*(?:-[A-ZÄÖÜ]?[\wäöüß]+)*(?:(?<=\w)(?:straße|strasse|str\.|weg|allee|gasse|platz|ring|damm|ufer|hof|steig|chaussee)|-(?:Straße|Str\.|Weg|Allee|Gasse|Platz|Ring|Damm|Ufer))\s\d{1,4}(?:\s?[a-h](?!\w))?(?:,\s(?:\d\.\s?(?:OG|Stock|Etage)|Whg\.?\s\w+|EG))?",
     "es": r"(?:Calle|C/|C\.|Avda\.?|Av\.|Avenida|Paseo|P\.º|Plaza|Pza\.|Camino|Ronda|Carrer|Travesía|Glorieta)\s(?:(?:de|del|la|las|los|el|y)\s){0,3}[A-ZÁÉÍÓÚÑ][\wáéíóúñü]*(?:\s(?:(?:de|del|la|las|los)\s){0,2}[A-ZÁÉÍÓÚÑ][\wáéíóúñü]*){0,3},?\s(?:n\.?º\s?|núm\.\s?)?\d{1,4}(?:\s?[A-Z](?!\w))?(?:,\s(?:bajo|ático|entlo\.?|\d{1,2}\.?\s?[ºª]\s?(?:[A-Z](?!\w)|izq\.?|dcha\.?|izda\.?|centro)?)(?:\s[A-Z](?!\w))?)?",
-    "fr": r"(?:Appt?\.?\s\w{1,4},\s)?\d{1,4}(?:\s(?:bis|ter|quater))?,?\s(?:rue|avenue|av\.|boulevard|bd|place|impasse|chemin|allée|quai|cours|route|square|passage|villa)\s(?:(?:de\sla|de\sl['’]|des|du|de|d['’]|la|le|les)\s?)?[A-ZÀ-Þ][\wà-ÿ'’]*(?:-(?:(?:de|du|des|la|le|les|sur)-)?[A-ZÀ-Þ][\wà-ÿ'’]*){0,4}(?:(?:\s[A-ZÀ-Þ][\wà-ÿ'’-]*){1,2}(?=,\s\d{5}|"))?(?:,\s(?:bât\.?\s\w+|appt?\.?\s\w+|\d{1,2}(?:e|er|ème)\sétage))?",
+    "fr": r"(?:Appt?\.?\s\w{1,4},\s)?\d{1,4}(?:\s(?:bis|ter|quater))?,?\s(?:rue|avenue|av\.|boulevard|bd|place|impasse|chemin|allée|quai|cours|route|square|passage|villa)\s(?:(?:de\sla|de\sl['’]|des|du|de|d['’]|la|le|les)\s?)?[A-ZÀ-Þ][\wà-ÿ'’]*(?:-(?:(?:de|du|des|la|le|les|sur)-)?[A-ZÀ-Þ][\wà-ÿ'’]*){0,4}(?:(?:\s[A-ZÀ-Þ][\wà-ÿ'’-]*){1,2}(?=,\s\d{5}|\x22))?(?:,\s(?:bât\.?\s\w+|appt?\.?\s\w+|\d{1,2}(?:e|er|ème)\sétage))?",
 }
 ADDRESSES = {k: re.compile(r"(?<![\w/#-])" + p.replace(r"[\s-]", "[ \u00a0-]").replace(r"\s", "[ \u00a0]")) for k, p in ADDRESS.items()}
 LOOSE_ADDRESS = re.compile(rf"(?<![\w/#-])(?:{EN_TYPES}\s\d{{1,4}}|\d{{1,4}}\s[A-Z]\w+\s[A-Z]\w+)(?!\w)")
