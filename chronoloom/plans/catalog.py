@@ -1,6 +1,6 @@
 """All registered queries of the core, with the SQL that gives the same rows."""
 
-from chronoloom.plans import problems
+from chronoloom.plans import base, problems, queries, text_queries  # noqa: F401
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**problems.QUERIES, **base.QUERIES}
+SQL = {**problems.SQL, **base.SQL}
