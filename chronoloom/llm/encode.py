@@ -218,7 +218,7 @@ def encode_corpus(df: DataFrame, *, id: str, text: str, vocabulary: str, lexicon
     rank, so the result is exact whatever the lexicon.
     """
     spark: SparkSession = df.sparkSession
-    texts = spread(df.select(F.col(id), F.col(text).alias("x")))
+    texts = spread(df.select(F.col(id).alias("i"), F.col(text).alias("x")))
     words = frequent_words(texts, "x", lexicon_words)
     # Spark serves the two files to every executor, also to ones that start later; they go with the session.
     name = f"lexicon-{uuid.uuid4().hex}"
@@ -233,6 +233,7 @@ def encode_corpus(df: DataFrame, *, id: str, text: str, vocabulary: str, lexicon
         for b in batches:
             offsets, ids = coder.encode(b.column("x").to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=[id, "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("i"), lists], names=["i", "ids"])
 
-    return texts.mapInArrow(run, StructType([texts.schema[id], StructField("ids", ArrayType(IntegerType()))]))
+    out = texts.mapInArrow(run, StructType([texts.schema["i"], StructField("ids", ArrayType(IntegerType()))]))
+    return out.select(F.col("i").alias(id), "ids")

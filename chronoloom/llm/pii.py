@@ -219,12 +219,12 @@ def reliabilities(counts: dict[str, int], rounds: int = 50) -> tuple[float, np.n
     """Dawid and Skene's expectation-maximisation for one kind: the prior and P(vote | class) of each labeler.
 
     ``counts``: how often each pattern of votes occurs. Starts from the
-    majority; one imagined vote of each value for every class keeps labelers
+    majority, with the first labeler (the form, or the gazetteer) counted twice; one imagined vote of each value for every class keeps labelers
     that never met a class at even odds.
     """
     pats = np.array([["n-y".index(c) for c in p] for p in counts])
     n = np.array(list(counts.values()), float)
-    p = 1 / (1 + np.exp(-1.5 * (pats - 1).sum(axis=1)))
+    p = 1 / (1 + np.exp(-1.5 * ((pats - 1).sum(axis=1) + pats[:, 0] - 1)))
     for _ in range(rounds):
         w = np.stack([(1 - p) * n, p * n])
         prior = np.clip((w[1].sum() + 1) / (n.sum() + 2), 0.02, 0.98)
