@@ -75,3 +75,21 @@ def small_side(df: DataFrame, most: int = 20_000) -> DataFrame:
     if len(rows) > most:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def most_frequent(df: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows of the highest counts ``n``, at most ``most``: all that reach a level that so many rows reach.
+
+    The level comes from a histogram of the counts' logarithms, some thousand
+    rows at most, so neither sorting nor a task or the driver with more than
+    ``most`` rows is needed. Rows of one level stay or go together.
+    """
+    level = F.floor(F.log2(F.col(n).cast("double")) * 16).cast("int")
+    sizes = df.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).orderBy(F.desc("level")).collect()
+    least, total = None, 0
+    for r in sizes:
+        total += r.rows
+        if total > most:
+            return df.filter(level >= least) if least is not None else df.limit(0)
+        least = r.level
+    return df

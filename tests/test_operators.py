@@ -180,3 +180,17 @@ def test_dictionary_links_bytes_and_boundaries(spark):
     names = spark.createDataFrame([(10, "Vireo 8"), (11, ""), (12, None), (13, "a+b")], "nid int, name string")
     got = extract.dictionary_links(docs, names, id="id", text="text", name_id="nid", name="name").collect()
     assert {tuple(r) for r in got} == {(1, 10, 7, 14), (5, 13, 0, 3)}
+
+
+def test_most_frequent_is_bounded_and_takes_the_top(spark):
+    from chronoloom.common import most_frequent
+
+    rows = [(f"w{i}", 1 + i // 10) for i in range(1000)]
+    df = spark.createDataFrame(rows, "w string, n bigint")
+    for most in (1000, 300, 50, 5):
+        got = most_frequent(df, "n", most).collect()
+        assert len(got) <= most
+        if got:
+            low = min(r.n for r in got)
+            assert len(got) == sum(n >= low for _, n in rows)
+    assert most_frequent(df.limit(0), "n", 5).count() == 0
