@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from chronoloom.common import spread
+from chronoloom.common import most_frequent, spread, table
 
 #: Fixed value: how byte_bpe_50k cuts a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -192,16 +192,16 @@ class Encoder:
 
 
 def frequent_words(df: DataFrame, text: str, most: int) -> list[bytes]:
-    """The ``most`` most frequent words of the corpus; all texts are counted, with map-side partials."""
-    top = (
+    """The most frequent words of the corpus, at most ``most``; all texts are counted, with map-side partials."""
+    counts = (
         df.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(JVM_WORDS), F.lit(0))).alias("w"))
         .filter(F.length("w") <= LONGEST)
         .groupBy("w")
         .count()
         .filter("count > 1")
-        .orderBy(F.desc("count"), "w")
-        .limit(most)
     )
+    # read twice, once for the level and once for the words
+    top = most_frequent(table(counts, "words"), "count", most)
     return [r.w.encode() for r in top.collect() if 0 < len(r.w.encode()) <= LONGEST]
 
 

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.common import spread, table
+from chronoloom.common import most_frequent, spread, table
 from chronoloom.llm.names import FORMS, SHORT_FORMS, _parts
 from chronoloom.llm.words import folded
 
@@ -250,13 +250,20 @@ def features(votes: str, ctx: int) -> np.ndarray:
     return x
 
 
-def fit_classifier(rows: list[tuple[str, int, float]], steps: int = 400, decay: float = 1e-3) -> np.ndarray:
-    """Logistic regression of the posteriors on votes and the bucket of the word before the span."""
-    x = np.stack([features(v, c) for v, c, _ in rows])
-    y = np.array([p for _, _, p in rows])
+def fit_classifier(rows: list[tuple[str, int, float, int]], steps: int = 400, decay: float = 1e-3) -> np.ndarray:
+    """Logistic regression of the posteriors on votes and the bucket of the word before the span.
+
+    ``rows``: votes, bucket, posterior and how many spans have them. A row
+    counts by the root of its number, so that the most common forms don't drown
+    the rest.
+    """
+    x = np.stack([features(v, c) for v, c, _, _ in rows])
+    y = np.array([p for _, _, p, _ in rows])
+    n = np.sqrt(np.array([k for *_, k in rows], float))
+    n /= n.sum()
     w = np.zeros(x.shape[1])
     for _ in range(steps):
-        w -= 2.0 * (x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(y) + decay * w)
+        w -= 2.0 * (x.T @ (n * (1 / (1 + np.exp(-x @ w)) - y)) + decay * w)
     return w
 
 
@@ -287,7 +294,8 @@ def gazetteer(people: DataFrame, *, name: str, kind: str, most: int = 200_000) -
             ).otherwise(F.array(F.struct(F.expr("w[0]").alias("w"), F.lit(1).alias("g")), F.struct(F.expr("w[size(w) - 1]").alias("w"), F.lit(0).alias("g"))))
         ).alias("x")
     ).groupBy("x.w").agg(F.avg("x.g").alias("g"), F.count("*").alias("n"))
-    pick = lambda cond: frozenset(r.w for r in ends.filter(cond).orderBy(F.desc("n"), "w").limit(most).collect())
+    ends = table(ends, "gazetteer")
+    pick = lambda cond: frozenset(r.w for r in most_frequent(ends.filter(cond), "n", most).select("w").collect())
     given, family = pick("g >= 0.5"), pick("g < 0.5")
     listed = {x for pair in SHORT_FORMS.split("|") for x in pair.split()}
     return frozenset((given - family) | listed), frozenset(family - listed)
@@ -299,7 +307,6 @@ def personal_spans(
     id: str,
     text: str,
     names: tuple[frozenset, frozenset],
-    sample: int = 50_000,
     least: float = 0.5,
 ) -> DataFrame:
     """(``id``, ``text``, ``spans``): each text with its personal data, spans as (kind, start, stop) in code points.
@@ -308,9 +315,9 @@ def personal_spans(
        check digits, words before and after) vote on each or abstain.
     2. The vote patterns of the whole corpus are counted, at most 3^5 a kind,
        and expectation-maximisation estimates how reliable every labeler is.
-    3. A logistic span classifier is trained on the resulting posteriors, on at
-       most ``sample`` spans (the least by a hash of id and place), and applied
-       to all spans.
+    3. A logistic span classifier is trained on the resulting posteriors of all
+       spans, counted by votes and bucket of the word before, and applied to
+       each span.
 
     Overlaps are resolved within a text. One row per distinct (id, text); null,
     empty and blank texts have no spans; texts are scanned whole; an empty
@@ -330,16 +337,17 @@ def personal_spans(
     found = table(rows.mapInPandas(find, f"id {kind}, text string, cands {cand}"), "spans")
     each = found.select("id", F.explode("cands").alias("c")).select("id", "c.*")
     models = {}
-    counts = each.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()
-    taken = each.orderBy(F.xxhash64("id", "s", "e", "kind")).limit(sample).groupBy("kind", "votes", "ctx").count().collect()
+    # at most 5 kinds x 3^5 patterns x BUCKETS rows, whatever the corpus
+    counts = each.groupBy("kind", "votes", "ctx").agg(F.count("*").alias("n")).collect()
     for k in range(len(KINDS)):
-        own = {r.votes: r.n for r in counts if r.kind == k}
+        own = [r for r in counts if r.kind == k]
         if not own:
             continue
-        prior, emit = reliabilities(own)
-        seen = [(r.votes, r.ctx, posterior(r.votes, prior, emit)) for r in taken if r.kind == k for _ in range(min(r["count"], 40))]
-        seen += [(v, c, posterior(v, prior, emit)) for v in own for c in range(0, BUCKETS, 8)]
-        models[k] = fit_classifier(seen)
+        patterns: dict[str, int] = {}
+        for r in own:
+            patterns[r.votes] = patterns.get(r.votes, 0) + r.n
+        prior, emit = reliabilities(patterns)
+        models[k] = fit_classifier(sorted((r.votes, r.ctx, posterior(r.votes, prior, emit), r.n) for r in own))
     weights = spark.sparkContext.broadcast(models)
 
     def keep(batches):
