@@ -19,7 +19,7 @@ FORMS = set(
     "limited ltd plc incorporated inc corporation corp company co gmbh sa ag kg llc llp lp bv nv oy ab as spa srl sarl sas pty pte kk sl "
     "aktiengesellschaft".split()
 )
-FILLERS = {"the", "and", "of", "und", "y", "et", "de", "for"}
+FILLERS = {"the", "and", "of", "und", "et", "de", "for"}
 # Common short forms of given names, short form first.
 SHORT_FORMS = (
     "bill william|will william|billy william|bob robert|rob robert|bobby robert|kathy katherine|kate katherine|katie katherine|"
@@ -79,36 +79,36 @@ def _parts(name: pd.Series) -> pd.DataFrame:
 
 
 def suffix_candidates(words: DataFrame, shortest: int = 4, common: int = 60) -> DataFrame:
-    """Pairs (t, u, t < u) of words that share a suffix of at least ``shortest`` letters, of the word or of its reverse.
-
-    A suffix that more than ``common`` words have isn't dropped at once: it is
-    refined by the first letter and the length of the word, with one letter
-    more or less allowed. Only what stays more common than that is discarded,
-    and never a suffix of all letters but two or fewer; so words that differ
-    in one place only always meet, through the longer of their common ends.
+    """Pairs (t, u, t < u) of words that share a suffix, of the word or of its reverse.
+
+    A suffix has ``shortest`` letters or more, half of a shorter word: so much
+    is left at one end of any word with one letter wrong. A suffix that more
+    than ``common`` words have isn't dropped at once: it is refined by the first
+    letter and the length of the word, with one letter more or less allowed.
+    Only what stays more common than that is discarded. Words with a suffix
+    that was refined also meet by an exact way: by their spellings with one
+    letter left out, which two words with one letter wrong, missing, added or
+    swapped share.
     ``words``: w and n.
     """
-    both = words.select("w", F.explode(F.array(F.struct(F.lit("s").alias("end"), F.col("w").alias("x")), F.struct(F.lit("p").alias("end"), F.reverse("w").alias("x")))).alias("e"))
-    keys = both.select(
+    ends = F.array(F.struct(F.lit("s").alias("end"), F.col("w").alias("x")), F.struct(F.lit("p").alias("end"), F.reverse("w").alias("x")))
+    keys = words.select("w", F.explode(ends).alias("e")).select(
         "w",
         F.length("w").alias("len"),
         "e.end",
-        F.explode(F.expr(f"transform(sequence(greatest(2, least({shortest}, length(w) - 2)), length(w)), k -> right(e.x, k))")).alias("suffix"),
+        F.explode(F.expr(f"transform(sequence(greatest(2, least({shortest}, length(w) div 2)), length(w)), k -> right(e.x, k))")).alias("suffix"),
     )
     size = keys.groupBy("end", "suffix").agg(F.count("*").alias("n"))
-    # a count per refined suffix, too: both from one aggregate's input, none of them collected
     keys = keys.join(size, ["end", "suffix"])
     plain = keys.filter(F.col("n") <= common).select("w", F.concat_ws("|", "end", "suffix").alias("key"))
     fine = keys.filter(F.col("n") > common).select(
-        "w",
-        (F.length("suffix") >= F.col("len") - 2).alias("whole"),
-        F.explode(F.array("len", F.col("len") + 1)).alias("l"),
-        F.concat_ws("|", "end", "suffix", F.substring("w", 1, 1)).alias("key"),
+        "w", F.explode(F.array("len", F.col("len") + 1)).alias("l"), F.concat_ws("|", "end", "suffix", F.substring("w", 1, 1)).alias("key")
     )
     fine = fine.withColumn("key", F.concat_ws("|", "key", "l"))
-    few = fine.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") <= 4 * common).select("key")
-    fine = fine.filter("whole").select("w", "key").unionByName(fine.filter("NOT whole").join(few, "key").select("w", "key"))
-    keyed = plain.unionByName(fine)
+    fine = fine.join(fine.groupBy("key").agg(F.count("*").alias("m")), "key")
+    rest = fine.select("w").distinct()
+    cut = F.expr("array_distinct(array_append(transform(sequence(1, length(w)), i -> concat('d|', left(w, i - 1), substring(w, i + 1))), concat('d|', w)))")
+    keyed = plain.unionByName(fine.filter(F.col("m") <= 4 * common).select("w", "key")).unionByName(rest.select("w", F.explode(cut).alias("key")))
     return (
         keyed.select(F.col("w").alias("t"), "key")
         .join(keyed.select(F.col("w").alias("u"), "key"), "key")
@@ -202,73 +202,69 @@ def name_identities(
     abbreviations and acronyms of the trade agree; trades whose words can't be
     abbreviations of each other are different. Middle initials don't count.
 
-    Records with a null id, or a null or wordless name have no identity and
-    don't appear; repeated rows count once; ties in every choice are broken by
+    Records with a null id, or a null or wordless name, and persons of one word
+    without an initial have no identity and don't appear; repeated rows count once; ties in every choice are broken by
     spelling; empty tables give an empty result; other columns are ignored.
     Work is per distinct name and per distinct word, never per pair of records.
     """
     kind = F.lower(F.trim(F.col(entity_type)))
     e = entities.select(F.col(entity_id).alias("record"), F.col(entity_name).alias("name"), kind.alias("kind"))
     e = e.filter(F.col("kind").isin("person", "organization", "organisation")).withColumn("kind", F.substring("kind", 1, 1))
-    a = aliases.filter(F.col(canonical_id).isNull()).select(F.col(alias_id).alias("record"), F.col(alias_name).alias("name"))
-    records = e.unionByName(a.withColumn("kind", F.lit("?"))).dropna(subset=["record", "name"]).distinct()
+    e = e.dropna(subset=["record", "name"]).distinct()
+    a = aliases.filter(F.col(canonical_id).isNull()).select(F.col(alias_id).alias("record"), F.col(alias_name).alias("name"), F.lit("?").alias("kind"))
+    records = e.unionByName(a.dropna(subset=["record", "name"]).distinct())
     records = table(_with_tokens(spread(records), "name").filter(F.size("words") > 0).drop("name"), "names")
+    # an untyped name is an organisation's if it has a legal form or a word that only typed organisations have
+    typed = records.filter("kind <> '?'").select("kind", F.explode("words").alias("w")).groupBy("w").agg(F.max("kind").alias("hi"), F.min("kind").alias("lo"))
+    org_only = typed.filter("lo = 'o' AND hi = 'o'").select("w")
+    open_ = records.filter("kind = '?'")
+    as_org = open_.select("record", F.explode("words").alias("w")).join(org_only, "w", "left_semi").select("record").distinct().withColumn("o", F.lit(True))
+    open_ = open_.join(as_org, "record", "left").withColumn("kind", F.when(F.col("form") | F.col("o"), "o").otherwise("p")).drop("o")
+    records = table(records.filter("kind <> '?'").unionByName(open_), "kinds")
     # resolved aliases of the same entities teach short forms and count as names, too
-    taught = e.dropna(subset=["record", "name"]).distinct().join(
-        aliases.filter(F.col(canonical_id).isNotNull() & F.col(alias_name).isNotNull()).select(F.col(canonical_id).alias("record"), F.col(alias_name).alias("other")).distinct(),
-        "record",
-    )
-    taught = _with_tokens(_with_tokens(taught, "name").withColumnRenamed("words", "a").drop("form"), "other").drop("form")
+    known = aliases.filter(F.col(canonical_id).isNotNull() & F.col(alias_name).isNotNull()).select(F.col(canonical_id).alias("record"), F.col(alias_name).alias("other")).distinct()
+    taught = _with_tokens(_with_tokens(e.join(known, "record"), "name").withColumnRenamed("words", "a").drop("form"), "other").drop("form")
     taught = table(taught.select("record", "kind", "a", F.col("words").alias("b")), "taught")
 
-    spelt = records.select("words").unionByName(taught.select(F.col("b").alias("words"))).select(F.array_sort(F.array_distinct("words")).alias("words")).distinct()
-    words = table(spelt.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")), "words")
-    fixed = small_side(canonical_words(words), 100_000)
-    # frequency of a word with its misspellings
-    weight = table(words.join(fixed, "w", "left").select(F.coalesce("c", "w").alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n")), "weight")
+    spelt = records.select("kind", "words").unionByName(taught.select("kind", F.col("b").alias("words")))
+    spelt = spelt.select("kind", F.array_sort(F.array_distinct("words")).alias("words")).distinct()
+    words = table(spelt.select("kind", F.explode("words").alias("w")).groupBy("kind", "w").agg(F.count("*").alias("n")), "words")
+    # words of persons and of organisations are told apart: Marian is no typo of Marine
+    fixed = [canonical_words(words.filter(F.col("kind") == k).select("w", "n")).withColumn("kind", F.lit(k)) for k in ("p", "o")]
+    fixed = small_side(fixed[0].unionByName(fixed[1]), 100_000)
 
     def canonical(df: DataFrame, key: list[str], col: str) -> DataFrame:
-        """Replaces the words of an array column; a row has a handful of words, so they are regrouped by key."""
-        out = df.select(*key, F.posexplode(col).alias("at", "w")).join(fixed, "w", "left")
+        """Replaces the words of an array column of persons' names; a row has a handful of words, so they are regrouped by key."""
+        out = df.select(*key, F.lit("p").alias("kind"), F.posexplode(col).alias("at", "w")).join(fixed, ["kind", "w"], "left")
         out = out.select(*key, "at", F.coalesce("c", "w").alias("w"))
         out = out.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("l"))
         return out.select(*key, F.col("l.w").alias(col))
 
     pairs = taught.filter("kind = 'p'").withColumn("key", F.concat_ws("|", "record", F.array_join("b", " ")))
-    known = canonical(pairs.select("key", "a").distinct(), ["key"], "a").join(canonical(pairs.select("key", "b").distinct(), ["key"], "b"), "key")
-    known = known.withColumn("key", F.substring_index("key", "|", 1))
-    seen = learned_short_forms(known)
+    pairs = canonical(pairs.select("key", "a").distinct(), ["key"], "a").join(canonical(pairs.select("key", "b").distinct(), ["key"], "b"), "key")
+    seen = learned_short_forms(pairs.withColumn("key", F.substring_index("key", "|", 1)))
+    weight = words.filter("kind = 'p'").join(fixed, ["kind", "w"], "left").groupBy(F.coalesce("c", "w").alias("w")).agg(F.sum("n").alias("n"))
+    weight = table(weight, "weight")
     ns = lambda x: weight.select(F.col("w").alias(x), F.col("n").alias(f"n_{x}"))
     seen = seen.join(ns("p"), "p").join(ns("q"), "q")
     first = F.struct(F.col("n_p"), F.col("p")) >= F.struct(F.col("n_q"), F.col("q"))
     seen = seen.select(F.when(first, F.col("q")).otherwise(F.col("p")).alias("w"), F.when(first, F.col("p")).otherwise(F.col("q")).alias("formal"), "k")
     listed = [x.split() for x in SHORT_FORMS.split("|")]
-    listed = entities.sparkSession.createDataFrame(listed, "w string, formal string").withColumn("k", F.lit(1))
-    short = seen.unionByName(listed.withColumn("k", F.col("k").cast("bigint")))
-    short = short.groupBy("w").agg(F.max(F.struct("k", "formal")).alias("b")).select("w", F.col("b.formal").alias("formal"))
-    short = small_side(short, 100_000)
-
-    # trade words: in several organisations' names, with the legal forms they are what tells an untyped name's kind
-    org_words = (
-        records.filter("kind = 'o'").select("words").distinct().select(F.posexplode("words").alias("at", "w")).join(fixed, "w", "left")
-        .groupBy(F.coalesce("c", "w").alias("w"))
-        .agg(F.count("*").alias("in_orgs"), F.avg(F.when(F.col("at") == 0, 1.0).otherwise(0.0)).alias("lead"))
-    )
-    person_words = records.filter("kind = 'p'").select(F.explode("words").alias("w")).join(fixed, "w", "left").select(F.coalesce("c", "w").alias("w"), F.lit(1).alias("in_person")).distinct()
-    about = table(weight.join(org_words, "w", "left").join(person_words, "w", "left"), "about")
-
-    per = records.select("record", "kind", "form", F.posexplode("words").alias("at", "raw"))
-    per = per.join(fixed.select(F.col("w").alias("raw"), "c"), "raw", "left").withColumn("w", F.coalesce("c", "raw")).drop("c")
-    per = per.join(about, "w", "left").join(short, "w", "left")
-    per = per.groupBy("record").agg(
-        F.first("kind").alias("kind"),
-        F.first("form").alias("form"),
-        F.array_sort(F.collect_list(F.struct("at", "w", "raw", F.coalesce("lead", F.lit(0.5)).alias("lead"), F.coalesce("formal", "w").alias("g"), (F.coalesce("in_orgs", F.lit(0)) >= 2).alias("trade"), F.col("in_person").isNull().alias("never")))).alias("l"),
-    )
-    is_org = F.expr("kind = 'o' OR (kind = '?' AND (form OR exists(l, x -> x.trade AND x.never)))")
-    per = table(per.withColumn("org", is_org), "kinds")
+    listed = entities.sparkSession.createDataFrame(listed, "w string, formal string").withColumn("k", F.lit(1).cast("bigint"))
+    short = seen.unionByName(listed).groupBy("w").agg(F.max(F.struct("k", "formal")).alias("b")).select("w", F.col("b.formal").alias("formal"))
+    short = small_side(short.withColumn("kind", F.lit("p")), 100_000)
+
+    # how often a word leads the names of organisations that have it
+    lead = records.filter("kind = 'o'").select("words").distinct().select(F.lit("o").alias("kind"), F.posexplode("words").alias("at", "w")).join(fixed, ["kind", "w"], "left")
+    lead = lead.groupBy("kind", F.coalesce("c", "w").alias("w")).agg(F.avg(F.when(F.col("at") == 0, 1.0).otherwise(0.0)).alias("lead"))
 
-    persons = per.filter("NOT org").select(
+    per = records.select("record", "kind", F.posexplode("words").alias("at", "raw"))
+    per = per.join(fixed.select("kind", F.col("w").alias("raw"), "c"), ["kind", "raw"], "left").withColumn("w", F.coalesce("c", "raw")).drop("c")
+    per = per.join(lead, ["kind", "w"], "left").join(short, ["kind", "w"], "left")
+    row = F.struct("at", "w", F.coalesce("lead", F.lit(0.5)).alias("lead"), F.coalesce("formal", "w").alias("g"))
+    per = table(per.groupBy("record", "kind").agg(F.array_sort(F.collect_list(row)).alias("l")), "canonical")
+
+    persons = per.filter("kind = 'p'").select(
         "record",
         F.expr("array_sort(array_distinct(transform(filter(l, x -> length(x.w) > 1), x -> x.g)))").alias("long"),
         F.expr("transform(filter(l, x -> length(x.w) = 1), x -> x.w)").alias("initials"),
@@ -276,19 +272,17 @@ def name_identities(
     full = persons.filter("size(long) >= 2").select("record", "long", F.concat(F.lit("p|"), F.array_join("long", "|")).alias("identity"))
     idents = full.select("identity", "long").distinct()
     other = idents.select("identity", F.explode("long").alias("w"), "long").select("identity", "w", F.explode("long").alias("g")).filter("w <> g")
-    only = (
-        other.groupBy("w", F.substring("g", 1, 1).alias("i"))
-        .agg(F.min("identity").alias("lo"), F.max("identity").alias("hi"))
-    )
+    only = other.groupBy("w", F.substring("g", 1, 1).alias("i")).agg(F.min("identity").alias("lo"), F.max("identity").alias("hi"))
     one = persons.filter("size(long) = 1").select("record", F.get("long", F.lit(0)).alias("w"), F.get("initials", F.lit(0)).alias("i"))
     one = one.join(only, ["w", "i"], "left")
     one = one.withColumn(
         "identity",
-        F.expr("CASE WHEN lo = hi THEN lo WHEN lo IS NOT NULL THEN NULL ELSE concat('p|', w, '|', coalesce(i, '')) END"),
+        # a word alone names nobody in particular; an initial that several fit neither
+        F.expr("CASE WHEN i IS NULL THEN NULL WHEN lo = hi THEN lo WHEN lo IS NOT NULL THEN NULL ELSE concat('p|', w, '|', i) END"),
     )
     persons = full.select("record", "identity").unionByName(one.filter("identity IS NOT NULL").select("record", "identity"))
 
-    orgs = per.filter("org").withColumn("stem", F.expr("array_max(transform(l, x -> named_struct('lead', x.lead, 'at', -x.at, 'w', x.w))).w"))
+    orgs = per.filter("kind = 'o'").withColumn("stem", F.expr("array_max(transform(l, x -> named_struct('lead', x.lead, 'at', -x.at, 'w', x.w))).w"))
     orgs = orgs.withColumn("trade", F.expr("transform(filter(l, x -> x.w <> stem), x -> x.w)"))
     # one word of two or three letters is an acronym of the trade, anything else counts by initials
     acronym = F.expr("CASE WHEN size(trade) = 1 AND length(get(trade, 0)) BETWEEN 2 AND 3 THEN get(trade, 0) ELSE array_join(transform(trade, x -> left(x, 1)), '') END")

@@ -72,3 +72,30 @@ def test_ambiguous_initial_links_nothing(spark):
 def test_empty(spark):
     e, a = spark.createDataFrame([], ENT), spark.createDataFrame([], AL)
     assert identity_pairs(name_identities(e, a, **KW)).count() == 0
+
+
+def test_suffix_candidates_miss_no_single_edit(spark):
+    """Any two words with one letter wrong, missing, added or swapped meet, also through crowded suffixes."""
+    import random
+
+    from chronoloom.llm.names import suffix_candidates
+
+    r = random.Random(6)
+    words = {"".join(r.choice("abc") for _ in range(r.randint(4, 7))) for _ in range(400)}
+    for w in list(words)[:60]:
+        i = r.randrange(len(w))
+        words |= {w[:i] + "x" + w[i + 1 :], w[:i] + w[i + 1 :], w[:i] + "y" + w[i:]}
+    words = sorted(w for w in words if len(w) >= 4)
+
+    def one_edit(a, b):
+        if len(a) == len(b):
+            d = [i for i in range(len(a)) if a[i] != b[i]]
+            return len(d) == 1 or len(d) == 2 and d[1] == d[0] + 1 and a[d[0]] == b[d[1]] and a[d[1]] == b[d[0]]
+        a, b = sorted((a, b), key=len)
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    df = spark.createDataFrame([(w, 1) for w in words], "w string, n bigint")
+    for common in (2, 60):
+        got = {tuple(x) for x in suffix_candidates(df, common=common).collect()}
+        want = {(a, b) for a, b in combinations(words, 2) if one_edit(a, b)}
+        assert want <= got
