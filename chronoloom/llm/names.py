@@ -82,13 +82,13 @@ def suffix_candidates(words: DataFrame, shortest: int = 4, common: int = 60) ->
     """Pairs (t, u, t < u) of words that share a suffix, of the word or of its reverse.
 
     A suffix has ``shortest`` letters or more, half of a shorter word: so much
-    is left at one end of any word with one letter wrong. A suffix that more
+    is left at one end of a word with one letter wrong. A suffix that more
     than ``common`` words have isn't dropped at once: it is refined by the first
     letter and the length of the word, with one letter more or less allowed.
     Only what stays more common than that is discarded. Words with a suffix
-    that was refined also meet by an exact way: by their spellings with one
-    letter left out, which two words with one letter wrong, missing, added or
-    swapped share.
+    that was refined, and words of under ten letters, also meet by an exact
+    way: by their spellings with one letter left out, which two words with one
+    letter wrong, missing, added or swapped share.
     ``words``: w and n.
     """
     ends = F.array(F.struct(F.lit("s").alias("end"), F.col("w").alias("x")), F.struct(F.lit("p").alias("end"), F.reverse("w").alias("x")))
@@ -106,7 +106,7 @@ def suffix_candidates(words: DataFrame, shortest: int = 4, common: int = 60) ->
     )
     fine = fine.withColumn("key", F.concat_ws("|", "key", "l"))
     fine = fine.join(fine.groupBy("key").agg(F.count("*").alias("m")), "key")
-    rest = fine.select("w").distinct()
+    rest = fine.select("w").unionByName(words.filter("length(w) < 10").select("w")).distinct()
     cut = F.expr("array_distinct(array_append(transform(sequence(1, length(w)), i -> concat('d|', left(w, i - 1), substring(w, i + 1))), concat('d|', w)))")
     keyed = plain.unionByName(fine.filter(F.col("m") <= 4 * common).select("w", "key")).unionByName(rest.select("w", F.explode(cut).alias("key")))
     return (
