@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronoloom.common import load
-from chronoloom.functions.columns import archived, decay, flag, memory_class, seconds, soft_live, ttl
+from chronoloom.functions.columns import archived, flag, memory_class, seconds, soft_live, terms, tokens_of
 from chronoloom.operators import dedup, graph, learning, lifecycle, retrieval, search, vectors
-from chronoloom.plans.base import CLASS, DEFAULT_TTL, LIVE, SQL, T, TTL, bm25_sql, decay_sql, flag_sql, now, once, phrase_sql, query, tables, word_sql
+from chronoloom.plans.base import CLASS, DEFAULT_TTL, LIVE, T, TTL, bm25_sql, decay_sql, flag_sql, now, once, phrase_sql, query, tables, word_sql, words_sql
 
 ENT, EDG, EPI = "(SELECT DISTINCT * FROM entities)", "(SELECT DISTINCT * FROM edges)", "(SELECT DISTINCT * FROM episodes)"
 LINKS = "(SELECT DISTINCT episode_id, entity_id FROM episode_entities)"
@@ -491,3 +491,55 @@ SELECT kind, id, tokens::BIGINT AS tokens, round(final, 6) AS score FROM o JOIN
 def retrieve_for_context(spark, sf_dir):
     """The ranked candidates that fit a budget of tokens, taken greedily."""
     return retrieval.context(tables(spark, sf_dir), QUERY, now(), budget=400).withColumn("score", F.round("score", 6))
+
+
+# --- further reports ---
+EDG_DECAY = decay_sql(CLASS, "recorded_at", TTL, "coalesce(usage_count, 0)", "last_recalled_at")
+
+
+@query(f"""WITH s AS (SELECT id, relation, {EDG_DECAY} AS v FROM {EDG} WHERE ttl_seconds > 0)
+SELECT relation, CASE WHEN v > 0.7 THEN 'keep' WHEN v > 0.3 THEN 'update' ELSE 'expire' END AS action, count(*) AS n, round(avg(v), 6) AS mean FROM s WHERE v < 0.5 GROUP BY ALL""")
+def stale_edges(spark, sf_dir):
+    """Stale edges by relation and the action they call for."""
+    got = lifecycle.stale(once(spark, sf_dir, "edges"), now(), created="recorded_at", threshold=0.5)
+    return got.groupBy("relation", "action").agg(F.count("*").alias("n"), F.round(F.avg("strength"), 6).alias("mean"))
+
+
+@query(f"""SELECT source_id, target_id, first(relation ORDER BY coalesce(confidence, 1.0) DESC, recorded_at DESC, id) AS relation, first(id ORDER BY coalesce(confidence, 1.0) DESC, recorded_at DESC, id) AS id FROM {EDG} GROUP BY source_id, target_id""")
+def best_relation(spark, sf_dir):
+    """The surest relation of each pair of entities, the latest of equal ones."""
+    e = once(spark, sf_dir, "edges").select("id", "source_id", "target_id", "relation", "confidence", "recorded_at")
+    order = [-F.coalesce("confidence", F.lit(1.0)), -seconds("recorded_at"), "id"]
+    return learning.best_per(e, ["source_id", "target_id"], order).select("source_id", "target_id", "relation", "id")
+
+
+@query(f"""WITH c AS (SELECT 'entity' AS kind, id, coalesce(summary, name) AS content, {CLASS} AS memory, {TTL} AS ttl FROM {ENT} UNION ALL SELECT 'edge', id, coalesce(fact, relation), {CLASS}, {TTL} FROM {EDG}
+UNION ALL SELECT 'episode', id, content, {CLASS}, {DEFAULT_TTL.format('(' + CLASS + ')')} FROM {EPI})
+SELECT kind, memory, count(*) AS n, sum(strlen(content) // 4)::BIGINT AS tokens, count(ttl) AS with_ttl FROM c GROUP BY ALL""")
+def candidate_costs(spark, sf_dir):
+    """What all memories would cost in tokens, by kind and class."""
+    t = tables(spark, sf_dir)
+    every = retrieval.entity_candidates(t["entities"]).unionByName(retrieval.edge_candidates(t["edges"])).unionByName(retrieval.episode_candidates(t["episodes"]))
+    return every.groupBy("kind", "memory").agg(F.count("*").alias("n"), F.sum(tokens_of("content")).alias("tokens"), F.count("ttl").alias("with_ttl"))
+
+
+@query("""WITH k AS (SELECT lower(alias_name) AS n, min(canonical_id) AS id FROM aliases WHERE canonical_id IS NOT NULL AND alias_name IS NOT NULL GROUP BY 1), e AS (SELECT lower(name) AS n, min(id) AS id FROM entities WHERE name IS NOT NULL GROUP BY 1)
+SELECT a.alias_id, coalesce(k.id, e.id) AS id, CASE WHEN k.id IS NOT NULL THEN 'alias' WHEN e.id IS NOT NULL THEN 'name' ELSE 'none' END AS how FROM aliases a LEFT JOIN k ON k.n = lower(a.alias_name) LEFT JOIN e ON e.n = lower(a.alias_name) WHERE a.canonical_id IS NULL""")
+def find_by_alias(spark, sf_dir):
+    """Unresolved names looked up among aliases, then among entity names, in any letter case."""
+    a, e = load(spark, sf_dir, "aliases"), load(spark, sf_dir, "entities")
+    k = a.filter("canonical_id IS NOT NULL AND alias_name IS NOT NULL").groupBy(F.lower("alias_name").alias("_n")).agg(F.min("canonical_id").alias("by_alias"))
+    n = e.filter("name IS NOT NULL").groupBy(F.lower("name").alias("_n")).agg(F.min("id").alias("by_name"))
+    got = a.filter("canonical_id IS NULL").select("alias_id", F.lower("alias_name").alias("_n")).join(k, "_n", "left").join(n, "_n", "left")
+    how = F.when(F.col("by_alias").isNotNull(), "alias").when(F.col("by_name").isNotNull(), "name").otherwise("none")
+    return got.select("alias_id", F.coalesce("by_alias", "by_name").alias("id"), how.alias("how"))
+
+
+@query(f"""WITH d AS (SELECT id, {words_sql('content')} AS w FROM {EPI}), t AS (SELECT id, unnest(list_distinct(w)) AS term FROM d), n AS (SELECT count(*) AS total FROM d)
+SELECT term, count(*) AS docs, round(ln((total - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM t, n GROUP BY term, total HAVING count(*) >= 20""")
+def term_statistics(spark, sf_dir):
+    """Documents and weight of each term that at least twenty episodes have."""
+    d = once(spark, sf_dir, "episodes").select("id", terms("content").alias("w"))
+    total = d.agg(F.count("*").alias("total"))
+    t = d.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("docs")).filter("docs >= 20")
+    return t.join(F.broadcast(total)).select("term", "docs", F.round(F.log((F.col("total") - F.col("docs") + 0.5) / (F.col("docs") + 0.5)), 6).alias("idf"))
