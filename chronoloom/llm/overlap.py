@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
 from chronoloom.common import spread, table
 from chronoloom.llm.words import WordHashes, folded
@@ -24,7 +24,7 @@ def _normal(batches):
 
 
 def signatures(bands: int, rows: int, shingle: int, seed: int = 7):
-    """A batch function: (k, words) to (k, shingle hashes, band hashes)."""
+    """A batch function: (n, t, e, words) to (n, t, e, shingle hashes, band hashes)."""
     rng = np.random.default_rng(seed)
     mul = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
     add = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
@@ -52,7 +52,7 @@ def signatures(bands: int, rows: int, shingle: int, seed: int = 7):
                 grams.append(g.view(np.int64))
                 sigs.append(h.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column("k"), pa.array(grams, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))], names=["k", "grams", "bands"]
+                [b.column("n"), b.column("t"), b.column("e"), pa.array(grams, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))], names=["n", "t", "e", "grams", "bands"]
             )
 
     return run
@@ -103,21 +103,25 @@ def cross_split_overlaps(
     named = table(picked.mapInArrow(_normal, kept).filter("words <> ''"), "wordings")
     in_train = F.col("split") == train
     texts = named.groupBy("k").agg(F.first("words").alias("words"), F.max(in_train).alias("t"), F.max(~in_train).alias("e"))
-    out = StructType([StructField("k", BinaryType()), StructField("grams", ArrayType(LongType())), StructField("bands", ArrayType(LongType()))])
-    sig = spread(texts.select("k", "words")).mapInArrow(signatures(bands, rows, shingle), out)
-    flags = named.groupBy("k").agg(F.max(in_train).alias("t"), F.max(~in_train).alias("e"))
-    sig = table(sig.join(flags, "k"), "signatures")
-
-    cells = sig.select("k", "t", "e", F.posexplode("bands").alias("band", "h"))
-    left = cells.filter("t").select(F.col("k").alias("k_train"), "band", "h")
-    right = cells.filter("e").select(F.col("k").alias("k_eval"), "band", "h")
-    met = left.join(right, ["band", "h"]).select("k_train", "k_eval").distinct()
-    links = (
-        met.join(sig.select(F.col("k").alias("k_train"), F.col("grams").alias("ga")), "k_train")
-        .join(sig.select(F.col("k").alias("k_eval"), F.col("grams").alias("gb")), "k_eval")
-        .select("k_train", "k_eval", _jaccard("ga", "gb").alias("jaccard"))
+    texts = table(texts.withColumn("n", F.monotonically_increasing_id()), "texts")
+    flags = [StructField("n", LongType()), StructField("t", BooleanType()), StructField("e", BooleanType())]
+    out = StructType([*flags, StructField("grams", ArrayType(LongType())), StructField("bands", ArrayType(LongType()))])
+    sig = table(spread(texts.select("n", "t", "e", "words")).mapInArrow(signatures(bands, rows, shingle), out), "signatures")
+
+    # two longs a bucket row: the wording's number, and the band's number and hash in one
+    cells = sig.select("n", "t", "e", F.posexplode("bands").alias("band", "h")).withColumn("h", F.xxhash64("band", "h"))
+    left = cells.filter("t").select(F.col("n").alias("a"), "h")
+    right = cells.filter("e").select(F.col("n").alias("b"), "h")
+    met = left.join(right, "h").select("a", "b").distinct()
+    sure = (
+        met.join(sig.select(F.col("n").alias("a"), F.col("grams").alias("ga")), "a")
+        .join(sig.select(F.col("n").alias("b"), F.col("grams").alias("gb")), "b")
+        .select("a", "b", _jaccard("ga", "gb").alias("jaccard"))
         .filter(F.col("jaccard") >= threshold)
     )
+    key = texts.select("n", "k")
+    links = sure.join(key.select(F.col("n").alias("a"), F.col("k").alias("k_train")), "a").join(key.select(F.col("n").alias("b"), F.col("k").alias("k_eval")), "b")
+    links = links.select("k_train", "k_eval", "jaccard")
     return links, named.select("id", "split", "source", "k").distinct()
 
 
