@@ -54,7 +54,7 @@ PERSON = re.compile(rf"(?<![\w@.+/-])({TOKEN})(\.?)(,?)[ \u00a0]{{1,2}}(?:([^\W\
 # --- words of context, fixed values ---
 PHONE_WORDS = re.compile(r"(?i)\b(?:phone|tele?(?:fon|phone|fono|léfono)?|teléfono|mobile?|móvil|call|sms|on-call|joignable|rückruf|voicemail|llam\w+|appel\w*|ring|dial|fax|number|numéro|número|nummer|handy|cell|lead|contact|reach\w*|whatsapp|unter)\b")
 ID_WORDS = re.compile(r"(?i)\b(?:ssn|social security|tax id|itin|tin|insurance|ni number|nino|ni num\w*|dni|nie|nif|documento|steuer-?id\w*|idnr|steuernummer|sécurité sociale|nir|insee|sozialversicherung\w*|rentenversicherung\w*|seguridad social|national id|id card|passport|ausweis\w*)\b")
-OTHER_WORDS = re.compile(r"(?i)(?:\b(?:ean|build|serial|part(?: no)?|invoice|ratio|ticket|order|sha|meter|range|sku|isbn|batch|version|issue|pr|rows?|offset|commit|sn|port|pid|trace|tracking|lot|iban|account|counter|revision|release|upgrade|pinned)\b|#)[\s.:=#]*(?:no\.?|number)?[\s.:=#]*[A-Z-]*$")
+OTHER_WORDS = re.compile(r"(?i)(?:\b(?:ean|build|serial|part(?: no)?|invoice|ratio|ticket|order|sha|meter|range|sku|isbn|batch|version|issue|pr|rows?|offset|commit|sn|port|pid|trace|tracking|lot|iban|account|counter|revision|upgrade|pinned)\b|#)[\s.:=#]*(?:no\.?|number)?[\s.:=#]*[A-Z-]*$")
 ADDRESS_WORDS = re.compile(r"(?i)(?:address|adresse|dirección|courier waits at|meetup to|site visit at|lieferung an|spare to|addr\W|street\W|geocoder placed|deliver\w*|ship\w*|lives at|wohnt|domicil\w*|located at|sede|vive en|habite|envío a|livr\w+)")
 BEFORE_NAME = re.compile(r"(?i)(?:\b(?:dr|prof|mr|mrs|ms|miss|sir|herr|frau|señora?|sra?|mme)\b\.?|\bcc|from:|to:|talked to|\bper|laut|d['’]après|según|decision by|reviewed-by:|signed-off-by:|owner[=:]|contact\W{1,5}|notes \(|over to|branch of|--|\bby|\bwith|thanks|hi|hello|dear|von|avec|con|author:?|user:?)\s*$")
 AFTER_NAME = re.compile(r"^(?:['’]s\b|:|\s<|\spidió|\)|\s(?:and|und|y|et) the\b|,|\"|;|\s–|\sist\b|$|\n|\sabout\b|\s[a-z]+ed\b)")
@@ -84,6 +84,11 @@ def _check(form: str, s: str) -> int:
     return 0
 
 
+def _last(pattern: re.Pattern, text: str) -> int:
+    """Where the last match ends, 0 if there is none."""
+    return max((m.end() for m in pattern.finditer(text)), default=0)
+
+
 def _email(text, gaz):
     for m in EMAIL.finditer(text):
         s, word = m[0], " at " in m[0].lower()
@@ -108,8 +113,10 @@ def _phone(text, gaz):
             continue
         d, before = _digits(s), text[max(0, m.start() - 32) : m.start()]
         near = re.split(r"[.;!?\n]\s", before)[-1]
-        caption = ID_WORDS.search(near) or ID_WORDS.search(before[-18:]) or OTHER_WORDS.search(before)
-        called = not caption and PHONE_WORDS.search(near)
+        # of two captions the nearer one holds
+        called = _last(PHONE_WORDS, near)
+        caption = max(_last(ID_WORDS, near), _last(ID_WORDS, before[-18:]) and 1) > called or OTHER_WORDS.search(before) is not None
+        called = called > 0 and not caption
         lead = s.startswith(("+", "00", "0", "(")) or re.fullmatch(NANP, s) is not None
         yield m.start(), m.end(), [
             # digits alone have the form of many numbers
