@@ -19,6 +19,8 @@ def _with_least(ends: DataFrame, total: int) -> DataFrame:
     ``HOT_SHARE`` by their definition, go to the ends by broadcast instead.
     """
     least = ends.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+    if total <= 1000:  # no node can have that many ends
+        return ends.join(least.drop("n"), "u")
     hot = least.filter(F.col("n") > max(total // HOT_SHARE, 1000)).select(F.col("u").alias("h"), F.col("m").alias("hm")).collect()
     if not hot:
         return ends.join(least.drop("n"), "u")
@@ -46,9 +48,8 @@ def components(pairs: DataFrame, *, a: str, b: str, most_rounds: int = 60) -> Da
     ends = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna()
     alone = ends.filter("u = v").select("u").distinct()
     edges = table(ends.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
+    seen, total = None, edges.count()
     for _ in range(most_rounds):
-        total = edges.count()
         # large-star over both directions
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both, 2 * total).filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -63,7 +64,7 @@ def components(pairs: DataFrame, *, a: str, b: str, most_rounds: int = 60) -> Da
         edges = new
         if sign == seen:
             break
-        seen = sign
+        seen, total = sign, sign[0]
     else:
         raise RuntimeError(f"components did not settle within {most_rounds} rounds")
     roots = edges.select(F.col("v").alias("u")).distinct()
