@@ -79,7 +79,7 @@ def _parts(name: pd.Series) -> pd.DataFrame:
 
 
 def suffix_candidates(words: DataFrame, shortest: int = 4, common: int = 60) -> DataFrame:
-    """Pairs (t, u, t < u) of words that share a suffix, of the word or of its reverse.
+    """Pairs (kind, t, u, t < u) of words of one kind that share a suffix, of the word or of its reverse.
 
     A suffix has ``shortest`` letters or more, half of a shorter word: so much
     is left at one end of a word with one letter wrong. A suffix that more
@@ -89,70 +89,77 @@ def suffix_candidates(words: DataFrame, shortest: int = 4, common: int = 60) ->
     that was refined, and words of under ten letters, also meet by an exact
     way: by their spellings with one letter left out, which two words with one
     letter wrong, missing, added or swapped share.
-    ``words``: w and n.
+    ``words``: kind, w and n.
     """
     ends = F.array(F.struct(F.lit("s").alias("end"), F.col("w").alias("x")), F.struct(F.lit("p").alias("end"), F.reverse("w").alias("x")))
-    keys = words.select("w", F.explode(ends).alias("e")).select(
+    keys = words.select("kind", "w", F.explode(ends).alias("e")).select(
+        "kind",
         "w",
         F.length("w").alias("len"),
         "e.end",
         F.explode(F.expr(f"transform(sequence(greatest(2, least({shortest}, length(w) div 2)), length(w)), k -> right(e.x, k))")).alias("suffix"),
     )
-    size = keys.groupBy("end", "suffix").agg(F.count("*").alias("n"))
-    keys = keys.join(size, ["end", "suffix"])
-    plain = keys.filter(F.col("n") <= common).select("w", F.concat_ws("|", "end", "suffix").alias("key"))
+    size = keys.groupBy("kind", "end", "suffix").agg(F.count("*").alias("n"))
+    keys = keys.join(size, ["kind", "end", "suffix"])
+    plain = keys.filter(F.col("n") <= common).select("kind", "w", F.concat_ws("|", "end", "suffix").alias("key"))
     fine = keys.filter(F.col("n") > common).select(
-        "w", F.explode(F.array("len", F.col("len") + 1)).alias("l"), F.concat_ws("|", "end", "suffix", F.substring("w", 1, 1)).alias("key")
+        "kind", "w", F.explode(F.array("len", F.col("len") + 1)).alias("l"), F.concat_ws("|", "end", "suffix", F.substring("w", 1, 1)).alias("key")
     )
     fine = fine.withColumn("key", F.concat_ws("|", "key", "l"))
-    fine = fine.join(fine.groupBy("key").agg(F.count("*").alias("m")), "key")
-    rest = fine.select("w").unionByName(words.filter("length(w) < 10").select("w")).distinct()
+    fine = fine.join(fine.groupBy("kind", "key").agg(F.count("*").alias("m")), ["kind", "key"])
+    rest = fine.select("kind", "w").unionByName(words.filter("length(w) < 10").select("kind", "w")).distinct()
     cut = F.expr("array_distinct(array_append(transform(sequence(1, length(w)), i -> concat('d|', left(w, i - 1), substring(w, i + 1))), concat('d|', w)))")
-    keyed = plain.unionByName(fine.filter(F.col("m") <= 4 * common).select("w", "key")).unionByName(rest.select("w", F.explode(cut).alias("key")))
+    keyed = plain.unionByName(fine.filter(F.col("m") <= 4 * common).select("kind", "w", "key")).unionByName(rest.select("kind", "w", F.explode(cut).alias("key")))
     return (
-        keyed.select(F.col("w").alias("t"), "key")
-        .join(keyed.select(F.col("w").alias("u"), "key"), "key")
+        keyed.select("kind", F.col("w").alias("t"), "key")
+        .join(keyed.select("kind", F.col("w").alias("u"), "key"), ["kind", "key"])
         .filter("t < u AND abs(length(t) - length(u)) <= 3")
-        .select("t", "u")
+        .select("kind", "t", "u")
         .distinct()
     )
 
 
 def canonical_words(words: DataFrame, established: int = 3, dominance: int = 8) -> DataFrame:
-    """(w, c) for words that are a misspelling of another: c is the established spelling.
-
-    ``words``: w and n, the number of different names with it. Two words are
-    near if their LCS ratio is 0.85 or more and they differ in at most three
-    letters, or differ by one letter typed wrong, left out, added or swapped. A
-    word in ``established`` or more names is established, unless a near word is
-    ``dominance`` times as frequent: two established words (Andre and Andrea)
-    are different names however near. Any other word takes its nearest
-    established word; words of six letters or more without one are grouped among themselves.
+    """(kind, w, c) for words that are a misspelling of another of their kind: c is the established spelling.
+
+    ``words``: kind, w and n, the number of different names with it. Two words
+    are near if their LCS ratio is 0.85 or more and they differ in at most
+    three letters, or differ by one letter typed wrong, left out, added or
+    swapped. A word in ``established`` or more names is established, unless a
+    near word is ``dominance`` times as frequent: two established words (Andre
+    and Andrea) are different names however near. Any other word takes its
+    nearest established word; words of six letters or more without one are
+    grouped among themselves.
     """
     usable = words.filter(F.length("w") >= 3)
-    pairs = suffix_candidates(usable.select("w", "n"))
+    pairs = suffix_candidates(usable)
     near = pairs.withColumn("r", lcs_ratio("t", "u")).withColumn("gap", F.round((F.length("t") + F.length("u")) * (1 - F.col("r"))))
     # two letters of LCS distance are one wrong letter; short words allow only that
     near = near.filter(
         "(r >= 0.85 AND gap <= 3) OR (gap <= 2 AND r >= 0.72 AND length(t) >= 4 AND length(u) >= 4) OR (gap <= 1 AND r >= 0.85)"
     )
-    near = table(near.unionByName(near.select(F.col("u").alias("t"), F.col("t").alias("u"), "r", "gap")), "near")
-    n_of = lambda a: usable.select(F.col("w").alias(a), F.col("n").alias(f"n_{a}"))
-    near = near.join(n_of("t"), "t").join(n_of("u"), "u")
-    beaten = near.filter(F.col("n_u") >= dominance * F.col("n_t")).select("t").distinct().withColumn("beaten", F.lit(True))
-    state = usable.select(F.col("w").alias("t"), "n").join(beaten, "t", "left")
-    state = table(state.select("t", ((F.col("n") >= established) & F.col("beaten").isNull()).alias("ok")), "established")
-    near = near.join(state.select("t", F.col("ok").alias("ok_t")), "t").join(state.select(F.col("t").alias("u"), F.col("ok").alias("ok_u")), "u")
-    near = table(near.filter("NOT ok_t"), "misspelt")
+    near = table(near, "near")
+    near = near.unionByName(near.select("kind", F.col("u").alias("t"), F.col("t").alias("u"), "r", "gap"))
+    n_of = lambda a: usable.select("kind", F.col("w").alias(a), F.col("n").alias(f"n_{a}"))
+    near = table(near.join(n_of("t"), ["kind", "t"]).join(n_of("u"), ["kind", "u"]), "near")
+    # how frequent the most frequent near word is decides whether a word is established
+    most = near.groupBy("kind", "t").agg(F.max("n_u").alias("top"))
+    sure = lambda n, top: (F.col(n) >= established) & (F.coalesce(top, F.lit(0)) < dominance * F.col(n))
+    near = near.join(most, ["kind", "t"]).join(most.select("kind", F.col("t").alias("u"), F.col("top").alias("top_u")), ["kind", "u"])
+    near = table(near.filter(~sure("n_t", F.col("top"))).withColumn("ok_u", sure("n_u", F.col("top_u"))), "misspelt")
     best = (
         near.filter("ok_u")
-        .groupBy("t")
+        .groupBy("kind", "t")
         .agg(F.max(F.struct("r", "n_u", "u")).alias("b"))
-        .select(F.col("t").alias("w"), F.col("b.u").alias("c"))
+        .select("kind", F.col("t").alias("w"), F.col("b.u").alias("c"))
     )
-    loose = near.filter("NOT ok_u AND length(t) >= 6 AND length(u) >= 6").join(best.select(F.col("w").alias("t")), "t", "left_anti").join(best.select(F.col("w").alias("u")), "u", "left_anti")
-    alone = components(loose, a="t", b="u").select(F.col("node").alias("w"), F.col("component").alias("c"))
-    return table(best.unionByName(alone.filter("w <> c")), "canonical")
+    done = best.select("kind", F.col("w").alias("t"))
+    loose = near.filter("NOT ok_u AND length(t) >= 6 AND length(u) >= 6 AND t < u").join(done, ["kind", "t"], "left_anti")
+    loose = loose.join(done.withColumnRenamed("t", "u"), ["kind", "u"], "left_anti")
+    # kinds don't mix: the kind is the first letter of the nodes
+    alone = components(loose.select(F.concat("kind", "t").alias("t"), F.concat("kind", "u").alias("u")), a="t", b="u").filter("node <> component")
+    alone = alone.select(F.substring("node", 1, 1).alias("kind"), F.expr("substring(node, 2)").alias("w"), F.expr("substring(component, 2)").alias("c"))
+    return table(best.unionByName(alone), "canonical")
 
 
 def learned_short_forms(known: DataFrame, least: int = 2) -> DataFrame:
@@ -230,8 +237,7 @@ def name_identities(
     spelt = spelt.select("kind", F.array_sort(F.array_distinct("words")).alias("words")).distinct()
     words = table(spelt.select("kind", F.explode("words").alias("w")).groupBy("kind", "w").agg(F.count("*").alias("n")), "words")
     # words of persons and of organisations are told apart: Marian is no typo of Marine
-    fixed = [canonical_words(words.filter(F.col("kind") == k).select("w", "n")).withColumn("kind", F.lit(k)) for k in ("p", "o")]
-    fixed = small_side(fixed[0].unionByName(fixed[1]), 100_000)
+    fixed = small_side(canonical_words(words), 100_000)
 
     def canonical(df: DataFrame, key: list[str], col: str) -> DataFrame:
         """Replaces the words of an array column of persons' names; a row has a handful of words, so they are regrouped by key."""
