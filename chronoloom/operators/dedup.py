@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,25 @@ def jaro_winkler_of(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def _shapes(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths, letters counted in 64 slots, and the first four letters of each name."""
+    letters, heads = np.zeros((len(names), 64), np.int16), np.zeros((len(names), 4), np.int32)
+    for i, x in enumerate(names):
+        codes = np.array([ord(c) for c in x], np.int64)
+        np.add.at(letters[i], codes % 64, 1)
+        heads[i, : min(4, len(codes))] = codes[:4]
+    return np.array([len(x) for x in names]), letters, heads
+
+
+def _possible(name: str, size: np.ndarray, letters: np.ndarray, heads: np.ndarray, least: float) -> np.ndarray:
+    """Which names can reach ``least``: Jaro's matches are at most the letters in common, Winkler's bonus is known from the heads."""
+    (n,), own, head = _shapes([name])
+    common = np.minimum(letters, own[0]).sum(axis=1)
+    prefix = np.cumprod((heads == head[0]) & (head[0] > 0), axis=1).sum(axis=1)
+    jaro = (common / np.maximum(size, 1) + common / max(n, 1) + 1) / 3
+    return (jaro + prefix * 0.1 * (1 - jaro) >= least - 1e-9) & (size > 0) & (n > 0)
+
+
 def normal_name(c: str):
     return F.trim(F.lower(c))
 
@@ -48,35 +68,37 @@ def most_alike(new: DataFrame, known: DataFrame, *, least: float = 0.85, block:
     """(id, match_id, similarity): for each new (id, name, type) the most alike known entity of its type, ties by id.
 
     The new rows are the stated query set: they go out by type in blocks of
-    ``block``, so known rows are never shuffled. Pairs whose lengths rule the
-    threshold out aren't compared: without a common prefix a similarity of s
-    needs a ratio of lengths of 3s - 2, with one of four letters
-    3(s - 0.4) / 0.6 - 2.
+    ``block``, so known rows are never shuffled. Names are compared one by one
+    only where the letters that both have, counted for all new names at once,
+    allow the threshold.
     """
     spark = known.sparkSession
     n = new.select("id", "name", "type").dropna().distinct()
     blocks = max(1, -(-n.count() // block))
     n = n.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     rows = known.select(F.col("id").alias("match_id"), F.col("name").alias("match_name"), "type").dropna().distinct()
-    shortest = max(3 * (least - 0.4) / 0.6 - 2, 0.0)
     out = None
     for b in range(blocks):
         got = n.filter(F.col("_b") == b).select("id", F.lower("name").alias("name"), "type").collect()
         by: dict = {}
         for r in got:
             by.setdefault(r.type, []).append((r.id, r.name))
-        sent = spark.sparkContext.broadcast(by)
+        sent = spark.sparkContext.broadcast({t: (x, *_shapes([name for _, name in x])) for t, x in by.items()})
 
         def run(batches, sent=sent):
             for pdf in batches:
                 best: dict = {}
-                for mid, name, typ in zip(pdf["match_id"], pdf["match_name"].str.lower(), pdf["type"]):
-                    for i, x in sent.value.get(typ, ()):
-                        if min(len(x), len(name)) < shortest * max(len(x), len(name)):
-                            continue
-                        s = jaro_winkler(x, name)
-                        if s >= least and (i not in best or (-s, mid) < (-best[i][1], best[i][0])):
-                            best[i] = (mid, s)
+                for typ, part in pdf.groupby("type", sort=False):
+                    if typ not in sent.value:
+                        continue
+                    new, size, letters, heads = sent.value[typ]
+                    names = part["match_name"].str.lower().tolist()
+                    for mid, name in zip(part["match_id"], names):
+                        for j in np.flatnonzero(_possible(name, size, letters, heads, least)):
+                            i, x = new[j]
+                            s = jaro_winkler(x, name)
+                            if s >= least and (i not in best or (-s, mid) < (-best[i][1], best[i][0])):
+                                best[i] = (mid, s)
                 yield pd.DataFrame([(i, m, s) for i, (m, s) in best.items()], columns=["id", "match_id", "similarity"])
 
         part = rows.mapInPandas(run, "id string, match_id string, similarity double")

@@ -194,3 +194,17 @@ def test_most_frequent_is_bounded_and_takes_the_top(spark):
             low = min(r.n for r in got)
             assert len(got) == sum(n >= low for _, n in rows)
     assert most_frequent(df.limit(0), "n", 5).count() == 0
+
+
+def test_most_alike_skips_only_what_cannot_match(spark):
+    r = random.Random(9)
+    names = ["".join(r.choice("abcdé") for _ in range(r.randint(1, 9))) for _ in range(120)]
+    new = spark.createDataFrame([(f"n{i}", x, "T") for i, x in enumerate(names[:30])], "id string, name string, type string")
+    known = spark.createDataFrame([(f"k{i:03}", x.upper(), "T") for i, x in enumerate(names[20:])] + [("z", None, "T"), ("y", names[0], "U")], "id string, name string, type string")
+    got = {x.id: (x.match_id, round(x.similarity, 12)) for x in dedup.most_alike(new, known).collect()}
+    want = {}
+    for i, a in enumerate(names[:30]):
+        best = max(((round(dedup.jaro_winkler(a, b.upper().lower()), 12), -k) for k, b in enumerate(names[20:])))
+        if best[0] >= 0.85:
+            want[f"n{i}"] = (f"k{-best[1]:03}", best[0])
+    assert got == want
