@@ -29,14 +29,21 @@ def now() -> Column:
     return F.lit(NOW).cast("timestamp")
 
 
-def once(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table with repeated rows taken once. Repeats are equal in all columns, so the key decides."""
-    key = {"episode_entities": ["episode_id", "entity_id"], "aliases": ["alias_id"], "recall_log": ["recall_id"]}
-    return load(spark, sf_dir, name).dropDuplicates(key.get(name, ["id"]))
+def once(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table, its key among them, with repeated rows taken once.
 
+    Repeats are equal in all columns. As all columns are grouping keys, filters
+    on any of them reach the Parquet scan, and the aggregate can hash.
+    """
+    df = load(spark, sf_dir, name)
+    return df.select(*columns).distinct() if columns else df.distinct()
 
-def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {n: once(spark, sf_dir, n) for n in ("episodes", "entities", "edges", "aliases", "episode_entities")}
+
+def tables(spark: SparkSession, sf_dir: str, **columns: tuple[str, ...]) -> dict[str, DataFrame]:
+    """The graph's tables, whole or only the columns given for them."""
+    out = {n: once(spark, sf_dir, n, *columns.get(n, ())) for n in ("episodes", "entities", "edges", "aliases")}
+    out["episode_entities"] = once(spark, sf_dir, "episode_entities", *columns.get("episode_entities", ("episode_id", "entity_id")))
+    return out
 
 
 # --- pieces of SQL for DuckDB ---

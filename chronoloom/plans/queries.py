@@ -18,15 +18,15 @@ LINKS = "(SELECT DISTINCT episode_id, entity_id FROM episode_entities)"
 ORDER BY recorded_at DESC, id LIMIT 50 OFFSET 10""")
 def list_episodes(spark, sf_dir):
     """A page of episodes of one source after a time, newest first (a top-k report)."""
-    df = once(spark, sf_dir, "episodes").filter((F.col("source") == "slack") & (F.col("recorded_at") >= F.lit("2022-01-01").cast("timestamp")))
-    return df.select("id", "source", "recorded_at").orderBy(F.desc("recorded_at"), "id").offset(10).limit(50).select("id", "source", seconds("recorded_at").alias("recorded_us"))
+    df = once(spark, sf_dir, "episodes", "id", "source", "recorded_at").filter((F.col("source") == "slack") & (F.col("recorded_at") >= F.lit("2022-01-01").cast("timestamp")))
+    return df.orderBy(F.desc("recorded_at"), "id").offset(10).limit(50).select("id", "source", seconds("recorded_at").alias("recorded_us"))
 
 
 @query(f"SELECT id, name, epoch_us(created_at) AS created_us FROM {ENT} WHERE entity_type = 'Component' AND {LIVE} ORDER BY created_at DESC, id LIMIT 100")
 def list_entities(spark, sf_dir):
     """The newest live entities of a type (a top-k report)."""
-    df = once(spark, sf_dir, "entities").filter((F.col("entity_type") == "Component") & soft_live())
-    return df.select("id", "name", "created_at").orderBy(F.desc("created_at"), "id").limit(100).select("id", "name", seconds("created_at").alias("created_us"))
+    df = once(spark, sf_dir, "entities", "id", "name", "entity_type", "created_at", "metadata").filter((F.col("entity_type") == "Component") & soft_live())
+    return df.orderBy(F.desc("created_at"), "id").limit(100).select("id", "name", seconds("created_at").alias("created_us"))
 
 
 @query("SELECT name, min(id) AS id FROM entities WHERE name IS NOT NULL GROUP BY name")
@@ -67,7 +67,7 @@ e.source_id IN (SELECT id FROM entities WHERE entity_type = 'Database' AND {LIVE
 def export_graph(spark, sf_dir):
     """The edges that touch the live entities of a type, each once."""
     ent = load(spark, sf_dir, "entities").filter((F.col("entity_type") == "Database") & soft_live())
-    return graph.touching(once(spark, sf_dir, "edges").filter(soft_live()), ent).select("id", "source_id", "target_id", "relation")
+    return graph.touching(once(spark, sf_dir, "edges", "id", "source_id", "target_id", "relation", "metadata").filter(soft_live()), ent).select("id", "source_id", "target_id", "relation")
 
 
 # --- full-text search ---
@@ -80,34 +80,34 @@ COLS = ["content", "source", "metadata"]
 
 @query(bm25_sql(EPI, COLS, [word_sql("retention"), word_sql("rule")], "f0 > 0 AND f1 > 0"))
 def search_episodes(spark, sf_dir):
-    return _best(once(spark, sf_dir, "episodes"), "retention RULE", COLS)
+    return _best(once(spark, sf_dir, "episodes", "id", *COLS), "retention RULE", COLS)
 
 
 @query(bm25_sql(f"(SELECT * FROM {ENT} WHERE {LIVE})", ["name", "entity_type", "summary"], [word_sql("cache"), word_sql("component")], "f0 > 0 AND f1 > 0"))
 def search_entities(spark, sf_dir):
-    return _best(once(spark, sf_dir, "entities").filter(soft_live()), "cache component", ["name", "entity_type", "summary"])
+    return _best(once(spark, sf_dir, "entities", "id", "name", "entity_type", "summary", "metadata").filter(soft_live()), "cache component", ["name", "entity_type", "summary"])
 
 
 @query(bm25_sql(f"(SELECT * FROM {EDG} WHERE {LIVE})", ["fact", "relation"], [word_sql("replaced"), word_sql("mossdb")], "f0 > 0 AND f1 > 0"))
 def search_edges(spark, sf_dir):
-    return _best(once(spark, sf_dir, "edges").filter(soft_live()), "replaced Mossdb?", ["fact", "relation"])
+    return _best(once(spark, sf_dir, "edges", "id", "fact", "relation", "metadata").filter(soft_live()), "replaced Mossdb?", ["fact", "relation"])
 
 
 @query(bm25_sql(EPI, COLS, [phrase_sql("no", "data", "was", "lost")], "f0 > 0"))
 def search_phrase(spark, sf_dir):
     """A phrase is one term with its own frequency."""
-    return _best(once(spark, sf_dir, "episodes"), '"no data was lost"', COLS)
+    return _best(once(spark, sf_dir, "episodes", "id", *COLS), '"no data was lost"', COLS)
 
 
 @query(bm25_sql(EPI, COLS, [word_sql("backfill"), word_sql("timeline")], "(f0 > 0 OR f1 > 0) AND x0 = 0", extra=", " + word_sql("slack") + " AS x0"))
 def search_boolean(spark, sf_dir):
     """OR sums the sides that match, NOT only excludes."""
-    return _best(once(spark, sf_dir, "episodes"), "backfill OR timeline NOT slack", COLS)
+    return _best(once(spark, sf_dir, "episodes", "id", *COLS), "backfill OR timeline NOT slack", COLS)
 
 
 @query(bm25_sql(EPI, COLS, ["len(list_filter(w, lambda x: starts_with(x, 'deprec')))"], "f0 > 0"))
 def search_prefix(spark, sf_dir):
-    return _best(once(spark, sf_dir, "episodes"), "deprec*", COLS)
+    return _best(once(spark, sf_dir, "episodes", "id", *COLS), "deprec*", COLS)
 
 
 @query(rf"""WITH d AS (SELECT id, list_filter(regexp_split_to_array(lower(strip_accents(concat_ws(' ', content, source, metadata))), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w,
@@ -116,7 +116,7 @@ f AS (SELECT id, len(w) AS l, len(list_filter(v, lambda x: x = 'email')) AS f0 F
 SELECT id, round(ln((n - n0 + 0.5) / (n0 + 0.5)) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * l / a)), 6) AS score FROM f, s WHERE f0 > 0
 ORDER BY ln((n - n0 + 0.5) / (n0 + 0.5)) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * l / a)) DESC, id LIMIT 20""")
 def search_column(spark, sf_dir):
-    return _best(once(spark, sf_dir, "episodes"), "source:email", COLS)
+    return _best(once(spark, sf_dir, "episodes", "id", *COLS), "source:email", COLS)
 
 
 # --- vectors and fusion ---
@@ -179,7 +179,7 @@ def search_fused_source(spark, sf_dir):
 @query(f"SELECT {flag_sql('marked_for_deletion')} AS marked, {flag_sql('archived')} AS archived, count(*) AS n FROM {ENT} GROUP BY ALL")
 def entity_flags(spark, sf_dir):
     """Visible, archived and softly expired entities; unreadable metadata means visible."""
-    return once(spark, sf_dir, "entities").groupBy(flag("metadata", "marked_for_deletion").alias("marked"), archived().alias("archived")).agg(F.count("*").alias("n"))
+    return once(spark, sf_dir, "entities", "id", "metadata").groupBy(flag("metadata", "marked_for_deletion").alias("marked"), archived().alias("archived")).agg(F.count("*").alias("n"))
 
 
 AT = "TIMESTAMPTZ '2023-06-01 00:00:00+00'"
@@ -189,13 +189,13 @@ AT = "TIMESTAMPTZ '2023-06-01 00:00:00+00'"
 def edges_as_of(spark, sf_dir):
     """The graph as valid at a time and on record by then."""
     t = F.lit("2023-06-01").cast("timestamp")
-    return graph.as_of(once(spark, sf_dir, "edges"), t, known=t).select("id", "source_id", "relation", "target_id")
+    return graph.as_of(once(spark, sf_dir, "edges", "id", "source_id", "target_id", "relation", "valid_from", "valid_until", "recorded_at"), t, known=t).select("id", "source_id", "relation", "target_id")
 
 
 @query(f"SELECT relation, count(*) AS n, count(valid_until) AS ended FROM {EDG} WHERE recorded_at BETWEEN TIMESTAMPTZ '2022-01-01 00:00:00+00' AND TIMESTAMPTZ '2022-12-31 00:00:00+00' GROUP BY relation")
 def edges_audit(spark, sf_dir):
     """What was recorded in a range of time."""
-    e = once(spark, sf_dir, "edges").filter(F.col("recorded_at").between(F.lit("2022-01-01").cast("timestamp"), F.lit("2022-12-31").cast("timestamp")))
+    e = once(spark, sf_dir, "edges", "id", "relation", "valid_until", "recorded_at").filter(F.col("recorded_at").between(F.lit("2022-01-01").cast("timestamp"), F.lit("2022-12-31").cast("timestamp")))
     return e.groupBy("relation").agg(F.count("*").alias("n"), F.count("valid_until").alias("ended"))
 
 
@@ -206,7 +206,7 @@ HUB = "(SELECT target_id FROM edges GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1
 @query(f"SELECT id, relation, epoch_us(recorded_at) AS recorded_us FROM {EDG} WHERE (source_id = {HUB} OR target_id = {HUB}) AND valid_until IS NULL AND {LIVE}")
 def edges_of_hub(spark, sf_dir):
     """Current edges at either end of the most linked entity."""
-    e = once(spark, sf_dir, "edges")
+    e = once(spark, sf_dir, "edges", "id", "source_id", "target_id", "relation", "recorded_at", "valid_until", "metadata")
     hub = load(spark, sf_dir, "edges").groupBy("target_id").count().orderBy(F.desc("count"), "target_id").first().target_id
     return graph.edges_of(e, hub, only_current=True).select("id", "relation", seconds("recorded_at").alias("recorded_us"))
 
@@ -215,7 +215,7 @@ def edges_of_hub(spark, sf_dir):
 SELECT relation, count(*) AS n FROM {EDG} WHERE source_id IN (SELECT id FROM n) AND target_id IN (SELECT id FROM n) GROUP BY relation""")
 def induced_subgraph(spark, sf_dir):
     n = load(spark, sf_dir, "entities").filter(F.col("entity_type").isin("Database", "Service")).select("id")
-    return graph.induced(once(spark, sf_dir, "edges"), n).groupBy("relation").agg(F.count("*").alias("n"))
+    return graph.induced(once(spark, sf_dir, "edges", "id", "source_id", "target_id", "relation"), n).groupBy("relation").agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT DISTINCT l.entity_id AS id, e.name FROM {LINKS} l JOIN {EPI} p ON p.id = l.episode_id JOIN {ENT} e ON e.id = l.entity_id WHERE p.source IS DISTINCT FROM 'compression'""")
@@ -223,14 +223,14 @@ def linked_entities(spark, sf_dir):
     """Entities of episodes that aren't compressions."""
     eps = learning.plain_episodes(load(spark, sf_dir, "episodes")).select(F.col("id").alias("episode_id"))
     l = load(spark, sf_dir, "episode_entities").join(eps, "episode_id", "left_semi").select(F.col("entity_id").alias("id")).distinct()
-    return l.join(once(spark, sf_dir, "entities").select("id", "name"), "id")
+    return l.join(once(spark, sf_dir, "entities", "id", "name"), "id")
 
 
 @query(f"""WITH e AS (SELECT * FROM {EDG} WHERE valid_until IS NULL AND {LIVE}), b AS (SELECT source_id AS a, target_id AS b FROM e UNION ALL SELECT target_id, source_id FROM e WHERE source_id <> target_id)
 SELECT a AS id, count(*) AS edges, count(DISTINCT b) AS neighbours FROM b WHERE a IN (SELECT id FROM entities) GROUP BY a""")
 def entity_context(spark, sf_dir):
     """Current edges and distinct neighbours of every entity."""
-    n = graph.neighbours(once(spark, sf_dir, "edges"), load(spark, sf_dir, "entities"), distinct=False)
+    n = graph.neighbours(once(spark, sf_dir, "edges", "id", "source_id", "target_id", "valid_until", "metadata"), load(spark, sf_dir, "entities"), distinct=False)
     return n.groupBy(F.col("node").alias("id")).agg(F.count("*").alias("edges"), F.countDistinct("neighbour").alias("neighbours"))
 
 
@@ -242,7 +242,7 @@ SELECT DISTINCT n.id AS new_id, e.id AS existing_id, coalesce(e.confidence, 1.0)
 WHERE e.recorded_at < {NEWER} AND e.valid_until IS NULL AND {LIVE.replace('metadata', 'e.metadata')}""")
 def contradictions(spark, sf_dir):
     """Current edges that contradict the edges of the newest batch."""
-    e = once(spark, sf_dir, "edges")
+    e = once(spark, sf_dir, "edges", "id", "source_id", "target_id", "relation", "confidence", "valid_until", "metadata", "recorded_at")
     new = e.filter(F.col("recorded_at") >= F.lit("2025-10-01").cast("timestamp"))
     return graph.contradictions(new, e, threshold=0.6)
 
@@ -253,7 +253,7 @@ WHERE e.recorded_at < {NEWER} AND e.valid_until IS NULL AND {LIVE.replace('metad
 SELECT e.relation, count(*) AS n, count(c.by) AS ended, count(*) FILTER (WHERE e.valid_until IS NULL AND c.by IS NULL) AS still_open, min(c.by) AS least_by FROM {EDG} e LEFT JOIN c ON c.existing_id = e.id GROUP BY e.relation""")
 def invalidate_contradicted(spark, sf_dir):
     """The edges after contradicted ones are ended, counted by relation."""
-    e = once(spark, sf_dir, "edges")
+    e = once(spark, sf_dir, "edges", "id", "source_id", "target_id", "relation", "confidence", "valid_until", "metadata", "recorded_at")
     new = e.filter(F.col("recorded_at") >= F.lit("2025-10-01").cast("timestamp"))
     out = graph.invalidate(e, graph.contradictions(new, e), now(), by="new_id")
     by = F.get_json_object("metadata", "$.contradicted_by")
@@ -270,7 +270,7 @@ SELECT m.id, coalesce(m.by_alias, s.kid, m.id) AS canonical_id, CASE WHEN m.by_a
 FROM m LEFT JOIN s ON s.id = m.id AND s.r = 1""")
 def dedup_entities(spark, sf_dir):
     """The newest entities against the older ones: by alias, else by Jaro-Winkler within the type."""
-    e = once(spark, sf_dir, "entities").select("id", "name", F.col("entity_type").alias("type"), "created_at")
+    e = once(spark, sf_dir, "entities", "id", "name", "entity_type", "created_at").select("id", "name", F.col("entity_type").alias("type"), "created_at")
     cut = F.lit("2025-07-01").cast("timestamp")
     new = e.filter((F.col("created_at") >= cut) & F.col("name").isNotNull() & F.col("type").isNotNull())
     return dedup.resolve(new, e.filter(F.col("created_at") < cut), load(spark, sf_dir, "aliases"))
@@ -281,29 +281,29 @@ def dedup_entities(spark, sf_dir):
 (SELECT count(*) FROM {ENT} WHERE ttl_seconds > 0 AND {CLASS} <> 'pattern' AND epoch_us({T}) - epoch_us(created_at) > (604800 + ttl_seconds) * 1000000) AS decayed_entities""")
 def stats(spark, sf_dir):
     """Counts of the graph's tables; softly expired rows don't count, archived ones do."""
-    eps = once(spark, sf_dir, "episodes").agg(F.count("*").alias("episodes"))
-    ent = once(spark, sf_dir, "entities")
+    eps = once(spark, sf_dir, "episodes", "id").agg(F.count("*").alias("episodes"))
+    ent = once(spark, sf_dir, "entities", "id", "metadata", "ttl_seconds", "memory_type", "created_at")
     old = (F.col("ttl_seconds") > 0) & (memory_class() != "pattern") & (seconds(now()) - seconds("created_at") > (F.col("ttl_seconds") + 604_800) * 1_000_000)
     e = ent.agg(F.count_if(soft_live()).alias("entities"), F.count_if(old).alias("decayed_entities"))
-    d = once(spark, sf_dir, "edges").agg(F.count_if(soft_live()).alias("edges"))
+    d = once(spark, sf_dir, "edges", "id", "metadata").agg(F.count_if(soft_live()).alias("edges"))
     return eps.join(F.broadcast(e)).join(F.broadcast(d)).select("episodes", "entities", "edges", "decayed_entities")  # one row each
 
 
 @query(f"SELECT coalesce(source, 'unknown') AS source, count(*) AS n FROM {EPI} GROUP BY 1")
 def episodes_by_source(spark, sf_dir):
-    return once(spark, sf_dir, "episodes").groupBy(F.coalesce("source", F.lit("unknown")).alias("source")).agg(F.count("*").alias("n"))
+    return once(spark, sf_dir, "episodes", "id", "source").groupBy(F.coalesce("source", F.lit("unknown")).alias("source")).agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT {CLASS} AS memory, count(*) AS n FROM {ENT} WHERE {LIVE} AND NOT {flag_sql('archived')} GROUP BY 1")
 def entities_by_class(spark, sf_dir):
-    return once(spark, sf_dir, "entities").filter(soft_live() & ~archived()).groupBy(memory_class().alias("memory")).agg(F.count("*").alias("n"))
+    return once(spark, sf_dir, "entities", "id", "metadata", "memory_type", "ttl_seconds", "created_at").filter(soft_live() & ~archived()).groupBy(memory_class().alias("memory")).agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT {CLASS} AS memory, count(*) AS n FROM {ENT} WHERE {LIVE} AND NOT {flag_sql('archived')} AND ttl_seconds > 0 AND {CLASS} <> 'pattern'
 AND epoch_us({T}) - epoch_us(created_at) > (604800 + ttl_seconds) * 1000000 GROUP BY 1""")
 def decayed_by_class(spark, sf_dir):
     old = (F.col("ttl_seconds") > 0) & (memory_class() != "pattern") & (seconds(now()) - seconds("created_at") > (F.col("ttl_seconds") + 604_800) * 1_000_000)
-    return once(spark, sf_dir, "entities").filter(soft_live() & ~archived() & old).groupBy(memory_class().alias("memory")).agg(F.count("*").alias("n"))
+    return once(spark, sf_dir, "entities", "id", "metadata", "memory_type", "ttl_seconds", "created_at").filter(soft_live() & ~archived() & old).groupBy(memory_class().alias("memory")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH p AS (SELECT DISTINCT id AS episode_id FROM episodes WHERE source IS DISTINCT FROM 'compression'), t AS (SELECT count(*) AS total FROM p),
@@ -317,7 +317,7 @@ u AS (SELECT * FROM ty UNION ALL SELECT * FROM pa UNION ALL SELECT * FROM tr)
 SELECT kind, key, array_to_string(types, ',') AS types, n AS episodes, round(n / total, 8) AS confidence FROM u, t WHERE n >= 2 AND len(types) >= 1 ORDER BY n DESC, kind, key LIMIT 50""")
 def mined_patterns(spark, sf_dir):
     """Types, pairs of names and triplets that recur in at least two episodes (a top-k report)."""
-    t = tables(spark, sf_dir)
+    t = tables(spark, sf_dir, episodes=("id", "source"), entities=("id", "name", "entity_type"), edges=("id", "source_id", "target_id", "relation", "valid_until", "episode_id"))
     got = learning.patterns(t["episodes"], t["episode_entities"], t["entities"], t["edges"], least=2, least_types=1, most=50)
     return got.withColumns({"types": F.array_join("types", ","), "confidence": F.round("confidence", 8)})
 
@@ -344,13 +344,13 @@ ENT_DECAY = decay_sql(CLASS, "created_at", TTL, "coalesce(usage_count, 0)", "las
 @query(f"SELECT id, round({ENT_DECAY}, 6) AS strength FROM {ENT}")
 def decay_scores(spark, sf_dir):
     """What is left of every entity's strength."""
-    return once(spark, sf_dir, "entities").select("id", F.round(lifecycle.strength(now(), created="created_at"), 6).alias("strength"))
+    return once(spark, sf_dir, "entities", "id", "memory_type", "created_at", "ttl_seconds", "usage_count", "last_recalled_at").select("id", F.round(lifecycle.strength(now(), created="created_at"), 6).alias("strength"))
 
 
 @query(f"""WITH s AS (SELECT id, {ENT_DECAY} AS v FROM {ENT} WHERE ttl_seconds > 0)
 SELECT id, round(v, 6) AS strength, CASE WHEN v > 0.7 THEN 'keep' WHEN v > 0.3 THEN 'update' ELSE 'expire' END AS action FROM s WHERE v < 0.5""")
 def stale_entities(spark, sf_dir):
-    got = lifecycle.stale(once(spark, sf_dir, "entities"), now(), created="created_at", threshold=0.5)
+    got = lifecycle.stale(once(spark, sf_dir, "entities", "id", "memory_type", "created_at", "ttl_seconds", "usage_count", "last_recalled_at"), now(), created="created_at", threshold=0.5)
     return got.select("id", F.round("strength", 6).alias("strength"), "action")
 
 
@@ -358,7 +358,7 @@ def stale_entities(spark, sf_dir):
 SELECT e.id, (coalesce(e.usage_count, 0) + coalesce(l.n, 0))::BIGINT AS usage_count, epoch_us(greatest(e.last_recalled_at, l.m)) AS recalled_us FROM {ENT} e LEFT JOIN l ON l.entity_id = e.id""")
 def touch_entities(spark, sf_dir):
     """Recalls of the log added to the entities' use."""
-    got = lifecycle.touch(once(spark, sf_dir, "entities"), once(spark, sf_dir, "recall_log"))
+    got = lifecycle.touch(once(spark, sf_dir, "entities", "id", "usage_count", "last_recalled_at"), once(spark, sf_dir, "recall_log", "recall_id", "entity_id", "recalled_at"))
     return got.select("id", "usage_count", seconds("last_recalled_at").alias("recalled_us"))
 
 
@@ -367,6 +367,7 @@ def _action_sql(created: str) -> str:
     return f"CASE WHEN NOT ({LIVE}) THEN 'delete' WHEN {old} AND cls IN ('fact', 'experience') THEN 'delete' WHEN {old} AND cls IN ('preference', 'decision') THEN 'archive' ELSE 'keep' END"
 
 
+AGED = ("id", "memory_type", "created_at", "metadata")
 CLEAN_SQL = f"""WITH n AS (SELECT *, {CLASS} AS cls FROM {ENT}), na AS (SELECT id, {_action_sql('created_at')} AS action FROM n), gone AS (SELECT id FROM na WHERE action = 'delete'),
 d AS (SELECT *, {CLASS} AS cls FROM {EDG}), da AS (SELECT id, CASE WHEN source_id IN (SELECT id FROM gone) OR target_id IN (SELECT id FROM gone) THEN 'delete' ELSE {_action_sql('recorded_at')} END AS action FROM d)"""
 
@@ -374,7 +375,7 @@ d AS (SELECT *, {CLASS} AS cls FROM {EDG}), da AS (SELECT id, CASE WHEN source_i
 @query(CLEAN_SQL + " SELECT 'entities' AS tab, action, count(*) AS n FROM na GROUP BY action UNION ALL SELECT 'edges', action, count(*) FROM da GROUP BY action")
 def cleanup_actions(spark, sf_dir):
     """What a cleanup deletes, archives and keeps."""
-    done = lifecycle.cleanup(tables(spark, sf_dir), now())
+    done = lifecycle.cleanup(tables(spark, sf_dir, entities=AGED, edges=("id", "source_id", "target_id", "memory_type", "recorded_at", "metadata")), now())
     one = lambda k: done[k].groupBy(F.lit(k).alias("tab"), "action").agg(F.count("*").alias("n"))
     return one("entities").unionByName(one("edges"))
 
@@ -385,7 +386,7 @@ UNION ALL SELECT 'episode_entities', count(*) FROM (SELECT DISTINCT episode_id,
 UNION ALL SELECT 'entities', count(*) FROM k UNION ALL SELECT 'edges', count(*) FROM da WHERE action <> 'delete'""")
 def cleanup_result(spark, sf_dir):
     """Rows of each table after a cleanup."""
-    out = lifecycle.apply_cleanup(tables(spark, sf_dir), now())
+    out = lifecycle.apply_cleanup(tables(spark, sf_dir, entities=AGED, edges=("id", "source_id", "target_id", "memory_type", "recorded_at", "metadata"), aliases=("alias_id", "canonical_id")), now())
     parts = [df.agg(F.lit(k).alias("tab"), F.count("*").alias("n")) for k, df in out.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
@@ -393,7 +394,7 @@ def cleanup_result(spark, sf_dir):
 @query(f"SELECT {CLASS} AS memory, count(*) AS n, count(*) FILTER ({flag_sql('marked_for_deletion')} OR {CLASS} = 'preference') AS marked FROM {ENT} GROUP BY 1")
 def mark_preferences(spark, sf_dir):
     """All preferences softly expired; what is marked then, by class."""
-    got = lifecycle.expire_class(once(spark, sf_dir, "entities"), "preference", now())
+    got = lifecycle.expire_class(once(spark, sf_dir, "entities", "id", "metadata", "memory_type"), "preference", now())
     return got.groupBy(memory_class().alias("memory")).agg(F.count("*").alias("n"), F.count_if(~soft_live()).alias("marked"))
 
 
@@ -402,7 +403,7 @@ SELECT id, CASE WHEN ttl_seconds > 0 AND v < 0.5 AND v > 0.3 THEN {DEFAULT_TTL.f
 CASE WHEN ttl_seconds > 0 AND v < 0.5 AND v > 0.3 THEN epoch_us({T}) ELSE epoch_us(created_at) END AS created_us FROM s""")
 def renew_stale(spark, sf_dir):
     """Stale entities that are worth an update live on from now."""
-    e = once(spark, sf_dir, "entities")
+    e = once(spark, sf_dir, "entities", "id", "ttl_seconds", "created_at", "memory_type", "usage_count", "last_recalled_at")
     ids = lifecycle.stale(e, now(), created="created_at").filter("action = 'update'").select("id")
     return lifecycle.renew(e, ids, now(), created="created_at").select("id", "ttl_seconds", seconds("created_at").alias("created_us"))
 
@@ -414,7 +415,7 @@ def update_memories(spark, sf_dir):
     """New content and class for many entities at once."""
     a = load(spark, sf_dir, "aliases").filter("canonical_id IS NOT NULL AND alias_name IS NOT NULL")
     c = a.groupBy(F.col("canonical_id").alias("id")).agg(F.min("alias_name").alias("content")).withColumn("memory_type", F.lit("decision"))
-    return lifecycle.update(once(spark, sf_dir, "entities"), c, content="summary").select("id", "summary", "memory_type", "ttl_seconds")
+    return lifecycle.update(once(spark, sf_dir, "entities", "id", "summary", "memory_type", "ttl_seconds"), c, content="summary").select("id", "summary", "memory_type", "ttl_seconds")
 
 
 @query(f"""WITH g AS (SELECT DISTINCT id FROM entities WHERE entity_type = 'Metric')
@@ -422,7 +423,7 @@ SELECT 'entities' AS tab, count(*) AS n FROM {ENT} WHERE id NOT IN (SELECT id FR
 UNION ALL SELECT 'aliases', count(*) FROM aliases WHERE canonical_id IS NULL OR canonical_id NOT IN (SELECT id FROM g) UNION ALL SELECT 'episode_entities', count(*) FROM {LINKS} WHERE entity_id NOT IN (SELECT id FROM g)""")
 def expire_type(spark, sf_dir):
     """All entities of a type removed, with what hangs on them."""
-    t = tables(spark, sf_dir)
+    t = tables(spark, sf_dir, entities=("id", "entity_type"), edges=("id", "source_id", "target_id"), aliases=("alias_id", "canonical_id"))
     out = lifecycle.expire(t["entities"].filter("entity_type = 'Metric'").select("id"), t)
     parts = [df.agg(F.lit(k).alias("tab"), F.count("*").alias("n")) for k, df in out.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
@@ -501,14 +502,14 @@ EDG_DECAY = decay_sql(CLASS, "recorded_at", TTL, "coalesce(usage_count, 0)", "la
 SELECT relation, CASE WHEN v > 0.7 THEN 'keep' WHEN v > 0.3 THEN 'update' ELSE 'expire' END AS action, count(*) AS n, round(avg(v), 6) AS mean FROM s WHERE v < 0.5 GROUP BY ALL""")
 def stale_edges(spark, sf_dir):
     """Stale edges by relation and the action they call for."""
-    got = lifecycle.stale(once(spark, sf_dir, "edges"), now(), created="recorded_at", threshold=0.5)
+    got = lifecycle.stale(once(spark, sf_dir, "edges", "id", "relation", "memory_type", "recorded_at", "ttl_seconds", "usage_count", "last_recalled_at"), now(), created="recorded_at", threshold=0.5)
     return got.groupBy("relation", "action").agg(F.count("*").alias("n"), F.round(F.avg("strength"), 6).alias("mean"))
 
 
 @query(f"""SELECT source_id, target_id, first(relation ORDER BY coalesce(confidence, 1.0) DESC, recorded_at DESC, id) AS relation, first(id ORDER BY coalesce(confidence, 1.0) DESC, recorded_at DESC, id) AS id FROM {EDG} GROUP BY source_id, target_id""")
 def best_relation(spark, sf_dir):
     """The surest relation of each pair of entities, the latest of equal ones."""
-    e = once(spark, sf_dir, "edges").select("id", "source_id", "target_id", "relation", "confidence", "recorded_at")
+    e = once(spark, sf_dir, "edges", "id", "source_id", "target_id", "relation", "confidence", "recorded_at")
     order = [-F.coalesce("confidence", F.lit(1.0)), -seconds("recorded_at"), "id"]
     return learning.best_per(e, ["source_id", "target_id"], order).select("source_id", "target_id", "relation", "id")
 
@@ -539,7 +540,7 @@ def find_by_alias(spark, sf_dir):
 SELECT term, count(*) AS docs, round(ln((total - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM t, n GROUP BY term, total HAVING count(*) >= 20""")
 def term_statistics(spark, sf_dir):
     """Documents and weight of each term that at least twenty episodes have."""
-    d = once(spark, sf_dir, "episodes").select("id", terms("content").alias("w"))
+    d = once(spark, sf_dir, "episodes", "id", "content").select("id", terms("content").alias("w"))
     total = d.agg(F.count("*").alias("total"))
     t = d.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("docs")).filter("docs >= 20")
     return t.join(F.broadcast(total)).select("term", "docs", F.round(F.log((F.col("total") - F.col("docs") + 0.5) / (F.col("docs") + 0.5)), 6).alias("idf"))

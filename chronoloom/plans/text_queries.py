@@ -14,7 +14,7 @@ UTC_DAY = "(recorded_at AT TIME ZONE 'UTC')::DATE"
 
 
 def _eps(spark, sf_dir):
-    return once(spark, sf_dir, "episodes").select("id", "content", "recorded_at")
+    return once(spark, sf_dir, "episodes", "id", "content", "recorded_at")
 
 
 def _rel(word: str, shift: int) -> str:
