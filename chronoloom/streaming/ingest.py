@@ -58,18 +58,19 @@ _OUT = "source_id string, relation string, new_id string, existing_id string, re
 
 def _follow(key, batches, state: GroupState):
     """Keeps the current target of one (source, relation); a later edge to another target contradicts it."""
-    now = state.get if state.exists else (None, None, None)
-    rows = pd.concat(list(batches)).sort_values(["recorded", "id"], kind="stable")
+    target, last, at = state.get if state.exists else (None, None, None)
+    rows = sorted(r for b in batches for r in zip(b["recorded"], b["id"], b["target"]))
     out = []
-    for r in rows.itertuples(index=False):
-        if now[1] is not None and (r.recorded, r.id) <= (now[2], now[1]):
+    for recorded, new, goal in rows:
+        if last is not None and (recorded, new) <= (at, last):
             continue  # a repeat, or late
-        if now[0] is not None and r.target != now[0]:
-            out.append((key[0], key[1], r.id, now[1], r.recorded))
-        now = (r.target, r.id, int(r.recorded))
-    if now[1] is not None:
-        state.update(now)
-    yield pd.DataFrame(out, columns=["source_id", "relation", "new_id", "existing_id", "recorded_us"])
+        if target is not None and goal != target:
+            out.append((key[0], key[1], new, last, recorded))
+        target, last, at = goal, new, int(recorded)
+    if last is not None:
+        state.update((target, last, at))
+    if out:  # a frame costs more than all the rest of a small group
+        yield pd.DataFrame(out, columns=["source_id", "relation", "new_id", "existing_id", "recorded_us"])
 
 
 def contradiction_stream(edges: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def contradiction_stream(edges: DataFrame) -> DataFrame:
     micro-batch has for a key are sorted in memory; ``files_per_batch`` of
     ``stream_table`` bounds them.
     """
-    rows = edges.filter("recorded_at IS NOT NULL AND source_id IS NOT NULL AND relation IS NOT NULL").select(
+    rows = edges.filter("id IS NOT NULL AND target_id IS NOT NULL AND recorded_at IS NOT NULL AND source_id IS NOT NULL AND relation IS NOT NULL").select(
         "source_id", "relation", F.col("target_id").alias("target"), "id", F.unix_micros(F.col("recorded_at").cast("timestamp")).alias("recorded")
     )
     return rows.groupBy("source_id", "relation").applyInPandasWithState(_follow, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
