@@ -80,6 +80,30 @@ def relations(sents: DataFrame, *, id: str) -> DataFrame:
     return got.filter("head <> '' AND tail <> '' AND head <> tail")
 
 
+def scored_relations(sents: DataFrame, *, id: str, threshold: float = 0.55, relaxed: float = 0.15, base: float = 0.65) -> DataFrame:
+    """(``id``, head, relation, tail, score): the best relation of each pair of names in a text.
+
+    A relation scores ``base`` / (1 + d / 50), d the mean number of characters
+    between its word and the two names. Of several relations of one unordered
+    pair the best stays, ties by relation, head and tail. Texts in which
+    something reaches ``threshold`` keep what does, others what reaches
+    ``relaxed``.
+    """
+    per = []
+    for rel, words in RELATIONS.items():
+        p = rf"^.*\b({MENTION})\b(.*?)\b(?:{'|'.join(words)})\b(.*?)\b({MENTION})\b"
+        part = lambda g, p=p: F.regexp_extract("sentence", p, g)
+        gap = (F.length(part(2)) + F.length(part(3))) / 2
+        per.append(F.when(F.col("sentence").rlike(p), F.struct(part(1).alias("head"), F.lit(rel).alias("relation"), part(4).alias("tail"), (base / (1 + gap / 50)).alias("score"))))
+    got = sents.select(id, F.explode(F.filter(F.array(*per), lambda x: x.isNotNull())).alias("r")).select(id, "r.*").filter("head <> tail")
+    pair = [F.least("head", "tail").alias("_a"), F.greatest("head", "tail").alias("_b")]
+    row = F.struct("head", "relation", "tail", "score")
+    best = got.groupBy(id, *pair).agg(F.min_by(row, F.struct(-F.col("score"), F.col("relation"), F.col("head"), F.col("tail"))).alias("r")).select(id, "r.*")
+    top = best.groupBy(id).agg(F.max("score").alias("_top"))
+    kept = best.join(top, id).filter((F.col("score") >= threshold) | ((F.col("_top") < threshold) & (F.col("score") >= relaxed)))
+    return kept.drop("_top")
+
+
 def pronouns(sents: DataFrame, *, id: str) -> DataFrame:
     """(``id``, at, pronoun, refers_to): a sentence that opens with a pronoun, and the last name in the sentences before it."""
     w = Window.partitionBy(id).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)

@@ -544,3 +544,15 @@ def term_statistics(spark, sf_dir):
     total = d.agg(F.count("*").alias("total"))
     t = d.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("docs")).filter("docs >= 20")
     return t.join(F.broadcast(total)).select("term", "docs", F.round(F.log((F.col("total") - F.col("docs") + 0.5) / (F.col("docs") + 0.5)), 6).alias("idf"))
+
+
+@query(f"""WITH t AS (SELECT DISTINCT id, entity_type AS type FROM entities WHERE entity_type IS NOT NULL), e AS (SELECT DISTINCT id, source_id, target_id, relation, recorded_at FROM edges),
+p AS (SELECT least(s.type, d.type) AS a, greatest(s.type, d.type) AS b, count(*) FILTER (relation IN ('fixed', 'resolved', 'success', 'deprecated', 'failed', 'abandoned')) AS now, count(*) FILTER (relation IN ('fixed', 'resolved', 'success', 'deprecated', 'failed', 'abandoned')
+  AND recorded_at < {AT}) AS old FROM e JOIN t s ON s.id = e.source_id JOIN t d ON d.id = e.target_id GROUP BY 1, 2)
+SELECT 'old|' || a || '|' || b AS old_id, 'new|' || a || '|' || b AS superseded_by FROM p WHERE old > 0 AND now > 0""")
+def superseded_skills(spark, sf_dir):
+    """Skills made of the edges up to a time, and what replaces them now."""
+    e, ents = load(spark, sf_dir, "edges"), load(spark, sf_dir, "entities")
+    named = lambda df, k: df.withColumn("id", F.concat_ws("|", F.lit(k), "a", "b"))
+    old = named(learning.skills(e.filter(F.col("recorded_at") < F.lit("2023-06-01").cast("timestamp")), ents), "old").withColumn("superseded_by", F.lit(None).cast("string"))
+    return learning.supersede(named(learning.skills(e, ents), "new"), old)

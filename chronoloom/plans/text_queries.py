@@ -88,6 +88,24 @@ def rule_relations(spark, sf_dir):
     return extract.relations(_sents(spark, sf_dir), id="id")
 
 
+def _scored_sql() -> str:
+    parts = []
+    for rel, words in RELATIONS.items():
+        p = rf"^.*\b({M})\b(.*?)\b(?:{'|'.join(words)})\b(.*?)\b({M})\b"
+        x = lambda g, p=p: f"regexp_extract(sentence, '{p}', {g})"
+        parts.append(f"SELECT id, '{rel}' AS relation, {x(1)} AS head, {x(4)} AS tail, 0.65 / (1 + (length({x(2)}) + length({x(3)})) / 2.0 / 50) AS score FROM s WHERE regexp_matches(sentence, '{p}')")
+    return f"""WITH s AS {SENT}, r AS ({UA.join(parts)}), b AS (
+SELECT *, row_number() OVER (PARTITION BY id, least(head, tail), greatest(head, tail) ORDER BY score DESC, relation, head, tail) AS n FROM r WHERE head <> tail),
+k AS (SELECT *, max(score) OVER (PARTITION BY id) AS top FROM b WHERE n = 1)
+SELECT id, head, relation, tail, round(score, 6) AS score FROM k WHERE score >= 0.55 OR (top < 0.55 AND score >= 0.15)"""
+
+
+@query(_scored_sql())
+def scored_relations(spark, sf_dir):
+    """The surest relation of each pair of names, with a lower bar where a text has nothing better."""
+    return extract.scored_relations(_sents(spark, sf_dir), id="id").withColumn("score", F.round("score", 6))
+
+
 @query(rf"""WITH m AS (SELECT id, "at", sentence, nullif(regexp_extract(sentence, '^.*\b({M})\b', 1), '') AS m, regexp_extract(sentence, '^(It|This|They|He|She)\b', 1) AS pronoun FROM {SENT}),
 w AS (SELECT *, last_value(m IGNORE NULLS) OVER (PARTITION BY id ORDER BY "at" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS refers_to FROM m)
 SELECT id, "at"::INT AS "at", pronoun, refers_to FROM w WHERE pronoun <> '' AND refers_to IS NOT NULL""")

@@ -103,3 +103,31 @@ def test_periods_shards(spark, seed, per_shard):
 def test_periods_empty(spark):
     df = spark.createDataFrame([], "ent string, s bigint, e bigint")
     assert periods_and_gaps(df, keys=["ent"], start="s", end="e").count() == 0
+
+
+def test_many_hot_keys_take_the_shuffle_join(spark, monkeypatch):
+    """Beyond the bound of the broadcast the grids are joined by shuffle, with the same result."""
+    from chronoloom.operators import asof, intervals
+
+    r = random.Random(11)
+    rows = [(f"k{r.randint(0, 5)}" if r.random() < 0.9 else None, s, s + r.randint(1, 40)) for s in (r.randint(0, 2000) for _ in range(300))]
+    df = spark.createDataFrame(rows, "ent string, s bigint, e bigint")
+    monkeypatch.setattr(intervals, "small_side", lambda x, most=0: x)
+    monkeypatch.setattr(asof, "small_side", lambda x, most=0: x)
+    out = periods_and_gaps(df, keys=["ent"], start="s", end="e", rows_per_shard=5).collect()
+    assert {tuple(x) for x in out} == merged(rows)
+    facts = [(f"e{i:03}", f"k{i % 4}", "x", at(r.randint(0, 300)), at(r.randint(100, 400)), at(r.randint(0, 200)), "c", 1) for i in range(200)]
+    events = [(i, f"k{i % 5}", "x", at(r.randint(0, 400)), 1, "q") for i in range(150)]
+    got = as_known(
+        spark.createDataFrame(events, RECALLS), spark.createDataFrame(facts, EDGES),
+        event_id="recall_id", event_keys=["ent", "rel"], event_time="at", fact_keys=["src", "rel"], fact_id="id", changes_per_period=4,
+    ).collect()
+    assert {x.recall_id: x.id for x in got} == brute(events, facts)
+
+
+def test_small_side_has_a_bound(spark):
+    from chronoloom.common import small_side
+
+    df = spark.range(30).withColumn("x", F.lit("a"))
+    assert "Hint" in small_side(df, 30)._jdf.queryExecution().logical().toString()
+    assert small_side(df, 29) is df

@@ -5,7 +5,7 @@ from chronoloom.plans import base, catalog
 
 SF = "/root/testdata/sf0.001"
 #: Queries that may well find nothing in the smallest tables.
-MAY_BE_EMPTY = {"search_edges", "search_entities", "contradictions", "pronoun_references", "search_column", "retrieve_candidates", "rank_candidates", "retrieve_for_context", "mined_patterns", "search_phrase", "search_boolean", "dedup_entities", "rule_relations", "list_entities", "edges_of_hub", "search_episodes", "search_fused_source"}
+MAY_BE_EMPTY = {"search_edges", "search_entities", "contradictions", "pronoun_references", "search_column", "retrieve_candidates", "rank_candidates", "retrieve_for_context", "mined_patterns", "search_phrase", "search_boolean", "dedup_entities", "rule_relations", "scored_relations", "list_entities", "edges_of_hub", "search_episodes", "search_fused_source"}
 
 
 @pytest.mark.parametrize("name", sorted(base.QUERIES))
