@@ -64,13 +64,13 @@ def tiles(doc: np.ndarray, item: np.ndarray, seed: int, start: list[tuple[int, i
 STEPS = sorted(((a, b) for a in range(4) for b in range(4) if a or b), key=lambda s: (max(s), sum(s)))
 
 
-def _grow(doc: np.ndarray, item: np.ndarray, d: int, i: int, way: int, spare) -> list[tuple[int, int]]:
-    """Follows a run past its end over single edits: [(item words covered, edits)] after each further match."""
-    out, covered, edits = [], 0, 0
+def _grow(doc: np.ndarray, item: np.ndarray, d: int, i: int, way: int, spare) -> list[tuple[int, int, int]]:
+    """Follows a run past its end over single edits: [(item words covered, edits, document words covered)] after each further match."""
+    out, covered, edits, first = [], 0, 0, d
     while True:
         while 0 <= d < len(doc) and 0 <= i < len(item) and doc[d] == item[i]:
             d, i, covered = d + way, i + way, covered + 1
-        out.append((covered, edits))
+        out.append((covered, edits, abs(d - first)))
         best = None
         for a, b in STEPS:  # words skipped in the document, in the item
             if best and max(a, b) > best[0]:
@@ -86,23 +86,42 @@ def _grow(doc: np.ndarray, item: np.ndarray, d: int, i: int, way: int, spare) ->
         d, i, covered = d + way * best[2], i + way * best[3], covered + best[3]
 
 
-def longest_run(doc: np.ndarray, item: np.ndarray, found: list[tuple[int, int, int]], words_per_edit: float) -> int:
-    """Item words in the longest run with at most about one edit in ``words_per_edit`` words, through any tile."""
-    best = 0
+def longest_run(doc: np.ndarray, item: np.ndarray, found: list[tuple[int, int, int]], words_per_edit: float) -> tuple[int, int, int, int]:
+    """(size, edits, start, stop) of the longest run through any tile, with at most about one edit in ``words_per_edit`` words.
+
+    The size is in item words, of equal ones the one with fewer edits counts;
+    start and stop are places in the document.
+    """
+    best = (0, 0, 0, 0)
     spare = len(item) // 8 + 1
     for d, i, n in found:
-        if n + 2 * len(item) // 3 < best:
-            continue
         right = _grow(doc, item, d + n, i + n, 1, spare)
         left = _grow(doc, item, d - 1, i - 1, -1, spare)
-        for cl, el in left:
-            for cr, er in right:
-                size = n + cl + cr
-                if size > best and el + er <= max(1, round(size / words_per_edit)):
-                    best = size
+        for cl, el, dl in left:
+            for cr, er, dr in right:
+                size, edits = n + cl + cr, el + er
+                if (size, -edits) > (best[0], -best[1]) and edits <= max(1, round(size / words_per_edit)):
+                    best = (size, edits, d - dl, d + n + dr)
     return best
 
 
+def own_runs(runs: list[tuple]) -> list[tuple]:
+    """Leaves out edited runs that another item explains better.
+
+    Items made to one pattern match each other's passages but for the words
+    that differ. ``runs``: (item, size, edits, start, stop) in one document. A
+    run with edits goes if half of it or more lies in a run of another item
+    with more words after taking three off for each edit. Runs without edits
+    always stay.
+    """
+    worth = lambda r: r[1] - 3 * r[2]
+    return [
+        r
+        for r in runs
+        if not r[2] or not any(o[0] != r[0] and worth(o) > worth(r) and 2 * (min(o[4], r[4]) - max(o[3], r[3])) >= r[4] - r[3] for o in runs)
+    ]
+
+
 def leaked_items(
     docs: DataFrame,
     items: DataFrame,
@@ -123,7 +142,9 @@ def leaked_items(
     ``least_share`` of the item, of which about one word in ``words_per_edit``
     may be changed, added or dropped; case, punctuation, accents, line breaks,
     markup and the way of encoding don't matter. Passages in another order than
-    in the item are found as tiles of their own. Each pair appears once.
+    in the item are found as tiles of their own. A run with edits that lies in
+    a better one of another item of the same block is that item's (see
+    ``own_runs``). Each pair appears once.
 
     Items are the stated query set: they go out in blocks of
     ``items_per_block``, one pass over the documents each, which bounds what is
@@ -169,9 +190,9 @@ def leaked_items(
                     for p in np.flatnonzero(hi > lo):
                         for j in range(lo[p], hi[p]):
                             hits.setdefault(int(of[j]), []).append((int(p), int(at[j])))
-                    for item, start in hits.items():
-                        size = longest_run(doc, words[item], tiles(doc, words[item], seed, start), words_per_edit)
-                        if size >= least_words and size >= least_share * len(words[item]) - 0.5:
+                    runs = [(item, *longest_run(doc, words[item], tiles(doc, words[item], seed, start), words_per_edit)) for item, start in hits.items()]
+                    for item, size, *_ in own_runs([r for r in runs if r[1] >= least_words]):
+                        if size >= least_share * len(words[item]) - 0.5:
                             got_d.append(k)
                             got_i.append(ids[item])
                             got_n.append(size)

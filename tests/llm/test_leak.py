@@ -85,3 +85,22 @@ def test_against_brute_force(spark):
         for i, t in padded.items():
             if any(r in t for r in runs):
                 assert (i, it.item_id) in got
+
+
+def test_an_edited_run_belongs_to_the_item_that_explains_it_better():
+    from chronoloom.llm.leak import own_runs
+
+    a, frame, exact, far = ("a", 30, 0, 100, 130), ("b", 14, 1, 110, 124), ("c", 14, 0, 112, 126), ("d", 15, 1, 300, 315)
+    assert own_runs([a, frame, exact, far]) == [a, exact, far]
+    assert own_runs([frame]) == [frame] and own_runs([]) == []
+    tie = [("x", 15, 1, 0, 15), ("y", 15, 1, 0, 15)]
+    assert own_runs(tie) == tie
+
+
+def test_frames_of_another_item(spark):
+    frame = "which of {} {} and {} must silence the orchard feed when relay {} is naive at the top of the hour"
+    items = [(1, frame.format("ann", "bob", "cid", "5968") + " and so it went"), (2, frame.format("dan", "eve", "fay", "1391") + " or it did not")]
+    docs = [(10, "before " + items[0][1] + " after"), (20, "before " + items[1][1].replace("feed", "gate") + " after")]
+    df, it = spark.createDataFrame(docs, "d bigint, x string"), spark.createDataFrame(items, "i bigint, x string")
+    got = leaked_items(df, it, id="d", text="x", item_id="i", item_text="x").collect()
+    assert {(r.d, r.i) for r in got} == {(10, 1), (20, 2)}
