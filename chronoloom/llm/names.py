@@ -50,9 +50,9 @@ def name_parts(name: str | None) -> tuple[list[str], bool]:
     return kept, any(w in FORMS for w in words)
 
 
-def lcs_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one machine operation per letter of ``b``."""
-    at: dict[str, int] = {}
+def lcs_length(a, b) -> int:
+    """Length of the longest common subsequence of two words or lists of words: one operation on a bit row per element of ``b``."""
+    at: dict = {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
     full = (1 << len(a)) - 1

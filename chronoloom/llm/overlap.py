@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from chronoloom.common import spread, table
+from chronoloom.llm.names import lcs_length
 from chronoloom.llm.words import WordHashes, folded
 
 
@@ -63,6 +65,16 @@ def _jaccard(a: str, b: str) -> Column:
     return inter / (F.size(a) + F.size(b) - inter)
 
 
+@F.pandas_udf(DoubleType())
+def order_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Words of the longest common subsequence, twice, over the words of both texts."""
+    out = []
+    for x, y in zip(a, b):
+        x, y = x.split(), y.split()
+        out.append(1.0 if x == y else 2 * lcs_length(x, y) / (len(x) + len(y)))
+    return pd.Series(out, dtype="float64")
+
+
 def cross_split_overlaps(
     df: DataFrame,
     *,
@@ -73,6 +85,7 @@ def cross_split_overlaps(
     train: str = "train",
     evaluation: tuple[str, ...] = ("val", "test", "dev"),
     threshold: float = 0.66,
+    order: float = 0.8,
     shingle: int = 1,
     bands: int = 48,
     rows: int = 6,
@@ -88,10 +101,13 @@ def cross_split_overlaps(
     markers, case, punctuation, accents and the way of encoding are folded. One
     word in six replaced leaves a Jaccard similarity of 5/7 on single words and
     next to nothing on sequences of five, hence the default of one word and
-    0.66; texts that share a frame only stay below 0.6. Two texts at 5/7 meet
-    in one of 48 buckets of 6 minwise hashes with probability 0.9989. Buckets
-    are joined between train and evaluation only, candidates are verified
-    exactly. Null splits and null, empty or wordless texts belong to no pair;
+    0.66. Two texts at 5/7 meet in one of 48 buckets of 6 minwise hashes with
+    probability 0.9989. Buckets are joined between train and evaluation only,
+    candidates are verified exactly. What passes must also agree in its order:
+    the longest common subsequence of words, which each changed, added, dropped
+    or moved word shortens by one at most, must reach ``order`` of both texts
+    (5/6 at one word in six); two texts made of the same sentences in another
+    order don't. Null splits and null, empty or wordless texts belong to no pair;
     split names are taken without outer spaces and in any letter case. Repeated rows
     count once, an empty input gives empty results, other columns are ignored.
     """
@@ -118,6 +134,9 @@ def cross_split_overlaps(
         .join(sig.select(F.col("n").alias("b"), F.col("grams").alias("gb")), "b")
         .select("a", "b", _jaccard("ga", "gb").alias("jaccard"))
         .filter(F.col("jaccard") >= threshold)
+        .join(texts.select(F.col("n").alias("a"), F.col("words").alias("wa")), "a")
+        .join(texts.select(F.col("n").alias("b"), F.col("words").alias("wb")), "b")
+        .filter(order_ratio("wa", "wb") >= order)
     )
     key = texts.select("n", "k")
     links = sure.join(key.select(F.col("n").alias("a"), F.col("k").alias("k_train")), "a").join(key.select(F.col("n").alias("b"), F.col("k").alias("k_eval")), "b")

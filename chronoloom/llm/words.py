@@ -16,6 +16,10 @@ TAGS = re.compile(r"[\[<]/?[A-Za-z]\w{0,11}[\]>]|</?[A-Za-z][^<>\n]{0,200}>|&#?\
 MARKS = re.compile("[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]+")
 
 
+#: Signs inside a number: 37.2 and v5.15.9 are one word, as they are once the signs are lost.
+IN_NUMBER = re.compile(r"(?<=\d)[.,](?=\d)")
+
+
 def folded(text: str | None, tags: bool = True) -> list[str]:
     """Lower-case words without accents, punctuation, markup and invisible characters; look-alikes and widths are one.
 
@@ -27,7 +31,7 @@ def folded(text: str | None, tags: bool = True) -> list[str]:
         text = MARKS.sub("", unicodedata.normalize("NFKD", skeleton(text)))
     if tags:
         text = TAGS.sub(" ", text)
-    return WORD.findall(text.casefold())
+    return WORD.findall(IN_NUMBER.sub("", text).casefold())
 
 
 class WordHashes(dict):

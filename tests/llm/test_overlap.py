@@ -8,14 +8,23 @@ from chronoloom.llm.words import folded
 SCHEMA = "id bigint, text string, split string, source string, k int"
 
 
-def brute(rows, least=0.66):
+def common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        prev = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = prev[j] + 1 if x == y else max(prev[j + 1], row[j])
+    return row[-1]
+
+
+def brute(rows, least=0.66, order=0.8):
     out = set()
-    bags = [(i, s.strip().lower(), collections.Counter(folded(t))) for i, t, s, *_ in rows if t and s]
-    for i, s, a in bags:
-        for j, z, b in bags:
-            if s == "train" and z in ("val", "test", "dev") and a and b:
+    bags = [(i, s.strip().lower(), collections.Counter(w), w) for i, t, s, *_ in rows if t and s and (w := folded(t))]
+    for i, s, a, x in bags:
+        for j, z, b, y in bags:
+            if s == "train" and z in ("val", "test", "dev"):
                 n = sum((a & b).values())
-                if n / (sum(a.values()) + sum(b.values()) - n) >= least:
+                if n / (len(x) + len(y) - n) >= least and (x == y or x == y[: len(x)] or 2 * common(x, y) >= order * (len(x) + len(y))):
                     out.add((min(i, j), max(i, j)))
     return out
 
@@ -29,6 +38,7 @@ def rows():
         (1, BASE, "train", "a", 0), (2, BASE.upper().replace("[E1]", "<head>").replace("[/E1]", "</head>"), "val", "b", 0), (3, BASE.replace("west", "east"), "Test ", None, 0),
         (4, "alpha replaced beta in another town for reasons that no reader of this text will ever learn", "dev", "b", 0), (5, BASE, None, "b", 0), (6, None, "train", "b", 0), (7, "", "val", "b", 0),
         (8, "...", "train", "b", 0), (9, "!!!", "val", "b", 0), (10, long, "train", "c", 0), (11, long + " more", "dev", "c", 0), (12, BASE, "train", "a", 0), (12, BASE, "train", "a", 0), (13, "ｏｋ", "train", "a", 0), (14, "ok", "val", "a", 0), (15, BASE, "val", "b", 0),
+        (16, "one two three four five six. seven eight nine ten eleven twelve", "train", "d", 0), (17, "seven eight nine ten eleven twelve. one two three four five six", "val", "d", 0),
     ]
 
 
@@ -38,7 +48,7 @@ def test_pairs(spark):
     links, members = cross_split_overlaps(df, id="id", text="text", split="split", source="source")
     got = overlap_pairs(links, members).collect()
     assert {tuple(r) for r in got} == brute(rows()) >= {(1, 2), (1, 3), (10, 11), (13, 14), (1, 15), (12, 15)}
-    assert len(got) == len(set(got)) and not any(4 in r for r in got)
+    assert len(got) == len(set(got)) and not any(4 in r or 17 in r for r in got)  # 17: the same sentences in another order
 
 
 def test_report(spark):
