@@ -41,25 +41,28 @@ def mentions(df: DataFrame, *, id: str, text: str) -> DataFrame:
     return m.groupBy(id, "mention").agg(F.count("*").alias("n")).select(id, "mention", kind.alias("type"), "n")
 
 
-def dictionary_links(docs: DataFrame, names: DataFrame, *, id: str, text: str, name_id: str, name: str, longest: int = 6) -> DataFrame:
+def dictionary_links(docs: DataFrame, names: DataFrame, *, id: str, text: str, name_id: str, name: str) -> DataFrame:
     """(``id``, ``name_id``, span_start, span_end): texts that contain a name, word by word in its own case, with the bytes of its first mention.
 
-    Names of up to ``longest`` words meet the texts' word sequences in an
-    equi-join on the folded words; the exact spelling between word boundaries
-    is checked on what meets. A name in a third of all texts stays one row on
-    its side, its texts are spread by AQE; there is no product of texts and
-    names. Names with more words, blank and null names link nothing.
+    Names meet the texts' word sequences in an equi-join on the folded words;
+    the exact spelling between word boundaries is checked on what meets.
+    Sequences are made of every length that the names have (one row a length
+    comes to the driver). A name in a third of all texts stays one row on its
+    side, its texts are spread by AQE; there is no product of texts and names.
+    Blank and null names link nothing.
     """
     def grams(w: Column, n: int) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, F.lit(n)), " "))
 
     split = lambda c: F.filter(F.split(F.lower(F.col(c)), r"[^\p{L}\p{N}]+"), lambda x: x != "")
     keyed = names.select(F.col(name_id).alias("_i"), F.col(name).alias("_n"), split(name).alias("_w")).distinct()
-    keyed = keyed.withColumn("_k", F.size("_w")).filter((F.col("_k") >= 1) & (F.col("_k") <= longest)).select("_i", "_n", F.array_join("_w", " ").alias("_g"))
+    keyed = keyed.withColumn("_k", F.size("_w")).filter("_k >= 1")
+    lengths = sorted(r._k for r in keyed.select("_k").distinct().collect())
+    keyed = keyed.select("_i", "_n", F.array_join("_w", " ").alias("_g"))
     d = docs.select(F.col(id).alias("_d"), F.col(text).alias("_t")).distinct()
     words = d.select("_d", split(text if text == "_t" else "_t").alias("_w"))
     none = F.array().cast("array<string>")
-    every = F.array_distinct(F.concat(*(F.when(F.size("_w") >= n, grams(F.col("_w"), n)).otherwise(none) for n in range(1, longest + 1))))
+    every = F.array_distinct(F.concat(none, *(F.when(F.size("_w") >= n, grams(F.col("_w"), n)).otherwise(none) for n in lengths)))
     met = words.select("_d", F.explode(every).alias("_g")).join(keyed, "_g").select("_d", "_i", "_n").distinct()
     sure = met.join(d, "_d")
     quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}])"), F.regexp_replace("_n", r"([\\^$.|?*+()\[\]{}])", r"\\$1"), F.lit(r"(?![\p{L}\p{N}])"))

@@ -182,6 +182,15 @@ def test_dictionary_links_bytes_and_boundaries(spark):
     assert {tuple(r) for r in got} == {(1, 10, 7, 14), (5, 13, 0, 3)}
 
 
+def test_dictionary_links_of_names_of_any_length(spark):
+    long, longer = "Read-only dead-letter queue rule 218", " ".join(f"word{i}" for i in range(23))
+    docs = spark.createDataFrame([(1, f"See {long}, please"), (2, f"x {longer} y"), (3, "Read-only dead-letter queue rule 2180"), (4, "queue")], "id int, text string")
+    names = spark.createDataFrame([(10, long), (11, longer), (12, "queue"), (13, "Read-only dead-letter queue rule 219")], "nid int, name string")
+    got = extract.dictionary_links(docs, names, id="id", text="text", name_id="nid", name="name").collect()
+    assert {(r.id, r.nid) for r in got} == {(1, 10), (1, 12), (2, 11), (3, 12), (4, 12)}
+    assert extract.dictionary_links(docs, names.limit(0), id="id", text="text", name_id="nid", name="name").count() == 0
+
+
 def test_most_frequent_is_bounded_and_takes_the_top(spark):
     from chronoloom.common import most_frequent
 
