@@ -64,8 +64,29 @@ def tiles(doc: np.ndarray, item: np.ndarray, seed: int, start: list[tuple[int, i
 STEPS = sorted(((a, b) for a in range(4) for b in range(4) if a or b), key=lambda s: (max(s), sum(s)))
 
 
-def _grow(doc: np.ndarray, item: np.ndarray, d: int, i: int, way: int, spare) -> list[tuple[int, int, int]]:
-    """Follows a run past its end over single edits: [(item words covered, edits, document words covered)] after each further match."""
+def numbers(words: list[str]) -> list[str]:
+    """The words that are numbers, "" for the others."""
+    return [w if w.isdigit() else "" for w in words]
+
+
+def _slip(x: str, y: str) -> bool:
+    """Whether one character is changed, added or dropped at most."""
+    x, y = (x, y) if len(x) >= len(y) else (y, x)
+    k = next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), len(y))
+    return x[k + 1 :] == y[k + (len(x) == len(y)) :]
+
+
+def _other_number(x: list[str], y: list[str]) -> bool:
+    """Whether words with a number stand in the place of words with quite another one."""
+    x, y = [w for w in x if w], [w for w in y if w]
+    return bool(x and y) and not any(_slip(p, q) for p in x for q in y)
+
+
+def _grow(doc: np.ndarray, item: np.ndarray, d: int, i: int, way: int, spare, doc_no: list[str], item_no: list[str]) -> list[tuple[int, int, int]]:
+    """Follows a run past its end over single edits: [(item words covered, edits, document words covered)] after each further match.
+
+    A number in the place of quite another one is two edits.
+    """
     out, covered, edits, first = [], 0, 0, d
     while True:
         while 0 <= d < len(doc) and 0 <= i < len(item) and doc[d] == item[i]:
@@ -80,23 +101,28 @@ def _grow(doc: np.ndarray, item: np.ndarray, d: int, i: int, way: int, spare) ->
                 n, x, y = n + 1, x + way, y + way
             if n >= (1 if max(a, b) == 1 else 2) and (best is None or n > best[1]):
                 best = (max(a, b), n, a, b)
-        if best is None or edits + best[0] > spare:
+        if best is None:
+            return out
+        x, y = (no[min(at, at + way * (n - 1)) : max(at, at + way * (n - 1)) + 1] if n else [] for no, at, n in ((doc_no, d, best[2]), (item_no, i, best[3])))
+        edits += best[0] + _other_number(x, y)
+        if edits > spare:
             return out
-        edits += best[0]
         d, i, covered = d + way * best[2], i + way * best[3], covered + best[3]
 
 
-def longest_run(doc: np.ndarray, item: np.ndarray, found: list[tuple[int, int, int]], words_per_edit: float) -> tuple[int, int, int, int]:
+def longest_run(doc: np.ndarray, item: np.ndarray, found: list[tuple[int, int, int]], words_per_edit: float, doc_no: list[str], item_no: list[str]) -> tuple[int, int, int, int]:
     """(size, edits, start, stop) of the longest run through any tile, with at most about one edit in ``words_per_edit`` words.
 
     The size is in item words, of equal ones the one with fewer edits counts;
-    start and stop are places in the document.
+    start and stop are places in the document. ``doc_no`` and ``item_no`` are
+    the ``numbers`` of both: items made to one pattern differ in them, so a
+    number for quite another one (more than a slip of one digit) is two edits.
     """
     best = (0, 0, 0, 0)
     spare = len(item) // 8 + 1
     for d, i, n in found:
-        right = _grow(doc, item, d + n, i + n, 1, spare)
-        left = _grow(doc, item, d - 1, i - 1, -1, spare)
+        right = _grow(doc, item, d + n, i + n, 1, spare, doc_no, item_no)
+        left = _grow(doc, item, d - 1, i - 1, -1, spare, doc_no, item_no)
         for cl, el, dl in left:
             for cr, er, dr in right:
                 size, edits = n + cl + cr, el + er
@@ -112,7 +138,8 @@ def own_runs(runs: list[tuple]) -> list[tuple]:
     that differ. ``runs``: (item, size, edits, start, stop) in one document. A
     run with edits goes if half of it or more lies in a run of another item
     with more words after taking three off for each edit. Runs without edits
-    always stay.
+    always stay. ``leaked_items`` doesn't use it, its pairs don't depend on
+    other items.
     """
     worth = lambda r: r[1] - 3 * r[2]
     return [
@@ -142,9 +169,10 @@ def leaked_items(
     ``least_share`` of the item, of which about one word in ``words_per_edit``
     may be changed, added or dropped; case, punctuation, accents, line breaks,
     markup and the way of encoding don't matter. Passages in another order than
-    in the item are found as tiles of their own. A run with edits that lies in
-    a better one of another item of the same block is that item's (see
-    ``own_runs``). Each pair appears once.
+    in the item are found as tiles of their own. A number changed to quite
+    another one counts twice, as items made to one pattern differ in such words;
+    otherwise every run counts, whatever other items explain the same place,
+    so the blocks don't matter. Each pair appears once.
 
     Items are the stated query set: they go out in blocks of
     ``items_per_block``, one pass over the documents each, which bounds what is
@@ -166,23 +194,24 @@ def leaked_items(
     for block in range(blocks):
         rows = its.filter(F.col("block") == block).select("i", "x").collect()
         known = WordHashes()
-        texts = [(r.i, known.of(folded(r.x))) for r in rows]
-        texts = [(i, h) for i, h in texts if len(h) >= least_words]
+        texts = [(r.i, folded(r.x)) for r in rows]
+        texts = [(i, known.of(w), numbers(w)) for i, w in texts if len(w) >= least_words]
         if not texts:
             continue
-        keys = np.concatenate([karp_rabin(h, seed) for _, h in texts])
-        of = np.concatenate([np.full(max(len(h) - seed + 1, 0), k, np.int32) for k, (_, h) in enumerate(texts)])
-        at = np.concatenate([np.arange(max(len(h) - seed + 1, 0), dtype=np.int32) for _, h in texts])
+        keys = np.concatenate([karp_rabin(h, seed) for _, h, _ in texts])
+        of = np.concatenate([np.full(max(len(h) - seed + 1, 0), k, np.int32) for k, (_, h, _) in enumerate(texts)])
+        at = np.concatenate([np.arange(max(len(h) - seed + 1, 0), dtype=np.int32) for _, h, _ in texts])
         order = np.argsort(keys, kind="stable")
-        shared = spark.sparkContext.broadcast((keys[order], of[order], at[order], [i for i, _ in texts], [h for _, h in texts]))
+        shared = spark.sparkContext.broadcast((keys[order], of[order], at[order], [i for i, _, _ in texts], [h for _, h, _ in texts], [m for *_, m in texts]))
 
         def run(batches, shared=shared):
-            keys, of, at, ids, words = shared.value
+            keys, of, at, ids, words, masks = shared.value
             known = WordHashes()
             for b in batches:
                 got_d, got_i, got_n = [], [], []
                 for k, t in enumerate(b.column("x").to_pylist()):
-                    doc = known.of(folded(t))
+                    own_words = folded(t)
+                    doc = known.of(own_words)
                     runs = karp_rabin(doc, seed)
                     lo = np.searchsorted(keys, runs, "left")
                     hi = np.searchsorted(keys, runs, "right")
@@ -190,9 +219,10 @@ def leaked_items(
                     for p in np.flatnonzero(hi > lo):
                         for j in range(lo[p], hi[p]):
                             hits.setdefault(int(of[j]), []).append((int(p), int(at[j])))
-                    runs = [(item, *longest_run(doc, words[item], tiles(doc, words[item], seed, start), words_per_edit)) for item, start in hits.items()]
-                    for item, size, *_ in own_runs([r for r in runs if r[1] >= least_words]):
-                        if size >= least_share * len(words[item]) - 0.5:
+                    doc_no = numbers(own_words) if hits else None
+                    for item, start in hits.items():
+                        size = longest_run(doc, words[item], tiles(doc, words[item], seed, start), words_per_edit, doc_no, masks[item])[0]
+                        if size >= least_words and size >= least_share * len(words[item]) - 0.5:
                             got_d.append(k)
                             got_i.append(ids[item])
                             got_n.append(size)

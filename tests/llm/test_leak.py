@@ -104,3 +104,33 @@ def test_frames_of_another_item(spark):
     df, it = spark.createDataFrame(docs, "d bigint, x string"), spark.createDataFrame(items, "i bigint, x string")
     got = leaked_items(df, it, id="d", text="x", item_id="i", item_text="x").collect()
     assert {(r.d, r.i) for r in got} == {(10, 1), (20, 2)}
+
+
+def test_a_run_counts_whatever_other_items_share_its_place(spark):
+    shared = [f"s{i}" for i in range(14)]
+    a = noise(20, 21) + shared + noise(26, 22)  # 14 of 60 words are less than a third
+    b = edit(shared, 7) + noise(26, 23)
+    items = spark.createDataFrame([(1, doc(a)), (2, doc(b))], "i bigint, x string")
+    docs = spark.createDataFrame([(10, doc(noise(9, 24), shared, noise(9, 25))), (11, doc(noise(9, 26), a[15:40], noise(9, 27)))], "d bigint, x string")
+    for per_block in (20_000, 1):
+        got = leaked_items(docs, items, id="d", text="x", item_id="i", item_text="x", items_per_block=per_block).collect()
+        assert {(r.d, r.i) for r in got} == {(10, 2), (11, 1), (11, 2)}
+
+
+def test_blocks_do_not_change_frames(spark):
+    frame = "must silence the orchard feed when relay {} is naive at the top of the hour"
+    items = spark.createDataFrame([(i, frame.format(n)) for i, n in enumerate((5968, 1391, 77))], "i bigint, x string")
+    docs = spark.createDataFrame([(10, frame.format(5968)), (11, frame.format("now"))], "d bigint, x string")
+    for per_block in (20_000, 1):
+        got = leaked_items(docs, items, id="d", text="x", item_id="i", item_text="x", items_per_block=per_block).collect()
+        assert {(r.d, r.i) for r in got} == {(10, 0), (11, 0), (11, 1), (11, 2)}
+
+
+def test_numbers_of_an_edited_run(spark):
+    words = noise(30, 31)
+    item = words[:8] + ["7646"] + words[8:]
+    items = spark.createDataFrame([(1, doc(item))], "i bigint, x string")
+    part = lambda n, stop: doc(noise(5, 32), words[:8], [n], words[8:stop])
+    docs = [(1, part("7616", 15)), (2, part("1234", 15)), (3, part("1234", 26)), (4, part("word", 15)), (5, part("764", 15))]
+    got = leaked_items(spark.createDataFrame(docs, "d bigint, x string"), items, id="d", text="x", item_id="i", item_text="x").collect()
+    assert {(r.d, r.words) for r in got} == {(1, 16), (3, 27), (4, 16), (5, 16)}
