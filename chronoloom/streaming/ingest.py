@@ -5,13 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from chronoloom.common import scratch_root
+from chronoloom.common import scratch_root, table
 from chronoloom.sources.store import GraphStore
 
 
@@ -52,39 +50,41 @@ def first_links(links: DataFrame, *, keys: list[str]) -> DataFrame:
     return links.dropDuplicates(keys)
 
 
-_STATE = "target string, id string, recorded bigint"
-_OUT = "source_id string, relation string, new_id string, existing_id string, recorded_us bigint"
-
-
-def _follow(key, batches, state: GroupState):
-    """Keeps the current target of one (source, relation); a later edge to another target contradicts it."""
-    target, last, at = state.get if state.exists else (None, None, None)
-    rows = sorted(r for b in batches for r in zip(b["recorded"], b["id"], b["target"]))
-    out = []
-    for recorded, new, goal in rows:
-        if last is not None and (recorded, new) <= (at, last):
-            continue  # a repeat, or late
-        if target is not None and goal != target:
-            out.append((key[0], key[1], new, last, recorded))
-        target, last, at = goal, new, int(recorded)
-    if last is not None:
-        state.update((target, last, at))
-    if out:  # a frame costs more than all the rest of a small group
-        yield pd.DataFrame(out, columns=["source_id", "relation", "new_id", "existing_id", "recorded_us"])
+def landed(df: DataFrame, name: str) -> DataFrame:
+    """All distinct rows of a stream's present input, as a table in the shared folder; a batch that runs again replaces its own files."""
+    spark = df.sparkSession
+    base = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    spark.createDataFrame([], df.schema).write.parquet(base + "/out/batch=-1")  # a stream without input has no batch
+    run_once(df, "", checkpoint=base + "/check", each=lambda b, n: b.distinct().write.mode("overwrite").parquet(f"{base}/out/batch={n}"))
+    return spark.read.schema(df.schema).parquet(base + "/out").select(*df.columns).distinct()
 
 
-def contradiction_stream(edges: DataFrame) -> DataFrame:
-    """Edges that name another target than the edge recorded before them for their source and relation.
+def contradictions(edges: DataFrame, *, rows_per_shard: int = 200_000) -> DataFrame:
+    """Edges of a stream that name another target than the edge recorded before them for their source and relation.
 
-    State is one target per (source, relation), whatever the number of edges;
-    ties in time go by id; late rows and repeats are skipped. The rows that one
-    micro-batch has for a key are sorted in memory; ``files_per_batch`` of
-    ``stream_table`` bounds them.
+    The stream's edges are landed first, so a row counts at its place in time
+    whatever micro-batch brings it; ties in time go by id, repeats count once.
+    Rows are cut into ranges of (source, relation, time, id), which spreads a
+    hot key; predecessors are looked up within a range, and the last row of a
+    key in one range is stitched to its first row in the next that has any.
     """
     rows = edges.filter("id IS NOT NULL AND target_id IS NOT NULL AND recorded_at IS NOT NULL AND source_id IS NOT NULL AND relation IS NOT NULL").select(
-        "source_id", "relation", F.col("target_id").alias("target"), "id", F.unix_micros(F.col("recorded_at").cast("timestamp")).alias("recorded")
+        "source_id", "relation", F.unix_micros(F.col("recorded_at").cast("timestamp")).alias("recorded_us"), "id", F.col("target_id").alias("target")
     )
-    return rows.groupBy("source_id", "relation").applyInPandasWithState(_follow, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    rows = landed(rows, "edges")
+    shards = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // rows_per_shard))
+    order = ["source_id", "relation", "recorded_us", "id", "target"]
+    rows = table(rows.repartitionByRange(shards, *order).withColumn("shard", F.spark_partition_id()), "edges")
+    key, at = ["source_id", "relation"], ["recorded_us", "id", "target"]
+    row = F.struct(*at)
+    w = Window.partitionBy("shard", *key).orderBy(*at)
+    within = rows.withColumn("old", F.lag(F.struct("id", "target")).over(w)).filter("old IS NOT NULL")
+    # a key in several ranges has one row for each here, and there are no more such keys than ranges
+    ends = rows.groupBy("shard", *key).agg(F.min(row).alias("first"), F.max(row).alias("last"))
+    ends = ends.withColumn("old", F.lag("last").over(Window.partitionBy(*key).orderBy("shard"))).filter("old IS NOT NULL")
+    stitched = ends.select(*key, "first.*", F.struct("old.id", "old.target").alias("old"))
+    both = within.select(*key, *at, "old").unionByName(stitched)
+    return both.filter("old.target <> target").select(*key, F.col("id").alias("new_id"), F.col("old.id").alias("existing_id"), "recorded_us")
 
 
 def ingest(store: GraphStore, spark: SparkSession, sf_dir: str, name: str, *, after: Callable[[GraphStore, int], None] | None = None, every: int = 50) -> StreamingQuery:
