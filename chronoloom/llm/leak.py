@@ -168,8 +168,9 @@ def leaked_items(
     A passage is a run of at least ``least_words`` consecutive words and
     ``least_share`` of the item, of which about one word in ``words_per_edit``
     may be changed, added or dropped; case, punctuation, accents, line breaks,
-    markup and the way of encoding don't matter. Passages in another order than
-    in the item are found as tiles of their own. A number changed to quite
+    markup and the way of encoding don't matter. One run is measured, not the
+    coverage of all tiles: of passages in another order than in the item the
+    longest counts. A number changed to quite
     another one counts twice, as items made to one pattern differ in such words;
     otherwise every run counts, whatever other items explain the same place,
     so the blocks don't matter. Each pair appears once.
