@@ -38,13 +38,13 @@ def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in the episodes, see ``personal_spans``."""
-    found = found_texts(_personal(spark, sf_dir), id="id", text="content")
+    found = found_texts(_personal(spark, sf_dir), id="id")
     return found.select(F.col("id").alias("episode_id"), "kind", "found_text")
 
 
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The episodes with typed placeholders in place of personal data."""
-    return redacted(_personal(spark, sf_dir), id="id", text="content")
+    return redacted(load(spark, sf_dir, "episodes"), _personal(spark, sf_dir), id="id", text="content")
 
 
 def _identities(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,13 @@ import pytest
 
 from chronoloom.llm import pii
 
-GAZ = (frozenset({"katherine", "noor", "ayse", "stephane"}), frozenset({"rorvazalzoxau", "kirvotisisko", "meirnibulkrax"}))
+GIVEN, FAMILY = {"katherine", "noor", "ayse", "stephane"}, {"rorvazalzoxau", "kirvotisisko", "meirnibulkrax"}
+
+
+def words(spark, given=(), family=()):
+    return spark.createDataFrame([(w, True, False) for w in given] + [(w, False, True) for w in family], "w string, given boolean, family boolean")
+
+
 FOUND = [
     ("Contact <k.rorvazalzoxau+x@corp.example.com> now", {("email", "k.rorvazalzoxau+x@corp.example.com")}),
     ("mail noor51 [at] intra[.]harbour[.]example please", {("email", "noor51 [at] intra[.]harbour[.]example")}),
@@ -42,19 +48,21 @@ def spans(spark):
     rows = [(i, t, "x", 1) for i, (t, _) in enumerate(FOUND)] + [(0, FOUND[0][0], "x", 1), (900, long, "x", 1)]
     # enough plain rows for the reliabilities
     rows += [(1000 + 100 * k + i, t, "x", 1) for k in range(4) for i, (t, _) in enumerate(FOUND)]
-    return pii.personal_spans(spark.createDataFrame(rows, SCHEMA), id="id", text="text", names=GAZ).cache()
+    df = spark.createDataFrame(rows, SCHEMA)
+    return pii.personal_spans(df, id="id", text="text", names=words(spark, GIVEN, FAMILY)).cache(), df
 
 
 @pytest.mark.parametrize("i", range(len(FOUND)))
 def test_found(spans, i):
-    got = pii.found_texts(spans.filter(f"id = {i}"), id="id", text="text").collect()
+    got = pii.found_texts(spans[0].filter(f"id = {i}"), id="id").collect()
     assert {(r.kind, r.found_text) for r in got} == FOUND[i][1]
     assert len(got) == len(FOUND[i][1])
 
 
 def test_long_text_and_redaction(spans):
-    assert [r.found_text for r in pii.found_texts(spans.filter("id = 900"), id="id", text="text").collect()] == ["(312) 555-0113"]
-    red = {r.id: r.text for r in pii.redacted(spans.filter("id < 900"), id="id", text="text").collect()}
+    spans, df = spans
+    assert [r.found_text for r in pii.found_texts(spans.filter("id = 900"), id="id").collect()] == ["(312) 555-0113"]
+    red = {r.id: r.text for r in pii.redacted(df.filter("id < 900"), spans, id="id", text="text").collect()}
     assert red[4] == "Call [PHONE] if it pages." and red[0] == "Contact <[EMAIL]> now"
     for i, (t, want) in enumerate(FOUND):
         if not want:
@@ -68,13 +76,15 @@ def test_long_text_and_redaction(spans):
 
 def test_characters_outside_the_plane(spark):
     df = spark.createDataFrame([(1, "🚀🚀 Call (312) 555-0113 👍 or mail a.b@x.example", "x", 1)], SCHEMA)
-    s = pii.personal_spans(df, id="id", text="text", names=GAZ)
-    assert {r.found_text for r in pii.found_texts(s, id="id", text="text").collect()} == {"(312) 555-0113", "a.b@x.example"}
+    s = pii.personal_spans(df, id="id", text="text", names=words(spark, GIVEN, FAMILY))
+    assert {r.found_text for r in pii.found_texts(s, id="id").collect()} == {"(312) 555-0113", "a.b@x.example"}
+    assert [r.text for r in pii.redacted(df, s, id="id", text="text").collect()] == ["🚀🚀 Call [PHONE] 👍 or mail [EMAIL]"]
 
 
 def test_empty(spark):
-    s = pii.personal_spans(spark.createDataFrame([], SCHEMA), id="id", text="text", names=(frozenset(), frozenset()))
-    assert pii.found_texts(s, id="id", text="text").count() == 0 and pii.redacted(s, id="id", text="text").count() == 0
+    df = spark.createDataFrame([], SCHEMA)
+    s = pii.personal_spans(df, id="id", text="text", names=words(spark))
+    assert pii.found_texts(s, id="id").count() == 0 and pii.redacted(df, s, id="id", text="text").count() == 0
 
 
 def test_em_tells_a_useless_labeler():
@@ -86,5 +96,40 @@ def test_em_tells_a_useless_labeler():
 
 def test_gazetteer(spark):
     rows = [("Noor Kirvotisisko", "Person"), ("Kirvotisisko, Noor", "PERSON"), ("Noor B. Meirnibulkrax", "person"), (None, "Person"), ("Acme Foods", "Organization")]
-    given, family = pii.gazetteer(spark.createDataFrame(rows, "name string, kind string"), name="name", kind="kind")
-    assert "noor" in given and {"kirvotisisko", "meirnibulkrax"} <= family and "foods" not in family
+    got = {r.w: (r.given, r.family) for r in pii.gazetteer(spark.createDataFrame(rows, "name string, kind string"), name="name", kind="kind").collect()}
+    assert got["noor"] == got["bill"] == (True, False) and got["kirvotisisko"] == got["meirnibulkrax"] == (False, True) and "foods" not in got
+    bits = pii.Words(pii.word_map(words(spark, GIVEN, FAMILY)))
+    assert all(bits.likely(w) for w in GIVEN | FAMILY) and not any(bits.likely(f"none{i}") for i in range(50))
+
+
+@pytest.mark.parametrize("text", ["Reviewed-by: Wiremu Tamahori", "Reviewed-by: Wiremu Schmidt", "Dr. Wiremu Tamahori said so", "owner=Wiremu Tamahori"])
+@pytest.mark.parametrize("known", [{"anna", "schmidt"}, set()])
+def test_names_that_no_table_knows_are_candidates(spark, text, known):
+    bits = pii.Words(pii.word_map(words(spark, known)))
+    assert text[text.index("Wiremu") :][: len("Wiremu T")] in {text[s:e][: len("Wiremu T")] for k, s, e, *_ in pii.candidates(text, bits, pii.Counter()) if k == pii.NAME}
+
+
+#: Written for this test, in the manner of mails, tickets and minutes; names in it are in no table.
+PLAIN = [
+    ("Thanks to Ngozi Adebayo for the patch. The build is green again and the cache is warm.", {"Ngozi Adebayo"}),
+    ("Reviewed-by: Tiberiu Vasilescu\nSigned-off-by: Marisol Quintanilla", {"Tiberiu Vasilescu", "Marisol Quintanilla"}),
+    ("Dr. Hiroko Yamashita, who leads the lab, wants the report by Monday.", {"Hiroko Yamashita"}),
+    ("I talked with Oskar Lindqvist about the migration; he was not amused.", {"Oskar Lindqvist"}),
+    ("The cache was warmed by Rosalind Achterberg and the report went out.", {"Rosalind Achterberg"}),
+    ("cc Padraig Mulcahy – the report is late, the build was red.", {"Padraig Mulcahy"}),
+    ("The migration of the cache failed on Monday. We wrote a report and the lab fixed it.", set()),
+    ("Red lights on the build again. The Monday report says the migration is done.", set()),
+    ("Laut Friedlinde Oberhauser ist der Bericht fertig. Der Cache war kalt.", {"Friedlinde Oberhauser"}),
+    ("From: Desmond Okonjo <d.okonjo@x.example>", {"Desmond Okonjo"}),
+    ("Wirth's report by Lieselotte Wirth, as discussed.", {"Lieselotte Wirth"}),
+    ("Notes by Ignatius Pemberton: the build, the cache and the lab.", {"Ignatius Pemberton"}),
+]
+
+
+def test_names_without_any_table(spark):
+    """Recall of 0.9 and precision of 0.8 on texts of another hand, with no name known; so small a corpus says little of common words."""
+    df = spark.createDataFrame(list(enumerate(t for t, _ in PLAIN)), "id int, text string")
+    got = pii.found_texts(pii.personal_spans(df, id="id", text="text", names=words(spark)), id="id").filter("kind = 'name'").collect()
+    got, want = {(r.id, r.found_text) for r in got}, {(i, n) for i, (_, names) in enumerate(PLAIN) for n in names}
+    print("found", len(got & want), "of", len(want), "wrong", len(got - want))
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.8 * len(got)
