@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
 from pyspark import SparkFiles
@@ -97,6 +99,46 @@ def small_side(df: DataFrame, most: int = 20_000) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def keyed_side(side: DataFrame, keys: list[str], *, most: int = 20_000, salts: int = 16) -> Callable[[DataFrame, str], DataFrame]:
+    """A left join with a side of one row a key that no hot key can clog; returns (frame, count column) -> joined frame.
+
+    A side of at most ``most`` rows is broadcast. A larger one is written and
+    joined in two steps: keys that hold over a thousandth of the frame's rows,
+    by that definition at most a thousand, are broadcast, all others meet by
+    key and one of ``salts`` salts. So no task gets more than a thousandth over
+    ``salts`` of the rows for one key, and the side, whose rows stand for many
+    rows of the frame each, is repeated only ``salts`` times. The count column
+    of the side says how many rows of the frame its key has. Null keys match
+    null keys.
+    """
+    rest = [c for c in side.columns if c not in keys]
+    rows = side.limit(most + 1).collect()
+
+    def join(df: DataFrame, other: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
+        other = other.select(*(F.col(c).alias(f"_side_{c}") for c in on), *columns)
+        cond = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_side_{c}")) for c in on))
+        return df.join(other, cond, "left").drop(*(f"_side_{c}" for c in on))
+
+    if len(rows) <= most:
+        small = F.broadcast(side.sparkSession.createDataFrame(rows, side.schema))
+        return lambda df, n: join(df, small, keys, rest)
+    whole = table(side, "side")
+
+    def split(df: DataFrame, n: str) -> DataFrame:
+        total = whole.agg(F.sum(n)).first()[0] or 0
+        hot = whole.filter(F.col(n) > total // 1000)
+        hot = F.broadcast(side.sparkSession.createDataFrame(hot.limit(1000).collect(), side.schema))
+        cold = whole.filter(F.col(n) <= total // 1000).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        cold = cold.select(*keys, "_salt", F.struct(*rest).alias("_cold"))
+        got = join(df, hot.select(*keys, F.struct(*rest).alias("_hot")), keys, ["_hot"])
+        spread = F.xxhash64(*(c for c in df.columns if c not in keys))
+        got = got.withColumn("_salt", F.when(F.col("_hot").isNull(), F.pmod(spread, F.lit(salts))).otherwise(salts + F.pmod(spread, F.lit(1 << 20))).cast("int"))
+        got = join(got, cold, [*keys, "_salt"], ["_cold"])
+        return got.select(*df.columns, *(F.coalesce(f"_hot.{c}", f"_cold.{c}").alias(c) for c in rest))
+
+    return split
+
+
 def most_frequent(df: DataFrame, n: str, most: int) -> DataFrame:
     """The rows of the highest counts ``n``, at most ``most``: all that reach a level that so many rows reach.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.common import micros, small_side
+from chronoloom.common import keyed_side, micros
 
 NEVER = -(2**63)
 ALWAYS = 2**63 - 1
@@ -42,7 +42,8 @@ def as_known(
     that period's changes only. Snapshots come from dyadic blocks of periods,
     so a fact adds at most two rows a level however long it holds. Keys with
     few facts have one period without a snapshot. Key and period together are
-    the shuffle key, hence a key with a third of all rows is spread.
+    the shuffle key, hence a key with a third of all rows is spread; the grid
+    itself is joined by ``keyed_side``, which spreads it, too.
 
     Result: ``event_id``, ``fact_id``, one row for each event that has such a
     fact. Events with a null key or time, facts with a null key, a null
@@ -69,14 +70,14 @@ def as_known(
 
     # The grid of each key with many facts; lo and hi are the first and last event.
     many = ch.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > changes_per_period)
-    span = ev.groupBy(*keys).agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    span = ev.groupBy(*keys).agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("m"))
     bits = F.least(F.ceil(F.log2(F.col("n") / changes_per_period)), F.lit(MOST_BITS)).cast("int")
-    grid = many.join(span, keys).select(*keys, "lo", "hi", bits.alias("bits"))
-    grid = small_side(grid.withColumn("width", F.expr("(hi - lo) div shiftleft(1L, bits) + 1")))
+    grid = many.join(span, keys).select(*keys, "n", "m", "lo", "hi", bits.alias("bits"))
+    grid = keyed_side(grid.withColumn("width", F.expr("(hi - lo) div shiftleft(1L, bits) + 1")), keys)
 
     cell = "(({} - lo) div width)"
     # A key without a grid has one period: all its facts are changes of period 0.
-    g = ch.join(grid, keys, "left").withColumns(
+    g = grid(ch, "n").withColumns(
         {
             "c0": F.expr(f"CASE WHEN lo IS NULL THEN 0L WHEN a > hi THEN NULL WHEN a <= lo THEN -1L ELSE {cell.format('a')} END"),
             "c1": F.expr(f"CASE WHEN lo IS NULL THEN 0L WHEN b <= lo THEN NULL WHEN b > hi THEN shiftleft(1L, bits) ELSE {cell.format('b')} END"),
@@ -112,7 +113,7 @@ def as_known(
         .agg(F.max("fact").alias("fact"))
         .select(*keys, F.lit(NEVER).alias("a"), F.lit(ALWAYS).alias("b"), "fact", "cell")
     )
-    at = ev.join(grid, keys, "left").select(
+    at = grid(ev, "m").select(
         "event", "t", *keys, F.expr(f"IF(lo IS NULL, 0L, {cell.format('t')})").alias("cell")
     )
     known = log.unionByName(snapshot)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.common import small_side
+from chronoloom.common import keyed_side
 
 MOST_SHARDS = 4096
 
@@ -64,14 +64,13 @@ def periods_and_gaps(
         # the middle of the starts, so that a few far ones don't empty the grid
         .withColumn("g0", F.expr("greatest(lo, cast(mean - 2.5 * sd AS bigint))"))
         .withColumn("width", F.expr("greatest(1L, (least(s1, cast(mean + 2.5 * sd AS bigint)) - g0) div shards)"))
-        .select(*(F.col(x).alias(f"g_{x}") for x in k), "lo", "hi", "shards", "g0", "width")
+        .select(*k, "n", "lo", "hi", "shards", "g0", "width")
     )
-    grid = small_side(grid)
-    on = [F.col(x).eqNullSafe(F.col(f"g_{x}")) for x in k]
+    grid = keyed_side(grid, k)
     shard = "least(greatest(({} - g0) div width, 0L), shards - 1)"
     left = "IF({0} = 0, lo, g0 + {0} * width)"
     right = "IF({0} = shards - 1, hi, g0 + ({0} + 1) * width)"
-    g = iv.join(grid, on, "left").withColumns(
+    g = grid(iv, "n").withColumns(
         {"c0": F.expr(f"IF(shards IS NULL, 0L, {shard.format('s')})"), "c1": F.expr(f"IF(shards IS NULL, 0L, {shard.format('(e - 1)')})")}
     )
     few = g.filter("shards IS NULL").select(*k, F.lit(None).cast("bigint").alias("shard"), "s", "e")

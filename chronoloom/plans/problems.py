@@ -13,8 +13,7 @@ from chronoloom.operators.intervals import periods_and_gaps
 OPEN_END = 253402214400000000
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edge of its entity and relation that each recall could know, see ``as_known``."""
+def _known(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     return as_known(
         load(spark, sf_dir, "recall_log"),
         load(spark, sf_dir, "edges"),
@@ -23,9 +22,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         event_time="recalled_at",
         fact_keys=["source_id", "relation"],
         fact_id="id",
+        **how,
     ).select("recall_id", F.col("id").alias("edge_id"))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edge of its entity and relation that each recall could know, see ``as_known``."""
+    return _known(spark, sf_dir)
+
+
+def p1_small_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with two changes a period, so that nearly all recalls are answered from a snapshot and a short log."""
+    return _known(spark, sf_dir, changes_per_period=2)
+
+
 P1_SQL = """
 SELECT recall_id, edge_id FROM (
   SELECT r.recall_id, e.id AS edge_id,
@@ -39,15 +49,24 @@ SELECT recall_id, edge_id FROM (
 """
 
 
-def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Continuous periods and gaps of the edges of each source and relation, see ``periods_and_gaps``."""
+def _periods(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     edges = load(spark, sf_dir, "edges").select(
         "source_id",
         "relation",
         F.coalesce(micros("valid_from"), F.lit(0)).alias("s"),
         F.coalesce(micros("valid_until"), F.lit(OPEN_END)).alias("e"),
     )
-    return periods_and_gaps(edges, keys=["source_id", "relation"], start="s", end="e")
+    return periods_and_gaps(edges, keys=["source_id", "relation"], start="s", end="e", **how)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Continuous periods and gaps of the edges of each source and relation, see ``periods_and_gaps``."""
+    return _periods(spark, sf_dir)
+
+
+def p6_small_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with shards of eight intervals, so that many keys are clipped, merged by shard and stitched."""
+    return _periods(spark, sf_dir, rows_per_shard=8)
 
 
 P6_SQL = f"""
@@ -72,5 +91,5 @@ UNION ALL
 SELECT source_id, relation, 'gap', e, nxt FROM n WHERE nxt IS NOT NULL
 """
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found}
-SQL = {"p1_found": P1_SQL, "p6_found": P6_SQL}
+QUERIES = {"p1_found": p1_found, "p1_small_periods": p1_small_periods, "p6_found": p6_found, "p6_small_shards": p6_small_shards}
+SQL = {"p1_found": P1_SQL, "p1_small_periods": P1_SQL, "p6_found": P6_SQL, "p6_small_shards": P6_SQL}

@@ -105,15 +105,16 @@ def test_periods_empty(spark):
     assert periods_and_gaps(df, keys=["ent"], start="s", end="e").count() == 0
 
 
-def test_many_hot_keys_take_the_shuffle_join(spark, monkeypatch):
+def test_many_keys_take_the_shuffle_join(spark, monkeypatch):
     """Beyond the bound of the broadcast the grids are joined by shuffle, with the same result."""
+    from chronoloom.common import keyed_side
     from chronoloom.operators import asof, intervals
 
     r = random.Random(11)
     rows = [(f"k{r.randint(0, 5)}" if r.random() < 0.9 else None, s, s + r.randint(1, 40)) for s in (r.randint(0, 2000) for _ in range(300))]
     df = spark.createDataFrame(rows, "ent string, s bigint, e bigint")
-    monkeypatch.setattr(intervals, "small_side", lambda x, most=0: x)
-    monkeypatch.setattr(asof, "small_side", lambda x, most=0: x)
+    for module in (intervals, asof):
+        monkeypatch.setattr(module, "keyed_side", lambda side, keys: keyed_side(side, keys, most=0, salts=3))
     out = periods_and_gaps(df, keys=["ent"], start="s", end="e", rows_per_shard=5).collect()
     assert {tuple(x) for x in out} == merged(rows)
     facts = [(f"e{i:03}", f"k{i % 4}", "x", at(r.randint(0, 300)), at(r.randint(100, 400)), at(r.randint(0, 200)), "c", 1) for i in range(200)]
@@ -125,6 +126,21 @@ def test_many_hot_keys_take_the_shuffle_join(spark, monkeypatch):
     assert {x.recall_id: x.id for x in got} == brute(events, facts)
 
 
+def test_hot_key_among_many_busy_ones_is_spread(spark):
+    """50,000 busy keys beside one with a third of all rows: none of four tasks gets much more than a quarter."""
+    from chronoloom.common import keyed_side
+
+    key = F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.pmod(F.xxhash64("id"), F.lit(60_000)))
+    df = spark.range(600_000).withColumn("k", key)
+    side = df.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("x"))
+    assert side.count() > 50_000
+    out = keyed_side(side, ["k"])(df, "n")
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 600_000 and max(sizes) < 0.35 * 600_000
+    want = df.join(side, "k", "left").select("id", "k", "n", "x")
+    assert out.select("id", "k", "n", "x").exceptAll(want).isEmpty() and out.filter("x IS NULL").isEmpty()
+
+
 def test_small_side_has_a_bound(spark):
     from chronoloom.common import small_side
 
