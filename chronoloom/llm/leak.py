@@ -131,22 +131,15 @@ def longest_run(doc: np.ndarray, item: np.ndarray, found: list[tuple[int, int, i
     return best
 
 
-def own_runs(runs: list[tuple]) -> list[tuple]:
-    """Leaves out edited runs that another item explains better.
-
-    Items made to one pattern match each other's passages but for the words
-    that differ. ``runs``: (item, size, edits, start, stop) in one document. A
-    run with edits goes if half of it or more lies in a run of another item
-    with more words after taking three off for each edit. Runs without edits
-    always stay. ``leaked_items`` doesn't use it, its pairs don't depend on
-    other items.
+def least_seeds(least_words: int, words_per_edit: float, seed: int) -> int:
+    """At how many places of a document a run that counts shares ``seed`` words with its item, at the least.
+
+    A run of n words with e edits has n - e matching words in e + 1 pieces, and
+    a piece of m words has m - seed + 1 such places.
     """
-    worth = lambda r: r[1] - 3 * r[2]
-    return [
-        r
-        for r in runs
-        if not r[2] or not any(o[0] != r[0] and worth(o) > worth(r) and 2 * (min(o[4], r[4]) - max(o[3], r[3])) >= r[4] - r[3] for o in runs)
-    ]
+    sizes = range(least_words, max(least_words, round(40 * words_per_edit)) + 1)
+    edits = lambda n: max(1, round(n / words_per_edit))
+    return max(1, min(n - edits(n) - (edits(n) + 1) * (seed - 1) for n in sizes))
 
 
 def leaked_items(
@@ -162,25 +155,27 @@ def leaked_items(
     words_per_edit: float = 13.0,
     seed: int = 5,
     items_per_block: int = 20_000,
+    least_cover: float | None = None,
 ) -> DataFrame:
-    """(``id``, ``item_id``, ``words``): documents that contain a passage of an item, and its length in item words.
+    """(``id``, ``item_id``, ``words``, ``covered``): documents that contain a passage of an item, its length in item words, and the item words in all tiles.
 
     A passage is a run of at least ``least_words`` consecutive words and
     ``least_share`` of the item, of which about one word in ``words_per_edit``
     may be changed, added or dropped; case, punctuation, accents, line breaks,
     markup and the way of encoding don't matter. One run is measured, not the
     coverage of all tiles: of passages in another order than in the item the
-    longest counts. A number changed to quite
+    longest counts. With ``least_cover`` a document also counts if its tiles
+    together cover that share of the item, in whatever order. A number changed to quite
     another one counts twice, as items made to one pattern differ in such words;
     otherwise every run counts, whatever other items explain the same place,
-    so the blocks don't matter. Each pair appears once.
+    so the size of the blocks doesn't matter. Each pair appears once.
 
     Items are the stated query set: they go out in blocks of
     ``items_per_block``, one pass over the documents each, which bounds what is
-    broadcast; documents are never shuffled for it. In each batch of documents
-    the hashes of all runs of ``seed`` words are looked up among those of the
-    items; only pairs with a shared seed are tiled. A run of 14 words with one
-    edit keeps 6 or more words in a row. Null, empty and wordless texts contain
+    broadcast; documents are never shuffled for it. In each document the
+    hashes of all runs of ``seed`` words are looked up among those of the
+    items; only pairs that share as many as a run that counts must have
+    (``least_seeds``) are tiled. Null, empty and wordless texts contain
     nothing and are contained in nothing; repeated rows count once; empty
     tables give an empty result; other columns are ignored.
     """
@@ -189,8 +184,9 @@ def leaked_items(
     its = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("x")).filter("x IS NOT NULL").distinct()
     n = its.count()
     blocks = max(1, -(-n // items_per_block))
+    least = 1 if least_cover else least_seeds(least_words, words_per_edit, seed)
     its = its.withColumn("block", F.pmod(F.xxhash64("i"), F.lit(blocks)))
-    kind = StructType([StructField("d", docs.schema[id].dataType), StructField("i", items.schema[item_id].dataType), StructField("words", IntegerType())])
+    kind = StructType([StructField("d", docs.schema[id].dataType), StructField("i", items.schema[item_id].dataType), StructField("words", IntegerType()), StructField("covered", IntegerType())])
     out = spark.createDataFrame([], kind)
     for block in range(blocks):
         rows = its.filter(F.col("block") == block).select("i", "x").collect()
@@ -209,28 +205,38 @@ def leaked_items(
             keys, of, at, ids, words, masks = shared.value
             known = WordHashes()
             for b in batches:
-                got_d, got_i, got_n = [], [], []
+                got_d, got_i, got_n, got_c = [], [], [], []
                 for k, t in enumerate(b.column("x").to_pylist()):
                     own_words = folded(t)
                     doc = known.of(own_words)
                     runs = karp_rabin(doc, seed)
                     lo = np.searchsorted(keys, runs, "left")
-                    hi = np.searchsorted(keys, runs, "right")
-                    hits: dict[int, list] = {}
-                    for p in np.flatnonzero(hi > lo):
-                        for j in range(lo[p], hi[p]):
-                            hits.setdefault(int(of[j]), []).append((int(p), int(at[j])))
-                    doc_no = numbers(own_words) if hits else None
-                    for item, start in hits.items():
-                        size = longest_run(doc, words[item], tiles(doc, words[item], seed, start), words_per_edit, doc_no, masks[item])[0]
-                        if size >= least_words and size >= least_share * len(words[item]) - 0.5:
+                    n = np.searchsorted(keys, runs, "right") - lo
+                    if np.count_nonzero(n) < least:
+                        continue
+                    places = np.repeat(np.arange(len(runs)), n)
+                    hit = np.arange(len(places)) + np.repeat(lo - np.cumsum(n) + n, n)
+                    item_of, item_at = of[hit], at[hit]
+                    # an item counts by the document's places, not by its own repeats
+                    met, times = np.unique(np.unique(item_of.astype(np.int64) << 32 | places) >> 32, return_counts=True)
+                    met = met[times >= least].tolist()
+                    doc_no = numbers(own_words) if met else None
+                    for item in met:
+                        own_hits = item_of == item
+                        start = list(zip(places[own_hits].tolist(), item_at[own_hits].tolist()))
+                        found = tiles(doc, words[item], seed, start)
+                        size = longest_run(doc, words[item], found, words_per_edit, doc_no, masks[item])[0]
+                        covered = sum(n for *_, n in found)
+                        if size >= least_words and size >= least_share * len(words[item]) - 0.5 or least_cover and covered >= least_cover * len(words[item]):
                             got_d.append(k)
                             got_i.append(ids[item])
                             got_n.append(size)
+                            got_c.append(covered)
                 d = b.column("d").take(pa.array(got_d, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [d, pa.array(got_i, pa.infer_type(ids)), pa.array(got_n, pa.int32())], names=["d", "i", "words"]
+                    [d, pa.array(got_i, pa.infer_type(ids)), pa.array(got_n, pa.int32()), pa.array(got_c, pa.int32())], names=["d", "i", "words", "covered"]
                 )
 
         out = out.unionByName(own.mapInArrow(run, kind))
-    return out.groupBy("d", "i").agg(F.max("words").alias("words")).select(F.col("d").alias(id), F.col("i").alias(item_id), "words")
+    out = out.groupBy("d", "i").agg(F.max("words").alias("words"), F.max("covered").alias("covered"))
+    return out.select(F.col("d").alias(id), F.col("i").alias(item_id), "words", "covered")

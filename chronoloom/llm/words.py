@@ -29,7 +29,7 @@ def folded(text: str | None, tags: bool = True) -> list[str]:
         return []
     if not text.isascii():
         text = MARKS.sub("", unicodedata.normalize("NFKD", skeleton(text)))
-    if tags:
+    if tags and ("<" in text or "[" in text or "&" in text):
         text = TAGS.sub(" ", text)
     return WORD.findall(IN_NUMBER.sub("", text).casefold())
 

@@ -87,14 +87,26 @@ def test_against_brute_force(spark):
                 assert (i, it.item_id) in got
 
 
-def test_an_edited_run_belongs_to_the_item_that_explains_it_better():
-    from chronoloom.llm.leak import own_runs
-
-    a, frame, exact, far = ("a", 30, 0, 100, 130), ("b", 14, 1, 110, 124), ("c", 14, 0, 112, 126), ("d", 15, 1, 300, 315)
-    assert own_runs([a, frame, exact, far]) == [a, exact, far]
-    assert own_runs([frame]) == [frame] and own_runs([]) == []
-    tie = [("x", 15, 1, 0, 15), ("y", 15, 1, 0, 15)]
-    assert own_runs(tie) == tie
+def test_least_seeds_loses_no_run():
+    """Runs of every size with the edits spread as badly as can be still have that many places."""
+    from chronoloom.llm.leak import least_seeds
+
+    for seed in (4, 5, 6):
+        need = least_seeds(14, 13.0, seed)
+        assert need > 1 or seed > 5
+        for n in range(14, 200):
+            edits = max(1, round(n / 13))
+            pieces = [(n - edits) // (edits + 1) + (k < (n - edits) % (edits + 1)) for k in range(edits + 1)]
+            assert sum(max(0, m - seed + 1) for m in pieces) >= need
+
+
+def test_reordered_passages_by_coverage(spark):
+    words = noise(60, 41)
+    mixed = [w for at in (40, 10, 50, 0, 30, 20) for w in words[at : at + 10]]
+    items = spark.createDataFrame([(1, doc(words))], "i bigint, x string")
+    docs = spark.createDataFrame([(10, doc(mixed)), (11, doc(words[:12]))], "d bigint, x string")
+    run = lambda **how: {(r.d, r.covered) for r in leaked_items(docs, items, id="d", text="x", item_id="i", item_text="x", **how).collect()}
+    assert run() == set() and run(least_cover=0.5) == {(10, 60)}
 
 
 def test_frames_of_another_item(spark):
