@@ -9,57 +9,89 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from chronoloom.common import spread, table
 from chronoloom.llm.names import lcs_length
 from chronoloom.llm.words import WordHashes, folded
 
 
-def _normal(batches):
-    for b in batches:
-        words = [" ".join(folded(t)) for t in b.column("text").to_pylist()]
-        keys = [hashlib.blake2b(w.encode(), digest_size=16).digest() for w in words]
-        yield pa.RecordBatch.from_arrays(
-            [*b.columns[:-1], pa.array(keys, pa.binary()), pa.array(words, pa.string())], names=[*b.schema.names[:-1], "k", "words"]
-        )
+#: Most bits of the map of evaluation buckets that workers hold, 16 MB at any number of rows.
+MAP_BITS = 1 << 27
 
 
-def signatures(bands: int, rows: int, shingle: int, seed: int = 7):
-    """A batch function: (n, t, e, words) to (n, t, e, shingle hashes, band hashes)."""
-    rng = np.random.default_rng(seed)
-    mul = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-    add = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
-    mix = rng.integers(1, 2**63, rows, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-
-    def grams_of(words: list[str], known: WordHashes) -> np.ndarray:
-        n: dict[str, int] = {}
-        out = []
-        for i in range(max(len(words) - shingle + 1, 1)):
-            w = " ".join(words[i : i + shingle])
-            n[w] = c = n.get(w, 0) + 1  # a repeat counts as a shingle of its own, so that the set is the multiset
-            out.append(w if c == 1 else f"{w}#{c}")
-        return np.unique(known.of(out))
+def grams_of(words: list[str], shingle: int, known: WordHashes) -> np.ndarray:
+    """32-bit hashes of the runs of ``shingle`` words; a repeat counts as one of its own, so that the set is the multiset."""
+    n: dict[str, int] = {}
+    out = []
+    for i in range(max(len(words) - shingle + 1, 1)):
+        w = " ".join(words[i : i + shingle])
+        n[w] = c = n.get(w, 0) + 1
+        out.append(w if c == 1 else f"{w}#{c}")
+    return np.unique(known.of(out).astype(np.uint32))
+
+
+def wordings(shingle: int):
+    """A batch function: (id, split, source, text) to (id, split, source, key of the wording, words, shingle hashes)."""
 
     def run(batches):
         known = WordHashes()
         for b in batches:
-            grams, sigs = [], []
-            for words in b.column("words").to_pylist():
-                g = grams_of(words.split(), known)
-                low = np.full(bands * rows, np.uint64(2**64 - 1))
-                for at in range(0, len(g), 512):  # blocks, so that a very long text needs no large matrix
-                    low = np.minimum(low, (g[at : at + 512, None] * mul + add).min(axis=0))
-                h = ((low >> np.uint64(7)).reshape(bands, rows) * mix).sum(axis=1, dtype=np.uint64)
-                grams.append(g.view(np.int64))
-                sigs.append(h.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("n"), b.column("t"), b.column("e"), pa.array(grams, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))], names=["n", "t", "e", "grams", "bands"]
-            )
+            words = [folded(t) for t in b.column("text").to_pylist()]
+            joined = [" ".join(w) for w in words]
+            keys = [hashlib.blake2b(w.encode(), digest_size=16).digest() for w in joined]
+            grams = [grams_of(w, shingle, known).view(np.int32) for w in words]
+            cols = [*b.columns[:-1], pa.array(keys, pa.binary()), pa.array(joined, pa.string()), pa.array(grams, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:-1], "k", "words", "grams"])
 
     return run
 
 
+def buckets(bands: int, rows: int, only=None, seed: int = 7):
+    """A batch function: (n, grams) to (n, h), one row for each band of minwise hashes; with ``only`` (a broadcast map) those in the map."""
+    rng = np.random.default_rng(seed)
+    mul = rng.integers(0, 2**31, bands * rows, dtype=np.uint32) << np.uint32(1) | np.uint32(1)
+    add = rng.integers(0, 2**32, bands * rows, dtype=np.uint32)
+    mix = rng.integers(1, 2**63, (bands, rows), dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+    band = rng.integers(1, 2**63, bands, dtype=np.uint64)
+
+    def run(batches):
+        bits = np.frombuffer(only.value, np.uint8) if only is not None else None
+        for b in batches:
+            grams = b.column("grams")
+            flat, ends = grams.flatten().to_numpy(zero_copy_only=False).view(np.uint32), grams.offsets.to_numpy()
+            ends = ends - ends[0]
+            hashes = np.empty((len(ends) - 1, bands), np.uint64)
+            for i in range(len(ends) - 1):
+                low = np.full(bands * rows, np.uint32(2**32 - 1))
+                for at in range(ends[i], ends[i + 1], 512):  # blocks, so that a very long text needs no large matrix
+                    low = np.minimum(low, (flat[at : min(at + 512, ends[i + 1]), None] * mul + add).min(axis=0))
+                hashes[i] = (low.reshape(bands, rows) * mix).sum(axis=1, dtype=np.uint64) + band
+            n, h = np.repeat(b.column("n").to_numpy(zero_copy_only=False), bands), hashes.ravel()
+            h ^= h >> np.uint64(29)
+            if bits is not None:
+                at = h % np.uint64(8 * len(bits))
+                there = bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+                n, h = n[there], h[there]
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(h.view(np.int64))], names=["n", "h"])
+
+    return run
+
+
+def bucket_map(cells: DataFrame) -> bytes:
+    """One bit for each bucket, in a map of at most ``MAP_BITS``. What it lets through is joined by bucket, so a full map costs time, not rows."""
+    bits = 1 << 18
+    n = cells.count()
+    while bits < min(16 * n, MAP_BITS):
+        bits *= 2
+    at = F.pmod("h", F.lit(bits))
+    rows = cells.select(F.floor(at / 32_768).alias("b"), (at % 32_768).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect()
+    out = bytearray(bits // 8)
+    for r in rows:
+        out[r.b * 4096 : (r.b + 1) * 4096] = r.m
+    return bytes(out)
+
+
 def _jaccard(a: str, b: str) -> Column:
     inter = F.size(F.array_intersect(a, b))
     return inter / (F.size(a) + F.size(b) - inter)
@@ -115,23 +147,20 @@ def cross_split_overlaps(
     src = F.col(source) if source else F.lit(None).cast("string")
     picked = df.select(F.col(id).alias("id"), side.alias("split"), src.alias("source"), F.col(text).alias("text"))
     picked = spread(picked.filter(F.col("split").isin(train, *evaluation) & F.col("text").isNotNull()))
-    kept = StructType([*picked.schema.fields[:-1], StructField("k", BinaryType()), StructField("words", StringType())])
-    named = table(picked.mapInArrow(_normal, kept).filter("words <> ''"), "wordings")
+    kept = StructType([*picked.schema.fields[:-1], StructField("k", BinaryType()), StructField("words", StringType()), StructField("grams", ArrayType(IntegerType()))])
+    named = table(picked.mapInArrow(wordings(shingle), kept).filter("words <> ''"), "wordings")
     in_train = F.col("split") == train
-    texts = named.groupBy("k").agg(F.first("words").alias("words"), F.max(in_train).alias("t"), F.max(~in_train).alias("e"))
+    texts = named.groupBy("k").agg(F.first("words").alias("words"), F.first("grams").alias("grams"), F.max(in_train).alias("t"), F.max(~in_train).alias("e"))
     texts = table(texts.withColumn("n", F.monotonically_increasing_id()), "texts")
-    flags = [StructField("n", LongType()), StructField("t", BooleanType()), StructField("e", BooleanType())]
-    out = StructType([*flags, StructField("grams", ArrayType(LongType())), StructField("bands", ArrayType(LongType()))])
-    sig = table(spread(texts.select("n", "t", "e", "words")).mapInArrow(signatures(bands, rows, shingle), out), "signatures")
-
-    # two longs a bucket row: the wording's number, and the band's number and hash in one
-    cells = sig.select("n", "t", "e", F.posexplode("bands").alias("band", "h")).withColumn("h", F.xxhash64("band", "h"))
-    left = cells.filter("t").select(F.col("n").alias("a"), "h")
-    right = cells.filter("e").select(F.col("n").alias("b"), "h")
-    met = left.join(right, "h").select("a", "b").distinct()
+
+    # two longs a bucket row; of train only those rows leave the workers whose bucket the evaluation splits may have, too
+    cells = lambda side, only=None: spread(texts.filter(side).select("n", "grams")).mapInArrow(buckets(bands, rows, only), "n bigint, h bigint")
+    right = table(cells("e"), "buckets")
+    left = cells("t", df.sparkSession.sparkContext.broadcast(bucket_map(right)))
+    met = left.select(F.col("n").alias("a"), "h").join(right.select(F.col("n").alias("b"), "h"), "h").select("a", "b").distinct()
     sure = (
-        met.join(sig.select(F.col("n").alias("a"), F.col("grams").alias("ga")), "a")
-        .join(sig.select(F.col("n").alias("b"), F.col("grams").alias("gb")), "b")
+        met.join(texts.select(F.col("n").alias("a"), F.col("grams").alias("ga")), "a")
+        .join(texts.select(F.col("n").alias("b"), F.col("grams").alias("gb")), "b")
         .select("a", "b", _jaccard("ga", "gb").alias("jaccard"))
         .filter(F.col("jaccard") >= threshold)
         .join(texts.select(F.col("n").alias("a"), F.col("words").alias("wa")), "a")
