@@ -12,7 +12,7 @@ from chronoloom.llm.leak import leaked_items
 from chronoloom.llm.names import identity_pairs, name_identities
 from chronoloom.llm.overlap import cross_split_overlaps, overlap_pairs, overlap_report
 from chronoloom.llm.pii import found_texts, gazetteer, personal_spans, redacted
-from chronoloom.llm.skeleton import same_look_pairs
+from chronoloom.llm.skeleton import same_look_groups, same_look_pairs
 
 
 def _overlaps(spark: SparkSession, sf_dir: str):
@@ -100,6 +100,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_look_pairs(load(spark, sf_dir, "documents"), id="doc_id", text="text")
 
 
+def p9_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as membership: each document with the group of those that look like it, see ``same_look_groups``."""
+    return same_look_groups(load(spark, sf_dir, "documents"), id="doc_id", text="text")
+
+
 #: Where the public vocabularies lie; a path all of the driver's own, Spark hands the file on.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -109,5 +114,5 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(load(spark, sf_dir, "documents"), id="doc_id", text="text", vocabulary=VOCABULARY)
 
 
-QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_identities": p4_identities, "p2_found": p2_found, "p2_report": p2_report, "p7_ids": p7_ids, "p5_found": p5_found, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_identities": p4_identities, "p2_found": p2_found, "p2_report": p2_report, "p7_ids": p7_ids, "p5_found": p5_found, "p8_found": p8_found, "p9_found": p9_found, "p9_groups": p9_groups}
 SQL = {"p5_found": P5_SQL}

@@ -25,32 +25,39 @@ LOOK_ALIKE = {
     "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
     # Greek small letters
     "ο": "o", "ν": "v", "α": "a", "ρ": "p", "ι": "i", "υ": "u", "ϲ": "c", "ϳ": "j", "µ": "μ", "κ": "k",
-    # Armenian, Georgian, Cherokee and Latin extensions
-    "օ": "o", "Օ": "O", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "զ": "q", "Տ": "S", "Լ": "L",
-    "ɑ": "a", "ɡ": "g", "ı": "i", "ȷ": "j", "ʟ": "L", "Ꭺ": "A", "Ꭼ": "E", "Ꮋ": "H", "Ꮇ": "M", "Ꮲ": "P", "Ꭲ": "T", "Ꮯ": "C",
+    # Armenian and Latin extensions
+    "օ": "o", "Օ": "O", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "զ": "q", "Տ": "S", "Լ": "L", "ɑ": "a", "ɡ": "g",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭹ": "Y", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G",
+    "Ꮓ": "Z", "Ꮞ": "4", "Ꮢ": "R", "Ꮤ": "W", "Ꮪ": "S", "Ꮩ": "V", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N",
+    "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
     # Roman numerals and signs drawn as one letter
     "Ⅰ": "I", "Ⅴ": "V", "Ⅹ": "X", "Ⅼ": "L", "Ⅽ": "C", "Ⅾ": "D", "Ⅿ": "M", "ⅰ": "i", "ⅴ": "v", "ⅹ": "x", "ⅼ": "l", "ⅽ": "c",
     "ⅾ": "d", "ⅿ": "m",
 }
 # Characters that are not drawn though their category isn't Cf (combining grapheme joiner, fillers, selectors).
 UNDRAWN = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\uffa0"
-#: A joiner is drawn between the parts of one emoji; it is put aside as a private character meanwhile.
+#: Small capitals of these letters are drawn like their small letters.
+LIKE_SMALL = "COSVWXZ"
+#: A joiner is drawn between the parts of one emoji, so it stays there.
 EMOJI_JOIN = re.compile("(?<=[\u2190-\u2bff\ufe0f\U0001f000-\U0001faff])\u200d(?=[\u2190-\u2bff\U0001f000-\U0001faff])")
-KEPT_JOIN = "\uf8ff"
 
 
 def prototype(ch: str) -> str:
-    """What one character of a decomposed text turns into: width, space and script don't matter."""
+    """What one character of a decomposed text turns into: width, space, script and the mathematical styles of letters don't matter."""
     cat = unicodedata.category(ch)
-    if ch == KEPT_JOIN:
-        return "\u200d"
     if cat == "Cf" or ch in UNDRAWN or "\ufe00" <= ch <= "\ufe0f" or "\U000e0100" <= ch <= "\U000e01ef":
         return ""
     if cat == "Zs":
         return " "
     tag, _, code = unicodedata.decomposition(ch).partition(" ")
-    if tag in ("<wide>", "<narrow>"):
+    if tag in ("<wide>", "<narrow>", "<font>"):
         ch = "".join(chr(int(x, 16)) for x in code.split())
+    small = re.fullmatch("LATIN LETTER SMALL CAPITAL ([A-Z])", unicodedata.name(ch, "")) if len(ch) == 1 else None
+    if small:
+        return small[1].lower() if small[1] in LIKE_SMALL else small[1]
     return LOOK_ALIKE.get(ch, ch)
 
 
@@ -72,10 +79,14 @@ def skeleton(text: str | None) -> str | None:
     what they are, as a reader sees them. Case, accents, digits, punctuation
     and line breaks stay. Null gives null, a text of undrawn characters ''.
     """
-    if text is None or text.isascii():
-        return text if text is None or "\r" not in text else text.replace("\r\n", "\n")
-    text = EMOJI_JOIN.sub(KEPT_JOIN, text.replace("\r\n", "\n"))
-    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(_TABLE))
+    if text is None:
+        return None
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if text.isascii():
+        return text
+    parts = EMOJI_JOIN.split(text) if "\u200d" in text else [text]
+    return "\u200d".join(unicodedata.normalize("NFD", unicodedata.normalize("NFD", x).translate(_TABLE)) for x in parts)
 
 
 @F.pandas_udf(StringType())
@@ -88,6 +99,30 @@ def add_skeleton(df: DataFrame, text: str, out: str = "skeleton") -> DataFrame:
     return df.withColumn(out, skeleton_of(F.col(text)))
 
 
+def _digests(df: DataFrame, id: str, text: str) -> DataFrame:
+    """(i, k, x): each row with the digests of its skeleton and of its text; texts without a drawn character are left out."""
+    return table(
+        spread(df.select(F.col(id).alias("i"), F.col(text).alias("x")))
+        .filter(F.col("x").isNotNull())
+        .withColumn("k", skeleton_of("x"))
+        .filter(F.col("k").rlike(r"\S"))
+        .select("i", F.unhex(F.sha2("k", 256)).alias("k"), F.unhex(F.sha2("x", 256)).alias("x")),
+        "skeletons",
+    )
+
+
+def same_look_groups(df: DataFrame, *, id: str, text: str) -> DataFrame:
+    """(``id``, ``group_id``, texts): rows whose skeleton at least two different texts have; the group is named by its least id.
+
+    One row for each id and group, whatever the number of copies; no pairs.
+    Null, empty and blank texts are in none. Groups are aggregates with map-side
+    partials. Empty input gives an empty result, other columns are ignored.
+    """
+    own = _digests(df, id, text)
+    per = own.groupBy("k", "x").agg(F.min("i").alias("i")).groupBy("k").agg(F.min("i").alias("group_id"), F.count("*").alias("texts")).filter("texts > 1")
+    return own.join(per, "k").select(F.col("i").alias(id), "group_id", "texts").distinct()
+
+
 def same_look_pairs(df: DataFrame, *, id: str, text: str) -> DataFrame:
     """Pairs (``id``_a < ``id``_b) of rows whose texts differ but have equal skeletons.
 
@@ -99,14 +134,7 @@ def same_look_pairs(df: DataFrame, *, id: str, text: str) -> DataFrame:
     pairs with the rows of its look-alikes only, never with its own copies.
     Empty input gives an empty result, other columns are ignored.
     """
-    own = table(
-        spread(df.select(F.col(id).alias("i"), F.col(text).alias("x")))
-        .filter(F.col("x").isNotNull())
-        .withColumn("k", skeleton_of("x"))
-        .filter(F.col("k").rlike(r"\S"))
-        .select("i", F.unhex(F.sha2("k", 256)).alias("k"), F.unhex(F.sha2("x", 256)).alias("x")),
-        "skeletons",
-    )
+    own = _digests(df, id, text)
     mixed = own.groupBy("k").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).filter("lo < hi").select("k")
     rows = own.join(mixed, "k").distinct()
     texts = rows.select("k", "x").distinct()

@@ -57,3 +57,21 @@ def test_pairs_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert {tuple(r) for r in p9_found(spark, sf).collect()} == brute(rows)
+
+
+def test_further_scripts_and_what_a_reader_tells_apart():
+    assert skeleton("ꓮꓐ ᎪᏴ 𝐀𝒃 ᴄᴏ ᴀ") == skeleton("AB AB Ab co A")
+    assert skeleton("ı") != skeleton("i") and skeleton("x²") != skeleton("x2") and skeleton("Ａ") != skeleton("a")
+    assert skeleton("a\rb\r\nc") == "a\nb\nc" and skeleton("é\rb") == skeleton("e\u0301\nb")
+    assert skeleton("\uf8ff é") != skeleton("\u200d é") and "\uf8ff" in skeleton("\uf8ff é")
+    assert skeleton("👩\u200d🚀 a\u200db") == "👩\u200d🚀 ab"
+
+
+def test_groups(spark):
+    rows = [(1, "no op"), (2, "nо op"), (3, "no op"), (4, "other"), (5, "other"), (6, None), (7, " "), (2, "nо op"), (8, "ｎo op")]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "i bigint, t string, group_id int, k string")
+    from chronoloom.llm.skeleton import same_look_groups
+
+    got = same_look_groups(df, id="i", text="t").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 3), (2, 1, 3), (3, 1, 3), (8, 1, 3)]
+    assert same_look_groups(df.limit(0), id="i", text="t").count() == 0
