@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
@@ -30,7 +30,11 @@ SHORT_FORMS = (
     "bella isabella|isa isabella|alex alexander|sasha alexander|meg margaret|peggy margaret|maggie margaret|tom tomasz|tomek tomasz|"
     "gene genevieve|vieve genevieve|priya priyanka|vik vikram|xime ximena|mike michael|jim james|jack john|tony anthony|nick nicholas|dan daniel|dave david|"
     "chris christopher|joe joseph|andy andrew|ben benjamin|matt matthew|pat patricia|sue susan|peg margaret|jenny jennifer|"
-    "becky rebecca|debbie deborah|ned edward|eddie edward|larry lawrence|charlie charles|chuck charles"
+    "becky rebecca|debbie deborah|ned edward|eddie edward|larry lawrence|charlie charles|chuck charles|"
+    # further formal names of a short form, for where the first one fits nobody
+    "sam samuel|alex alexandra|sasha alexandra|chris christine|chris christina|pat patrick|nick nicola|tony antonio|max maximilian|"
+    "jo joanna|jo josephine|kate catherine|kathy kathleen|fran francesca|fran francisco|gene eugene|ben bennett|lou louis|lou louise|"
+    "terry terence|terry theresa|jackie jacqueline|jess jessica|mel melanie|val valerie|val valentin|theo theodora|leo leopold|dan danielle"
 )
 DOTTED = re.compile(r"\b(?:\w\.){2,}")
 
@@ -86,9 +90,10 @@ def suffix_candidates(words: DataFrame, shortest: int = 4, common: int = 60) ->
     than ``common`` words have isn't dropped at once: it is refined by the first
     letter and the length of the word, with one letter more or less allowed.
     Only what stays more common than that is discarded. Words with a suffix
-    that was refined, and words of under ten letters, also meet by an exact
-    way: by their spellings with one letter left out, which two words with one
-    letter wrong, missing, added or swapped share.
+    that was refined also meet by an exact way, whatever was discarded: by
+    their spellings with one, from 9 letters on two, from 12 on three letters
+    left out, of which two words of an LCS distance of so many letters share
+    one. Words of under ten letters always meet by one letter left out.
     ``words``: kind, w and n.
     """
     ends = F.array(F.struct(F.lit("s").alias("end"), F.col("w").alias("x")), F.struct(F.lit("p").alias("end"), F.reverse("w").alias("x")))
@@ -108,8 +113,15 @@ def suffix_candidates(words: DataFrame, shortest: int = 4, common: int = 60) ->
     fine = fine.withColumn("key", F.concat_ws("|", "key", "l"))
     fine = fine.join(fine.groupBy("kind", "key").agg(F.count("*").alias("m")), ["kind", "key"])
     rest = fine.select("kind", "w").unionByName(words.filter("length(w) < 10").select("kind", "w")).distinct()
-    cut = F.expr("array_distinct(array_append(transform(sequence(1, length(w)), i -> concat('d|', left(w, i - 1), substring(w, i + 1))), concat('d|', w)))")
-    keyed = plain.unionByName(fine.filter(F.col("m") <= 4 * common).select("kind", "w", "key")).unionByName(rest.select("kind", "w", F.explode(cut).alias("key")))
+    # the spellings with letters left out, as hashes; what shares a hash only is compared in vain
+    less = lambda x: f"array_distinct(flatten(transform({x}, y -> transform(sequence(1, length(y)), i -> concat(left(y, i - 1), substring(y, i + 1))))))"
+    rest = rest.withColumn("one", F.expr(less("array(w)")))
+    rest = rest.withColumn("two", F.expr(f"IF(length(w) >= 9, {less('one')}, array())"))
+    rest = rest.withColumn("three", F.expr(f"IF(length(w) >= 12, {less('two')}, array())"))
+    rest = rest.select("kind", "w", F.explode(F.expr("concat(array(w), one, two, three)")).alias("x"))
+    rest = rest.select("kind", "w", F.xxhash64(F.lit("d"), "x").alias("key"))
+    hashed = lambda x: x.select("kind", "w", F.xxhash64("key").alias("key"))
+    keyed = hashed(plain).unionByName(hashed(fine.filter(F.col("m") <= 4 * common))).unionByName(rest)
     return (
         keyed.select("kind", F.col("w").alias("t"), "key")
         .join(keyed.select("kind", F.col("w").alias("u"), "key"), ["kind", "key"])
@@ -200,7 +212,8 @@ def name_identities(
     without titles and legal forms. Misspelt words are led back to the
     established spelling (suffix blocking, LCS ratio, see
     ``canonical_words``), short forms to the formal given name (a fixed list,
-    and what resolved aliases of persons show).
+    and what resolved aliases of persons show; of several the one with which
+    one person of the other words is known, else the best supported).
 
     A person is the set of these words in any order; an initial and one word
     belong to the only person with that word and a word of that initial, and to
@@ -255,9 +268,12 @@ def name_identities(
     seen = seen.join(ns("p"), "p").join(ns("q"), "q")
     first = F.struct(F.col("n_p"), F.col("p")) >= F.struct(F.col("n_q"), F.col("q"))
     seen = seen.select(F.when(first, F.col("q")).otherwise(F.col("p")).alias("w"), F.when(first, F.col("p")).otherwise(F.col("q")).alias("formal"), "k")
-    listed = [x.split() for x in SHORT_FORMS.split("|")]
-    listed = entities.sparkSession.createDataFrame(listed, "w string, formal string").withColumn("k", F.lit(1).cast("bigint"))
-    short = seen.unionByName(listed).groupBy("w").agg(F.max(F.struct("k", "formal")).alias("b")).select("w", F.col("b.formal").alias("formal"))
+    listed = [(*x.split(), i) for i, x in enumerate(SHORT_FORMS.split("|"))]  # of several formal names the first is the usual one
+    listed = entities.sparkSession.createDataFrame(listed, "w string, formal string, at int")
+    listed = listed.withColumn("k", F.lit(1.0) / (F.row_number().over(Window.partitionBy("w").orderBy("at"))))
+    seen = seen.withColumn("k", F.col("k").cast("double")).unionByName(listed.drop("at"))
+    short = seen.groupBy("w").agg(F.max(F.struct("k", "formal")).alias("b"), F.collect_set("formal").alias("every"))
+    short = short.select("w", F.col("b.formal").alias("formal"), F.array_sort(F.array_remove("every", F.col("b.formal"))).alias("others"))
     short = small_side(short.withColumn("kind", F.lit("p")), 100_000)
 
     # how often a word leads the names of organisations that have it
@@ -267,15 +283,28 @@ def name_identities(
     per = records.select("record", "kind", F.posexplode("words").alias("at", "raw"))
     per = per.join(fixed.select("kind", F.col("w").alias("raw"), "c"), ["kind", "raw"], "left").withColumn("w", F.coalesce("c", "raw")).drop("c")
     per = per.join(lead, ["kind", "w"], "left").join(short, ["kind", "w"], "left")
-    row = F.struct("at", "w", F.coalesce("lead", F.lit(0.5)).alias("lead"), F.coalesce("formal", "w").alias("g"))
+    row = F.struct("at", "w", F.coalesce("lead", F.lit(0.5)).alias("lead"), F.coalesce("formal", "w").alias("g"), F.coalesce("others", F.array().cast("array<string>")).alias("others"))
     per = table(per.groupBy("record", "kind").agg(F.array_sort(F.collect_list(row)).alias("l")), "canonical")
 
     persons = per.filter("kind = 'p'").select(
         "record",
         F.expr("array_sort(array_distinct(transform(filter(l, x -> length(x.w) > 1), x -> x.g)))").alias("long"),
         F.expr("transform(filter(l, x -> length(x.w) = 1), x -> x.w)").alias("initials"),
+        # the same with another formal name of a short form
+        F.expr(
+            """flatten(transform(filter(l, x -> size(x.others) > 0), x -> transform(x.others, o ->
+            array_sort(array_distinct(transform(filter(l, y -> length(y.w) > 1), y -> IF(y.at = x.at, o, y.g)))))))"""
+        ).alias("also"),
     )
-    full = persons.filter("size(long) >= 2").select("record", "long", F.concat(F.lit("p|"), F.array_join("long", "|")).alias("identity"))
+    whole = persons.filter("size(long) >= 2").select("record", "long", "also")
+    # of several formal names the one counts with which somebody is known, if that is one person only
+    known = whole.filter("size(also) = 0").select(F.col("long").alias("fit")).distinct()
+    open_ = whole.filter("size(also) > 0")
+    fits = open_.select("record", F.explode(F.array_append("also", F.col("long"))).alias("fit")).distinct().join(known, "fit")
+    fits = fits.groupBy("record").agg(F.min("fit").alias("lo"), F.max("fit").alias("hi")).filter("lo = hi").select("record", "lo")
+    open_ = open_.join(fits, "record", "left").select("record", F.coalesce("lo", "long").alias("long"))
+    full = whole.filter("size(also) = 0").select("record", "long").unionByName(open_)
+    full = full.withColumn("identity", F.concat(F.lit("p|"), F.array_join("long", "|")))
     idents = full.select("identity", "long").distinct()
     other = idents.select("identity", F.explode("long").alias("w"), "long").select("identity", "w", F.explode("long").alias("g")).filter("w <> g")
     only = other.groupBy("w", F.substring("g", 1, 1).alias("i")).agg(F.min("identity").alias("lo"), F.max("identity").alias("hi"))

@@ -99,3 +99,36 @@ def test_suffix_candidates_miss_no_single_edit(spark):
         got = {(x.t, x.u) for x in suffix_candidates(df, common=common).filter("kind = 'p'").collect()}
         want = {(a, b) for a, b in combinations(words, 2) if one_edit(a, b)}
         assert want <= got and all({a, b} <= set(words) for a, b in got)
+
+
+def test_crowded_suffixes_lose_no_pair(spark):
+    """Words that all share their ends, of which every suffix counts as crowded: each pair of an LCS distance up to three meets."""
+    import random
+
+    from chronoloom.llm.names import suffix_candidates
+
+    r = random.Random(9)
+    base = ["".join(r.choice("abcdefgh") for _ in range(r.randint(7, 9))) for _ in range(12)]
+    words = set(base)
+    for w in base:
+        for edits in (1, 2, 3, 3):
+            x = w
+            for _ in range(edits):
+                i = r.randrange(len(x))
+                x = r.choice((x[:i] + r.choice("xyz") + x[i:], x[:i] + x[i + 1 :], x[:i] + r.choice("xyz") + x[i + 1 :]))
+            words.add(x)
+    words = sorted({f"so{w}key" for w in words})
+    near = {(a, b) for a, b in combinations(words, 2) if (d := len(a) + len(b) - 2 * lcs_length(a, b)) <= 3 and 1 - d / (len(a) + len(b)) >= 0.85}
+    df = spark.createDataFrame([("p", w, 1) for w in words], "kind string, w string, n bigint")
+    got = {(x.t, x.u) for x in suffix_candidates(df, common=0).collect()}
+    assert len(near) > 20 and near <= got
+
+
+def test_short_form_of_several_names(spark):
+    """Sam is the Samuel or the Samantha of the family that has one only; with neither the usual one."""
+    e = [
+        ("1", "Samuel Rorvazalzoxau", "Person", 0), ("2", "Sam Rorvazalzoxau", "Person", 0), ("3", "Samantha Kouckotipello", "Person", 0), ("4", "Kouckotipello, Sam", "Person", 0),
+        ("5", "Samuel Thimatorvanin", "Person", 0), ("6", "Samantha Thimatorvanin", "Person", 0), ("7", "Sam Thimatorvanin", "Person", 0),
+    ]
+    got = {tuple(r) for r in identity_pairs(name_identities(spark.createDataFrame(e, ENT), spark.createDataFrame([], AL), **KW)).collect()}
+    assert got == {("1", "2"), ("3", "4"), ("6", "7")}
