@@ -62,8 +62,7 @@ class Graph:
         if vector is None:
             return search.top(hits, limit, id="id")
         near = vectors.similar(self.store.table("embeddings"), vector, embedding="embedding").select("id", "similarity").join(eps.select("id"), "id", "left_semi")
-        legs = [search.ranked(hits, id="id", most=max(10 * limit, 200)), search.ranked(near, id="id", score="similarity")]
-        return search.top(search.fuse(legs, id="id"), limit, id="id")
+        return search.fused(hits, near, id="id", limit=limit)
 
     def get_decision(self, id: str) -> DataFrame:
         """An episode with the entities linked to it."""

@@ -36,19 +36,20 @@ def episode_candidates(df: DataFrame) -> DataFrame:
     )
 
 
-def candidates(tables: dict[str, DataFrame], query: str, *, pool: int = POOL, patterns: int = 50, limit: int = 100) -> DataFrame:
+def candidates(tables: dict[str, DataFrame], query: str, *, pool: int = POOL, patterns: int = 50, limit: int = 100, repeats: bool = False) -> DataFrame:
     """Candidates with a ``text_score``: the best of three text searches and the neighbours of the entities found.
 
     Each leg is cut to ``pool`` by TakeOrdered before anything is joined, so
     all joins have a side of at most ``pool`` rows. A current neighbour of a
     found entity has ``HOP_SCORE``; the higher score of a key wins. At most
-    ``patterns`` patterns stay.
+    ``patterns`` patterns stay. With ``repeats`` rows that a table has more
+    than once count once.
     """
     ents, edges, eps = tables["entities"].filter(soft_live()), tables["edges"].filter(soft_live()), tables["episodes"]
     legs = []
     found = None
     for df, cols, make in ((ents, ["name", "entity_type", "summary"], entity_candidates), (edges, ["fact", "relation"], edge_candidates), (eps, ["content", "source", "metadata"], episode_candidates)):
-        hits = top(bm25(df, query, cols, id="id"), pool, id="id")
+        hits = top(bm25(df, query, cols, id="id", repeats=repeats), pool, id="id")
         if df is ents:
             found = hits
         legs.append(make(df).join(F.broadcast(hits.withColumnRenamed("score", "text_score")), "id"))
@@ -73,11 +74,12 @@ def rank(cands: DataFrame, now: Column) -> DataFrame:
     return scored.filter("score > 0")
 
 
-def pack(ranked: DataFrame, budget: int, *, most: int = 1000) -> DataFrame:
+def pack(ranked: DataFrame, budget: int, *, most: int) -> DataFrame:
     """Takes candidates in the order of their score as long as they fit, skipping those that don't.
 
-    Not a running sum: a skipped item uses nothing. The fold runs over the
-    ``most`` best rows, in one array of bounded size; a budget of 0 is empty.
+    Not a running sum: a skipped item uses nothing. The fold runs over one array
+    of the ``most`` rows that ``candidates`` was limited to (a feature: the
+    number of memories asked for); a budget of 0 is empty.
     """
     costed = ranked.withColumn("tokens", tokens_of("content")).orderBy(F.desc("score"), "kind", "id").limit(most)
     row = F.struct((-F.col("score")).alias("o"), "kind", "id", "tokens", "score")
@@ -92,6 +94,6 @@ def pack(ranked: DataFrame, budget: int, *, most: int = 1000) -> DataFrame:
     return taken.select(F.explode("ids").alias("x")).select("x.*")
 
 
-def context(tables: dict[str, DataFrame], query: str, now: Column, *, budget: int = 20_000, limit: int = 100, patterns: int = 50) -> DataFrame:
+def context(tables: dict[str, DataFrame], query: str, now: Column, *, budget: int = 20_000, limit: int = 100, patterns: int = 50, repeats: bool = False) -> DataFrame:
     """(kind, id, tokens, score): the memories to put before a model for ``query``."""
-    return pack(rank(candidates(tables, query, limit=limit, patterns=patterns), now), budget)
+    return pack(rank(candidates(tables, query, limit=limit, patterns=patterns, repeats=repeats), now), budget, most=limit)

@@ -6,13 +6,15 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from chronoloom.functions.columns import MARKED, BARE, terms
 
 K1, B = 1.2, 0.75
-PARTS = 64
 _FOLD = str.maketrans(MARKED, BARE)
 
 
@@ -71,15 +73,16 @@ def _hits(unit, doc: Column, by_column: dict[str, Column]) -> Column:
     return F.size(F.filter(doc, here))
 
 
-def bm25(df: DataFrame, query: str | Match, columns: list[str], *, id: str, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(df: DataFrame, query: str | Match, columns: list[str], *, id: str, k1: float = K1, b: float = B, repeats: bool = False) -> DataFrame:
     """``id`` and ``score`` of every row that matches, larger is better.
 
     A row's document is all of ``columns``; a term's weight is
     ln((N - n + 0.5) / (n + 0.5)), a millionth where that isn't positive; a
     phrase is one term, excluded terms add nothing. Two passes over the table:
     one global aggregate (N, mean length, n of each term: one row), then the
-    scores; nothing is shuffled but that row. An empty query or table gives no
-    rows, null texts are empty.
+    scores; nothing is shuffled but that row. With ``repeats`` rows that occur
+    more than once count once: ids and counts are shuffled for it, texts never.
+    An empty query or table gives no rows, null texts are empty.
     """
     q = match(query) if isinstance(query, str) else query
     units = q.units()
@@ -95,6 +98,7 @@ def bm25(df: DataFrame, query: str | Match, columns: list[str], *, id: str, k1:
         *(_hits(u, F.col("_doc"), by_column).alias(f"_f{i}") for i, u in enumerate(units)),
         *(_hits(u, F.col("_doc"), by_column).alias(f"_x{i}") for i, u in enumerate(q.none)),
     )
+    counted = counted.distinct() if repeats else counted
     stats = counted.agg(
         F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"_n{i}") for i in range(len(units)))
     )
@@ -116,24 +120,58 @@ def top(df: DataFrame, k: int, *, id: str, score: str = "score") -> DataFrame:
     return df.orderBy(F.desc(score), id).limit(k)
 
 
-def ranked(df: DataFrame, *, id: str, score: str = "score", most: int | None = None) -> DataFrame:
-    """Adds the 1-based ``rank`` by score, ties by id, of the ``most`` best rows (or all).
+def ranked(df: DataFrame, *, id: str, score: str = "score", most: int) -> DataFrame:
+    """The ``most`` best rows with their 1-based ``rank`` by score, ties by id; bounded before the window."""
+    return top(df, most, id=id, score=score).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), id)))
 
-    With ``most`` the rows that are ranked are bounded before the window.
-    Without it rows are cut into ``PARTS`` ranges of the score at its quantiles
-    (so many numbers are all that reaches the driver), numbered within each
-    range, and shifted by the sizes of the ranges before it, so that no task
-    sees all rows. Null scores rank last.
+
+def ranks_of(df: DataFrame, few: DataFrame, *, id: str, score: str) -> DataFrame:
+    """(``id``, ``rank``): the 1-based ranks that a bounded number of rows (``few``, with ``score``) have among all of ``df``, ties by id.
+
+    Every row of ``df`` is placed between two of the few by binary search and
+    the rows of each place are counted, so nothing is sorted and no task sees
+    more than its own rows; null scores are skipped on both sides.
+    """
+    spark = df.sparkSession
+    rows = sorted({(-r[1], r[0]) for r in few.select(id, score).filter(F.col(score).isNotNull()).collect()})
+    kind = df.schema[id].dataType
+    if not rows:
+        return spark.createDataFrame([], StructType([StructField(id, kind), StructField("rank", LongType())]))
+    shared = spark.sparkContext.broadcast((np.array([x for x, _ in rows]), np.array([i for _, i in rows], dtype=object)))
+
+    @F.pandas_udf("int")
+    def place(i: pd.Series, x: pd.Series) -> pd.Series:
+        """How many of the few are better."""
+        scores, ids = shared.value
+        x, i = -x.to_numpy(np.float64), i.to_numpy(dtype=object)
+        lo, hi = np.searchsorted(scores, x, "left"), np.searchsorted(scores, x, "right")
+        for a in np.unique(lo[lo < hi]):
+            own = np.flatnonzero((lo == a) & (lo < hi))
+            lo[own] += np.searchsorted(ids[a : hi[own[0]]], i[own], "left")
+        return pd.Series(lo.astype(np.int32))
+
+    sizes = df.filter(F.col(score).isNotNull()).groupBy(place(id, score).alias("at")).agg(F.count("*").alias("n")).collect()
+    n = np.zeros(len(rows) + 1, np.int64)
+    for r in sizes:
+        n[r.at] = r.n
+    return spark.createDataFrame([(i, int(k)) for (_, i), k in zip(rows, np.cumsum(n))], StructType([StructField(id, kind), StructField("rank", LongType())]))
+
+
+def fused(text: DataFrame, vectors: DataFrame, *, id: str, limit: int, keep: DataFrame | None = None, similarity: str = "similarity", k: int = 60) -> DataFrame:
+    """The ``limit`` best rows by fused ranks of text hits (``score``) and of all vectors (``similarity``); ``keep`` filters rows, not ranks.
+
+    A row outside the text leg scores by its vector rank alone, so of those
+    only the best can be in the result. The pool thus is the text leg, at most
+    ten times the limit or 200, and as many of the nearest vectors; exact vector
+    ranks are found for that pool only.
     """
-    if most is not None:
-        return top(df, most, id=id, score=score).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), id)))
-    cuts = sorted(set(df.approxQuantile(score, [i / PARTS for i in range(1, PARTS)], 0.2 / PARTS)))
-    above = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col(score))) if cuts else F.lit(0)
-    parts = df.withColumn("_p", F.when(F.col(score).isNull(), F.lit(PARTS)).otherwise(above))
-    sizes = parts.groupBy("_p").agg(F.count("*").alias("_c"))  # PARTS + 1 rows at most
-    before = sizes.withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("_p").orderBy(F.desc(score), id))
-    return parts.withColumn("rank", inside).join(F.broadcast(before), "_p").withColumn("rank", (F.col("rank") + F.col("_b")).cast("bigint")).drop("_p", "_c", "_b")
+    leg = ranked(text, id=id, most=max(10 * limit, 200)).select(id, "rank")
+    leg = leg.sparkSession.createDataFrame(leg.collect(), leg.schema)  # bounded by the leg's size, and read several times
+    only = (lambda df: df.join(keep.select(id).distinct(), id, "left_semi")) if keep is not None else (lambda df: df)
+    leg = only(leg)
+    near = top(only(vectors), limit + max(10 * limit, 200), id=id, score=similarity)
+    pool = near.select(id, similarity).unionByName(vectors.join(F.broadcast(leg.select(id)), id, "left_semi").select(id, similarity)).distinct()
+    return top(fuse([leg, ranks_of(vectors, pool, id=id, score=similarity)], id=id, k=k), limit, id=id)
 
 
 def fuse(legs: list[DataFrame], *, id: str, k: int = 60) -> DataFrame:

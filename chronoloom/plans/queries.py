@@ -71,8 +71,11 @@ def export_graph(spark, sf_dir):
 
 
 # --- full-text search ---
-def _best(df, text, columns, k=20):
-    return search.top(search.bm25(df, text, columns, id="id"), k, id="id").withColumn("score", F.round("score", 6))
+def _best(spark, sf_dir, table, text, columns, keep=None, k=20):
+    """The best rows of a table that has repeated ones: only ids and counts are compared for that."""
+    df = load(spark, sf_dir, table)
+    hits = search.bm25(df.filter(keep) if keep is not None else df, text, columns, id="id", repeats=True)
+    return search.top(hits, k, id="id").withColumn("score", F.round("score", 6))
 
 
 COLS = ["content", "source", "metadata"]
@@ -80,34 +83,34 @@ COLS = ["content", "source", "metadata"]
 
 @query(bm25_sql(EPI, COLS, [word_sql("retention"), word_sql("rule")], "f0 > 0 AND f1 > 0"))
 def search_episodes(spark, sf_dir):
-    return _best(once(spark, sf_dir, "episodes", "id", *COLS), "retention RULE", COLS)
+    return _best(spark, sf_dir, "episodes", "retention RULE", COLS)
 
 
 @query(bm25_sql(f"(SELECT * FROM {ENT} WHERE {LIVE})", ["name", "entity_type", "summary"], [word_sql("cache"), word_sql("component")], "f0 > 0 AND f1 > 0"))
 def search_entities(spark, sf_dir):
-    return _best(once(spark, sf_dir, "entities", "id", "name", "entity_type", "summary", "metadata").filter(soft_live()), "cache component", ["name", "entity_type", "summary"])
+    return _best(spark, sf_dir, "entities", "cache component", ["name", "entity_type", "summary"], soft_live())
 
 
 @query(bm25_sql(f"(SELECT * FROM {EDG} WHERE {LIVE})", ["fact", "relation"], [word_sql("replaced"), word_sql("mossdb")], "f0 > 0 AND f1 > 0"))
 def search_edges(spark, sf_dir):
-    return _best(once(spark, sf_dir, "edges", "id", "fact", "relation", "metadata").filter(soft_live()), "replaced Mossdb?", ["fact", "relation"])
+    return _best(spark, sf_dir, "edges", "replaced Mossdb?", ["fact", "relation"], soft_live())
 
 
 @query(bm25_sql(EPI, COLS, [phrase_sql("no", "data", "was", "lost")], "f0 > 0"))
 def search_phrase(spark, sf_dir):
     """A phrase is one term with its own frequency."""
-    return _best(once(spark, sf_dir, "episodes", "id", *COLS), '"no data was lost"', COLS)
+    return _best(spark, sf_dir, "episodes", '"no data was lost"', COLS)
 
 
 @query(bm25_sql(EPI, COLS, [word_sql("backfill"), word_sql("timeline")], "(f0 > 0 OR f1 > 0) AND x0 = 0", extra=", " + word_sql("slack") + " AS x0"))
 def search_boolean(spark, sf_dir):
     """OR sums the sides that match, NOT only excludes."""
-    return _best(once(spark, sf_dir, "episodes", "id", *COLS), "backfill OR timeline NOT slack", COLS)
+    return _best(spark, sf_dir, "episodes", "backfill OR timeline NOT slack", COLS)
 
 
 @query(bm25_sql(EPI, COLS, ["len(list_filter(w, lambda x: starts_with(x, 'deprec')))"], "f0 > 0"))
 def search_prefix(spark, sf_dir):
-    return _best(once(spark, sf_dir, "episodes", "id", *COLS), "deprec*", COLS)
+    return _best(spark, sf_dir, "episodes", "deprec*", COLS)
 
 
 @query(rf"""WITH d AS (SELECT id, list_filter(regexp_split_to_array(lower(strip_accents(concat_ws(' ', content, source, metadata))), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w,
@@ -116,7 +119,7 @@ f AS (SELECT id, len(w) AS l, len(list_filter(v, lambda x: x = 'email')) AS f0 F
 SELECT id, round(ln((n - n0 + 0.5) / (n0 + 0.5)) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * l / a)), 6) AS score FROM f, s WHERE f0 > 0
 ORDER BY ln((n - n0 + 0.5) / (n0 + 0.5)) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * l / a)) DESC, id LIMIT 20""")
 def search_column(spark, sf_dir):
-    return _best(once(spark, sf_dir, "episodes", "id", *COLS), "source:email", COLS)
+    return _best(spark, sf_dir, "episodes", "source:email", COLS)
 
 
 # --- vectors and fusion ---
@@ -146,13 +149,10 @@ def nearest_vectors(spark, sf_dir):
 def _fused(spark, sf_dir, only=None, limit=30):
     docs, e = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source"), load(spark, sf_dir, "embeddings")
     q = e.filter("vec_id = 7").select("embedding").first()
-    text = search.ranked(search.bm25(docs, "benchmark replication", ["text", "source"], id="id"), id="id", most=max(10 * limit, 200))
-    near = search.ranked(vectors.similar(e, q.embedding, embedding="embedding").select(F.col("vec_id").alias("id"), "similarity"), id="id", score="similarity")
-    legs = [text, near]
-    if only:  # ranks keep the gaps of the rows left out
-        keep = docs.filter(F.col("source") == only).select("id")
-        legs = [leg.join(keep, "id", "left_semi") for leg in legs]
-    return search.top(search.fuse(legs, id="id"), limit, id="id").withColumn("score", F.round("score", 8))
+    near = vectors.similar(e, q.embedding, embedding="embedding").select(F.col("vec_id").alias("id"), "similarity")
+    keep = docs.filter(F.col("source") == only) if only else None  # ranks keep the gaps of the rows left out
+    got = search.fused(search.bm25(docs, "benchmark replication", ["text", "source"], id="id"), near, id="id", limit=limit, keep=keep)
+    return got.withColumn("score", F.round("score", 8))
 
 
 def _fused_sql(only: str = "", limit: int = 30) -> str:
@@ -456,6 +456,11 @@ def traverse_batch(spark, sf_dir):
 QUERY = "replaced mossdb"
 
 
+def _memories(spark, sf_dir):
+    """The tables as they are: the operators take repeated rows once after the cut, so no content is shuffled."""
+    return {n: load(spark, sf_dir, n) for n in ("episodes", "entities", "edges")}
+
+
 def _leg(df: str, cols: list[str]) -> str:
     return bm25_sql(df, cols, [word_sql(w) for w in QUERY.split()], "f0 > 0 AND f1 > 0", 100)
 
@@ -475,13 +480,13 @@ x AS (SELECT *, CASE WHEN dec = 0 THEN 0 WHEN memory = 'pattern' AND raw > 0 THE
 @query(CAND_SQL + " SELECT kind, id, round(score, 6) AS text_score FROM t")
 def retrieve_candidates(spark, sf_dir):
     """Three text searches and one hop, the best score of each key."""
-    got = retrieval.candidates(tables(spark, sf_dir), QUERY)
+    got = retrieval.candidates(_memories(spark, sf_dir), QUERY, repeats=True)
     return got.select("kind", "id", F.round("text_score", 6).alias("text_score"))
 
 
 @query(CAND_SQL + " SELECT kind, id, round(final, 6) AS score FROM x WHERE final > 0")
 def rank_candidates(spark, sf_dir):
-    got = retrieval.rank(retrieval.candidates(tables(spark, sf_dir), QUERY), now())
+    got = retrieval.rank(retrieval.candidates(_memories(spark, sf_dir), QUERY, repeats=True), now())
     return got.select("kind", "id", F.round("score", 6).alias("score"))
 
 
@@ -491,7 +496,7 @@ w AS (SELECT 0::BIGINT AS r, 400::BIGINT AS room, false AS taken UNION ALL SELEC
 SELECT kind, id, tokens::BIGINT AS tokens, round(final, 6) AS score FROM o JOIN w USING (r) WHERE taken""")
 def retrieve_for_context(spark, sf_dir):
     """The ranked candidates that fit a budget of tokens, taken greedily."""
-    return retrieval.context(tables(spark, sf_dir), QUERY, now(), budget=400).withColumn("score", F.round("score", 6))
+    return retrieval.context(_memories(spark, sf_dir), QUERY, now(), budget=400, repeats=True).withColumn("score", F.round("score", 6))
 
 
 # --- further reports ---

@@ -39,9 +39,9 @@ def test_decay_use_and_recall(spark):
 def test_pack_skips_what_does_not_fit(spark):
     rows = [("entity", "a", "x" * 40, 0.9), ("entity", "b", "x" * 400, 0.8), ("entity", "c", "x" * 40, 0.7), ("entity", "d", None, 0.6)]
     df = spark.createDataFrame(rows, "kind string, id string, content string, score double")
-    assert [r.id for r in retrieval.pack(df, 25).orderBy("id").collect()] == ["a", "c"]
-    assert retrieval.pack(df, 0).count() == 0
-    assert retrieval.pack(df.limit(0), 25).count() == 0
+    assert [r.id for r in retrieval.pack(df, 25, most=100).orderBy("id").collect()] == ["a", "c"]
+    assert retrieval.pack(df, 0, most=100).count() == 0
+    assert retrieval.pack(df.limit(0), 25, most=100).count() == 0
 
 
 def test_match_reads_operators():
@@ -64,13 +64,24 @@ def test_marks_fold(spark):
     assert search.bm25(df, "strasse", ["content"], id="id").count() == 0
 
 
-def test_ranked_matches_window(spark):
+def test_ranks_of_a_few_among_all(spark):
+    """A third of the rows tie; nulls have no rank."""
     r = random.Random(1)
-    rows = [(i, r.choice([None, 0.5, float(r.randint(0, 40))])) for i in range(500)]
-    df = spark.createDataFrame(rows, "id int, score double")
-    got = {x.id: x.rank for x in search.ranked(df, id="id").collect()}
-    want = sorted(rows, key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))
-    assert got == {x[0]: i + 1 for i, x in enumerate(want)}
+    for make in (int, "r{:04}".format):
+        rows = [(make(i), r.choice([None, 0.5, 0.5, float(r.randint(0, 40))])) for i in range(500)]
+        df = spark.createDataFrame(rows, ["id", "score"])
+        want = {x[0]: i + 1 for i, x in enumerate(sorted((x for x in rows if x[1] is not None), key=lambda x: (-x[1], x[0])))}
+        few = r.sample(rows, 60)
+        got = {x.id: x.rank for x in search.ranks_of(df, spark.createDataFrame(few, ["id", "score"]), id="id", score="score").collect()}
+        assert got == {i: want[i] for i, x in few if x is not None}
+        assert search.ranks_of(df, df.limit(0), id="id", score="score").count() == 0
+        assert {x.id: x.rank for x in search.ranked(df, id="id", most=20).collect()} == {i: n for i, n in want.items() if n <= 20}
+
+
+def test_repeated_rows_count_once_in_a_search(spark):
+    rows = [(i, t) for i, t in enumerate(("a red fox", "a red hen", "no bird", "red red red", "blue"))]
+    df, more = spark.createDataFrame(rows, "id int, content string"), spark.createDataFrame(rows + rows[:3] + rows[1:2], "id int, content string")
+    assert sorted(search.bm25(df, "red", ["content"], id="id").collect()) == sorted(search.bm25(more, "red", ["content"], id="id", repeats=True).collect())
 
 
 def test_cosine_edges(spark):
