@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +47,9 @@ class Graph:
             F.sha2(F.concat_ws("|", "id", "source_id", "relation", "target_id"), 256).alias("id"), "source_id", "target_id", "relation",
             F.concat_ws(" ", "head", "relation", "tail").alias("fact"), at.alias("recorded_at"), F.lit(0.65).alias("confidence"), F.col("id").alias("episode_id"), F.lit("fact").alias("memory_type"), F.lit(7_776_000).alias("ttl_seconds"),
         ).dropDuplicates(["id"])
-        against = graph.contradictions(edges, s.table("edges"))
+        # written before the tables that they read are replaced, so that they can be read afterwards
+        ents, edges = table(ents, "entities"), table(edges, "edges")
+        against = table(graph.contradictions(edges, s.table("edges")), "against")
         s.replace("edges", graph.invalidate(s.table("edges"), against.filter("silent"), at, by="new_id").unionByName(s.shaped("edges", edges)).dropDuplicates(["id"]))
         s.insert_or_ignore("aliases", canon.filter("how = 'name'").select(F.sha2(F.concat_ws("|", "canonical_id", "name"), 256).alias("alias_id"), "canonical_id", F.col("name").alias("alias_name")))
         s.insert_or_ignore("episode_entities", links)
@@ -70,10 +74,32 @@ class Graph:
         names = self.store.table("entities").join(F.broadcast(links.distinct()), "id", "left_semi").agg(F.array_sort(F.collect_set("name")).alias("entities"))
         return self.store.get("episodes", id).join(F.broadcast(names))  # one row
 
-    def traverse(self, names: list[str], *, depth: int = 2) -> DataFrame:
-        """What lies within ``depth`` (5 at most) steps of the named entities; unknown names are skipped."""
+    def traverse(self, names: list[str], *, depth: int = 2) -> dict[str, DataFrame]:
+        """The nodes within ``depth`` (5 at most) steps of the named entities and the current edges among them.
+
+        Of several names the unknown ones are skipped; a single unknown name is an error.
+        """
         seeds = self.store.table("entities").filter(F.col("name").isin(names)).groupBy("name").agg(F.min("id").alias("seed"))
-        return graph.traverse(self.store.table("edges"), seeds.select("seed"), depth=min(depth, 5))
+        if len(names) == 1 and seeds.isEmpty():
+            raise KeyError(f"no entity is named {names[0]}")
+        nodes = graph.traverse(self.store.table("edges"), seeds.select("seed"), depth=min(depth, 5))
+        return {"nodes": nodes, "edges": graph.induced(graph.current(self.store.table("edges")), nodes)}
+
+    def entity(self, name: str, entity_type: str | None = None) -> DataFrame:
+        """The entity with an exact name, of a type where one is given: the first by id."""
+        df = self.store.table("entities").filter(F.col("name") == name)
+        df = df.filter(F.col("entity_type") == entity_type) if entity_type else df
+        return df.orderBy("id").limit(1)
+
+    def embed(self, name: str, text: str, *, encoder: Callable[..., DataFrame] = vectors.hashed_embedding) -> None:
+        """Stores the vectors of a table's rows that have none yet; ``encoder`` (frame, text column) -> frame with ``embedding``."""
+        rows = self.store.table(name).select("id", F.col(text).alias("_text")).filter("_text IS NOT NULL")
+        rows = rows.join(self.store.table("embeddings").select("id"), "id", "left_anti")
+        self.store.insert_or_ignore("embeddings", encoder(rows, "_text").select("id", F.col("embedding").cast("array<float>").alias("embedding")))
+
+    def patterns(self, *, limit: int = 20) -> DataFrame:
+        """Stored patterns, the most frequent first."""
+        return self.store.table("patterns").orderBy(F.desc("episodes"), "id").limit(limit)
 
     def find_precedents(self, vector: list[float], *, limit: int = 5) -> DataFrame:
         near = vectors.similar(self.store.table("embeddings"), vector, embedding="embedding").select("id", "similarity")
@@ -95,19 +121,24 @@ class Graph:
         return retrieval.context(self.store.tables(), text, now if now is not None else F.current_timestamp(), budget=budget)
 
     # --- learning and forgetting ---
-    def learn(self, *, agent: str = "default", scope: str = "private", dry_run: bool = False) -> DataFrame:
-        """Makes skills of what edges show and supersedes the older ones of the same types."""
+    def learn(self, *, agent: str = "default", scope: str = "private", dry_run: bool = False, describe: Callable[[DataFrame], DataFrame] = learning.described) -> DataFrame:
+        """Mines and stores patterns, makes skills of what edges show and supersedes the older ones that share a type.
+
+        ``describe`` adds ``description`` to mined patterns; a stored pattern is kept as it is.
+        """
         new = learning.skills(self.store.table("edges"), self.store.table("entities"))
         if dry_run:
             return new
+        t = self.store.tables()
+        mined = describe(learning.patterns(t["episodes"], t["episode_entities"], t["entities"], t["edges"]))
+        self.store.insert_or_ignore("patterns", mined.select(F.sha2(F.concat_ws("|", "kind", "key"), 256).alias("id"), "kind", "key", F.col("types").alias("entity_types"), "episodes", "confidence", "description", F.current_timestamp().alias("created_at")))
         rows = new.select(
             F.sha2(F.concat_ws("|", "id", F.col("success_count").cast("string"), F.col("failure_count").cast("string")), 256).alias("id"),
             F.concat_ws(" / ", "a", "b").alias("name"), "description", "success_count", "failure_count", "confidence",
             F.array("a", "b").alias("entity_types"), F.lit(scope).alias("scope"), F.lit(agent).alias("created_by_agent"), F.current_timestamp().alias("created_at"),
         )
-        typed = lambda df: df.withColumns({"a": F.get("entity_types", F.lit(0)), "b": F.get("entity_types", F.lit(1))})
         old = self.store.table("skills")
-        gone = learning.supersede(typed(rows), typed(old)).select(F.col("old_id").alias("id"), F.col("superseded_by").alias("_s"))
+        gone = learning.supersede(rows, old).select(F.col("old_id").alias("id"), F.col("superseded_by").alias("_s"))
         kept = old.join(gone, "id", "left").withColumn("superseded_by", F.coalesce("superseded_by", "_s")).drop("_s")
         fresh = self.store.shaped("skills", rows).join(old.select("id"), "id", "left_anti")
         self.store.replace("skills", kept.unionByName(fresh))

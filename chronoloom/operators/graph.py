@@ -46,6 +46,11 @@ def touching(edges: DataFrame, nodes: DataFrame, *, node: str = "id") -> DataFra
     return edges.join(ids, F.col("id") == F.col("_e"), "left_semi")
 
 
+def edges_of_episodes(edges: DataFrame, episodes: DataFrame, *, id: str = "id") -> DataFrame:
+    """Edges whose provenance is one of ``episodes``."""
+    return edges.join(episodes.select(F.col(id).alias("episode_id")), "episode_id", "left_semi").select(*edges.columns)
+
+
 def traverse(edges: DataFrame, starts: DataFrame, *, depth: int = 2, only_current: bool = True, seed: str = "seed") -> DataFrame:
     """(seed, id, depth): the nodes within ``depth`` steps of each seed, over edges in either direction.
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoloom.functions.columns import cut_at_word
+
 # Relations that count as success and as failure.
 SUCCESS = ("fixed", "resolved", "success")
 FAILURE = ("deprecated", "failed", "abandoned")
@@ -52,6 +54,13 @@ def patterns(
     return kept.join(F.broadcast(total)).select("kind", "key", "types", F.col("n").alias("episodes"), (F.col("n") / F.col("total")).alias("confidence"))
 
 
+def described(patterns: DataFrame, *, most: int = 80) -> DataFrame:
+    """Adds ``description``, a label cut at a word's end: the describer to use where no model is at hand."""
+    words = F.regexp_replace("key", r"\|", F.when(F.col("kind") == "triplet", " ").otherwise(" and "))
+    text = F.concat(words, F.lit(" ("), F.array_join("types", ", "), F.lit("), in "), F.col("episodes").cast("string"), F.lit(" episodes"))
+    return patterns.withColumn("description", cut_at_word(text, most))
+
+
 def skills(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """One skill for each pair of connected entity types with a success or failure among its edges.
 
@@ -77,9 +86,16 @@ def skills(edges: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def supersede(new: DataFrame, old: DataFrame) -> DataFrame:
-    """Old active skills with an overlapping pair of types, each with the one skill that replaces it: the surest, then the least id."""
-    pairs = old.filter("superseded_by IS NULL").select(F.col("id").alias("old_id"), "a", "b").join(new.select(F.col("id").alias("new_id"), "a", "b", "confidence"), ["a", "b"])
-    best = pairs.filter("old_id <> new_id").groupBy("old_id").agg(F.max(F.struct("confidence", F.col("new_id"))).alias("x"))
+    """(old_id, superseded_by): old active skills that share any entity type with a new one; the surest replaces them, of equal ones the last id.
+
+    Both have ``id`` and ``entity_types``, the new ones ``confidence``. They
+    meet by single types; skills stand for pairs of types, so a type has at most
+    as many skills as there are types.
+    """
+    each = lambda df, *c: df.select(*c, F.explode(F.array_distinct("entity_types")).alias("type"))
+    was = each(old.filter("superseded_by IS NULL"), F.col("id").alias("old_id"))
+    met = was.join(each(new, F.col("id").alias("new_id"), "confidence"), "type").filter("old_id <> new_id")
+    best = met.groupBy("old_id").agg(F.max(F.struct("confidence", "new_id")).alias("x"))
     return best.select("old_id", F.col("x.new_id").alias("superseded_by"))
 
 
@@ -90,9 +106,36 @@ def visible(skills: DataFrame, agent: str) -> DataFrame:
 
 def f1(found: Column, expected: Column) -> Column:
     """Exact set F1 of two arrays; 1 where both are empty."""
-    same = F.size(F.array_intersect(found, expected))
-    n = F.size(F.array_distinct(found)) + F.size(F.array_distinct(expected))
-    return F.when(n == 0, F.lit(1.0)).otherwise(2.0 * same / n)
+    return scores(found, expected)["f1"]
+
+
+def _scores(hits: Column, found: Column, expected: Column) -> Column:
+    share = lambda n: F.when((F.size(found) == 0) & (F.size(expected) == 0), F.lit(1.0)).when(n == 0, F.lit(0.0)).otherwise(hits / n)
+    p, r = share(F.size(found)), share(F.size(expected))
+    both = F.when((F.size(found) == 0) & (F.size(expected) == 0), F.lit(1.0)).otherwise(2.0 * hits / (F.size(found) + F.size(expected)))
+    return F.struct(p.alias("precision"), r.alias("recall"), both.alias("f1"))
+
+
+def scores(found: Column, expected: Column) -> Column:
+    """Precision, recall and F1 of two arrays as sets; all 1 where both are empty, a side that alone is empty gives 0."""
+    return _scores(F.size(F.array_intersect(found, expected)), F.array_distinct(found), F.array_distinct(expected))
+
+
+def fuzzy_scores(found: Column, expected: Column) -> Column:
+    """Precision, recall and F1 where a found text counts if it contains an expected one or lies in one, in any letter case.
+
+    In the order of the arrays each found text takes the first expected one
+    that fits and that none has taken.
+    """
+    low = lambda c: F.transform(c, lambda x: F.lower(x))
+    fits = lambda e, f: F.contains(e, f) | F.contains(f, e)
+
+    def take(left: Column, f: Column) -> Column:
+        at = F.array_position(F.transform(left, lambda e: fits(e, f)), True).cast("int")
+        return F.when(at > 0, F.concat(F.slice(left, 1, F.greatest(at - 1, F.lit(0))), F.slice(left, at + 1, F.size(left)))).otherwise(left)
+
+    rest = F.aggregate(low(found), low(expected), take)
+    return _scores(F.size(expected) - F.size(rest), found, expected)
 
 
 def best_per(df: DataFrame, by: list[str], order: list) -> DataFrame:

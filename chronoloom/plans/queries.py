@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chronoloom.common import load
 from chronoloom.functions.columns import archived, flag, memory_class, seconds, soft_live, terms, tokens_of
 from chronoloom.operators import dedup, graph, learning, lifecycle, retrieval, search, vectors
-from chronoloom.plans.base import CLASS, DEFAULT_TTL, LIVE, T, TTL, bm25_sql, decay_sql, flag_sql, now, once, phrase_sql, query, tables, word_sql, words_sql
+from chronoloom.plans.base import CLASS, DEFAULT_TTL, LIVE, SQL, T, TTL, bm25_sql, decay_sql, flag_sql, now, once, phrase_sql, query, tables, word_sql, words_sql
 
 ENT, EDG, EPI = "(SELECT DISTINCT * FROM entities)", "(SELECT DISTINCT * FROM edges)", "(SELECT DISTINCT * FROM episodes)"
 LINKS = "(SELECT DISTINCT episode_id, entity_id FROM episode_entities)"
@@ -552,12 +552,43 @@ def term_statistics(spark, sf_dir):
 
 
 @query(f"""WITH t AS (SELECT DISTINCT id, entity_type AS type FROM entities WHERE entity_type IS NOT NULL), e AS (SELECT DISTINCT id, source_id, target_id, relation, recorded_at FROM edges),
-p AS (SELECT least(s.type, d.type) AS a, greatest(s.type, d.type) AS b, count(*) FILTER (relation IN ('fixed', 'resolved', 'success', 'deprecated', 'failed', 'abandoned')) AS now, count(*) FILTER (relation IN ('fixed', 'resolved', 'success', 'deprecated', 'failed', 'abandoned')
-  AND recorded_at < {AT}) AS old FROM e JOIN t s ON s.id = e.source_id JOIN t d ON d.id = e.target_id GROUP BY 1, 2)
-SELECT 'old|' || a || '|' || b AS old_id, 'new|' || a || '|' || b AS superseded_by FROM p WHERE old > 0 AND now > 0""")
+p AS (SELECT least(s.type, d.type) AS a, greatest(s.type, d.type) AS b, count(*) FILTER (relation IN ('fixed', 'resolved', 'success')) AS ok, count(*) FILTER (relation IN ('deprecated', 'failed', 'abandoned')) AS bad,
+  count(*) FILTER (relation IN ('fixed', 'resolved', 'success', 'deprecated', 'failed', 'abandoned') AND recorded_at < {AT}) AS old FROM e JOIN t s ON s.id = e.source_id JOIN t d ON d.id = e.target_id GROUP BY 1, 2),
+m AS (SELECT o.a AS oa, o.b AS ob, n.a, n.b, n.ok / (n.ok + n.bad) AS conf FROM p o JOIN p n ON o.a IN (n.a, n.b) OR o.b IN (n.a, n.b) WHERE o.old > 0 AND n.ok + n.bad > 0)
+SELECT 'old|' || oa || '|' || ob AS old_id, first('new|' || a || '|' || b ORDER BY conf DESC, 'new|' || a || '|' || b DESC) AS superseded_by FROM m GROUP BY oa, ob""")
 def superseded_skills(spark, sf_dir):
-    """Skills made of the edges up to a time, and what replaces them now."""
+    """Skills made of the edges up to a time, and the surest one of now that shares a type with each."""
     e, ents = load(spark, sf_dir, "edges"), load(spark, sf_dir, "entities")
-    named = lambda df, k: df.withColumn("id", F.concat_ws("|", F.lit(k), "a", "b"))
+    named = lambda df, k: df.select(F.concat_ws("|", F.lit(k), "a", "b").alias("id"), F.array("a", "b").alias("entity_types"), "confidence")
     old = named(learning.skills(e.filter(F.col("recorded_at") < F.lit("2023-06-01").cast("timestamp")), ents), "old").withColumn("superseded_by", F.lit(None).cast("string"))
     return learning.supersede(named(learning.skills(e, ents), "new"), old)
+
+
+@query(_reach_sql(2, "SELECT min(id) AS s FROM entities WHERE entity_type = 'Database'").replace(" SELECT seed, id, min(depth)", ", n AS (SELECT DISTINCT id FROM r2) SELECT e.id, e.source_id, e.relation, e.target_id FROM (SELECT DISTINCT id, source_id, relation, target_id FROM edges WHERE valid_until IS NULL) e WHERE e.source_id IN (FROM n) AND e.target_id IN (FROM n) --"))
+def traverse_edges(spark, sf_dir):
+    """The current edges among all that lies within two steps of one entity."""
+    e = once(spark, sf_dir, "edges", "id", "source_id", "relation", "target_id", "valid_until")
+    start = load(spark, sf_dir, "entities").filter("entity_type = 'Database'").agg(F.min("id").alias("seed"))
+    return graph.induced(graph.current(e), graph.traverse(e, start, depth=2)).select("id", "source_id", "relation", "target_id")
+
+
+@query(f"""SELECT kind, key, CASE WHEN length(d) <= 40 THEN d ELSE regexp_replace(d[:40], '\\s+\\S*$', '') END AS description FROM (
+SELECT kind, key, replace(key, '|', CASE kind WHEN 'triplet' THEN ' ' ELSE ' and ' END) || ' (' || array_to_string(string_split(types, ','), ', ') || '), in ' || episodes || ' episodes' AS d FROM ({SQL['mined_patterns']}))""")
+def described_patterns(spark, sf_dir):
+    """Mined patterns with the label under which they are stored, cut at a word's end."""
+    t = tables(spark, sf_dir, episodes=("id", "source"), entities=("id", "name", "entity_type"), edges=("id", "source_id", "target_id", "relation", "valid_until", "episode_id"))
+    got = learning.patterns(t["episodes"], t["episode_entities"], t["entities"], t["edges"], least=2, least_types=1, most=50)
+    return learning.described(got, most=40).select("kind", "key", "description")
+
+
+@query("SELECT entity_type, name, min(id) AS id FROM entities WHERE name IS NOT NULL AND entity_type IS NOT NULL GROUP BY ALL")
+def entity_by_name_and_type(spark, sf_dir):
+    """The entity that an exact name of a type means: the first by id."""
+    return load(spark, sf_dir, "entities").dropna(subset=["name", "entity_type"]).groupBy("entity_type", "name").agg(F.min("id").alias("id"))
+
+
+@query(f"SELECT id, source_id, target_id, relation, episode_id FROM (SELECT DISTINCT id, source_id, target_id, relation, episode_id FROM edges) WHERE episode_id IN (SELECT id FROM episodes WHERE source = 'slack')")
+def edges_of_episodes(spark, sf_dir):
+    """Edges whose provenance is an episode of one source."""
+    e = once(spark, sf_dir, "edges", "id", "source_id", "target_id", "relation", "episode_id")
+    return graph.edges_of_episodes(e, load(spark, sf_dir, "episodes").filter("source = 'slack'").select("id"))

@@ -21,6 +21,18 @@ def _rel(word: str, shift: int) -> str:
     return f"SELECT id, 'relative' AS layer, '{word}' AS label, {UTC_DAY} + {shift} AS s, NULL AS e, NULL AS months, NULL AS days FROM {EPI} WHERE regexp_matches(content, '(?i)\\b{word}\\b')"
 
 
+MONTH = "(Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
+#: Written dates by their order: day month year, month day year, month year (where no day stands before).
+DMY, MDY, MY = rf"(?i)\b([0-9]{{1,2}}) {MONTH} ([0-9]{{4}})\b", rf"(?i)\b{MONTH} ([0-9]{{1,2}}), ([0-9]{{4}})\b", rf"(?i)\b{MONTH} ([0-9]{{4}})\b"
+
+
+def _written(pattern: str, year: int, month: int, day: int | None, content: str = "content") -> str:
+    x = lambda g: f"regexp_extract(label, '{pattern}', {g})"
+    number = f"(list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], lower(left({x(month)}, 3))))"
+    date = f"try_cast({x(year)} || '-' || lpad({number}::VARCHAR, 2, '0') || '-' || lpad({x(day) if day else chr(39) + '1' + chr(39)}, 2, '0') AS DATE)"
+    return f"SELECT id, 'written', label, {date}, NULL, NULL, NULL FROM (SELECT id, unnest(regexp_extract_all({content}, '{pattern}')) AS label FROM {EPI})"
+
+
 DATES_SQL = rf"""WITH i AS (SELECT id, 'iso' AS layer, unnest(regexp_extract_all(content, '\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\b')) AS label FROM {EPI}),
 f AS (SELECT id, unnest(regexp_extract_all(content, '(?i)\bQ[1-4] [0-9]{{4}}\b')) AS label FROM {EPI}),
 g AS (SELECT id, recorded_at, unnest(regexp_extract_all(content, '(?i)\b[0-9]{{1,3}} (?:days?|weeks?) ago\b')) AS label FROM {EPI}),
@@ -29,13 +41,16 @@ u AS (SELECT id, layer, label, try_cast(label AS DATE) AS s, NULL::DATE AS e, NU
 UNION ALL SELECT id, 'fiscal', label, make_date(right(label, 4)::BIGINT, label[2]::BIGINT * 3 - 2, 1), last_day(make_date(right(label, 4)::BIGINT, label[2]::BIGINT * 3, 1)), NULL, NULL FROM f
 UNION ALL SELECT id, 'relative', label, {UTC_DAY} - (regexp_extract(label, '[0-9]+')::INT * CASE WHEN label ILIKE '%week%' THEN 7 ELSE 1 END), NULL, NULL, NULL FROM g
 UNION ALL SELECT id, 'duration', label, NULL, NULL, CASE WHEN label ILIKE '%month%' THEN regexp_extract(label, '[0-9]+')::INT END, CASE WHEN label NOT ILIKE '%month%' THEN regexp_extract(label, '[0-9]+')::INT * CASE WHEN label ILIKE '%week%' THEN 7 ELSE 1 END END FROM d
+UNION ALL SELECT id, 'iso', label, try_cast(label || '-01' AS DATE), NULL, NULL, NULL FROM (SELECT id, unnest(regexp_extract_all(content, '\b[0-9]{{4}}-[0-9]{{2}}\b(?:-[0-9])?')) AS label FROM {EPI}) WHERE length(label) = 7
+UNION ALL SELECT id, 'fiscal', label, make_date(2000 + right(label, 2)::BIGINT, 1, 1), make_date(2000 + right(label, 2)::BIGINT, 12, 31), NULL, NULL FROM (SELECT id, unnest(regexp_extract_all(content, '\bFY(?:[0-9]{{4}}|[0-9]{{2}})\b')) AS label FROM {EPI})
+UNION ALL {_written(MDY, 3, 1, 2)} UNION ALL {_written(DMY, 3, 2, 1)} UNION ALL {_written(MY, 2, 1, None, f"regexp_replace(content, '{DMY}', ' ', 'g')")}
 UNION ALL {' UNION ALL '.join(_rel(w, n) for w, n in (('today', 0), ('yesterday', -1), ('tomorrow', 1), ('last week', -7), ('last month', -30)))})
 SELECT id, layer, label, strftime(s, '%Y-%m-%d') AS start_day, strftime(e, '%Y-%m-%d') AS end_day, months, days, count(*) AS n FROM u WHERE layer = 'duration' OR s IS NOT NULL GROUP BY ALL"""
 
 
 @query(DATES_SQL)
 def dates_in_episodes(spark, sf_dir):
-    """Dates, ranges and durations written in the episodes; the SQL lacks month names, YYYY-MM and FY labels."""
+    """Dates, ranges and durations written in the episodes."""
     got = dates.dates_in(_eps(spark, sf_dir), id="id", text="content", reference="recorded_at")
     return got.groupBy("id", "layer", "label", F.col("start").cast("string").alias("start_day"), F.col("end").cast("string").alias("end_day"), "months", "days").agg(F.count("*").alias("n"))
 
@@ -62,13 +77,18 @@ def mentions(spark, sf_dir):
     return extract.mentions(_eps(spark, sf_dir), id="id", text="content")
 
 
+BETWEEN = r"[^\p{L}\p{N}]"
+
+
 @query(rf"""WITH c AS MATERIALIZED (SELECT e.id AS episode_id, n.id AS entity_id, e.content, n.name FROM {EPI} e JOIN (SELECT DISTINCT id, name FROM entities
-WHERE trim(name) <> '' AND len(list_filter(regexp_split_to_array(lower(name), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) BETWEEN 1 AND 6) n ON contains(e.content, n.name))
-SELECT DISTINCT episode_id, entity_id FROM c WHERE regexp_matches(content, '(^|[^\p{{L}}\p{{N}}])' || regexp_escape(name) || '($|[^\p{{L}}\p{{N}}])')""")
+WHERE regexp_matches(name, '[\p{{L}}\p{{N}}]')) n ON contains(e.content, n.name)),
+p AS (SELECT DISTINCT episode_id, entity_id, name,
+ regexp_extract(content, '(?s)^(.*?{BETWEEN})' || regexp_escape(name) || '(?:$|{BETWEEN})', 1) AS before, regexp_matches(content, '(?s)^' || regexp_escape(name) || '(?:$|{BETWEEN})') AS first FROM c)
+SELECT episode_id, entity_id, CASE WHEN first THEN 0 ELSE strlen(before) END::BIGINT AS span_start, CASE WHEN first THEN 0 ELSE strlen(before) END::BIGINT + strlen(name) AS span_end FROM p WHERE first OR before <> ''""")
 def dictionary_links(spark, sf_dir):
-    """Entities whose name stands in an episode."""
+    """Entities whose name stands in an episode, with the bytes of the first mention."""
     got = extract.dictionary_links(_eps(spark, sf_dir).filter("content IS NOT NULL"), load(spark, sf_dir, "entities").select(F.col("id").alias("entity_id"), "name"), id="id", text="content", name_id="entity_id", name="name")
-    return got.select(F.col("id").alias("episode_id"), "entity_id").distinct()
+    return got.select(F.col("id").alias("episode_id"), "entity_id", "span_start", "span_end").distinct()
 
 
 UA = ' UNION ALL '
@@ -142,10 +162,44 @@ SELECT e.id, round(CASE WHEN coalesce(nf, 0) + coalesce(ne, 0) = 0 THEN 1.0 ELSE
 FROM (SELECT DISTINCT id FROM episodes) e LEFT JOIN a USING (id) LEFT JOIN b USING (id) LEFT JOIN c USING (id)""")
 def extraction_f1(spark, sf_dir):
     """F1 of the mentions found by rules against the linked entities, per episode."""
-    found = extract.mentions(_eps(spark, sf_dir), id="id", text="content").groupBy("id").agg(F.collect_set("mention").alias("found"))
+    found, expected, got = _found_and_expected(spark, sf_dir)
+    return got.select("id", F.round(learning.f1(found, expected), 6).alias("f1"))
+
+
+def _found_and_expected(spark, sf_dir):
+    found = extract.mentions(_eps(spark, sf_dir), id="id", text="content").groupBy("id").agg(F.array_sort(F.collect_set("mention")).alias("found"))
     names = load(spark, sf_dir, "entities").filter("name IS NOT NULL").select(F.col("id").alias("entity_id"), "name").distinct()
     links = load(spark, sf_dir, "episode_entities").select(F.col("episode_id").alias("id"), "entity_id").distinct()
-    want = links.join(names, "entity_id").groupBy("id").agg(F.collect_set("name").alias("expected"))
+    want = links.join(names, "entity_id").groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("expected"))
     got = load(spark, sf_dir, "episodes").select("id").distinct().join(found, "id", "left").join(want, "id", "left")
     none = F.array().cast("array<string>")
-    return got.select("id", F.round(learning.f1(F.coalesce("found", none), F.coalesce("expected", none)), 6).alias("f1"))
+    return F.coalesce("found", none), F.coalesce("expected", none), got
+
+
+FOUND_SQL = rf"""WITH f AS (SELECT id, list_sort(list_distinct(list(mention))) AS found FROM (SELECT id, unnest(regexp_extract_all(content, '\b(?:{M})\b')) AS mention FROM {EPI}) GROUP BY id),
+x AS (SELECT l.episode_id AS id, list_sort(list_distinct(list(n.name))) AS expected FROM episode_entities l JOIN entities n ON n.id = l.entity_id WHERE n.name IS NOT NULL GROUP BY 1),
+b AS (SELECT e.id, coalesce(found, []) AS found, coalesce(expected, []) AS expected FROM (SELECT DISTINCT id FROM episodes) e LEFT JOIN f USING (id) LEFT JOIN x USING (id)),"""
+SCORES_SQL = """SELECT id, round(CASE WHEN len(found) + len(expected) = 0 THEN 1.0 WHEN len(found) = 0 THEN 0.0 ELSE hits::DOUBLE / len(found) END, 6) AS precision,
+round(CASE WHEN len(found) + len(expected) = 0 THEN 1.0 WHEN len(expected) = 0 THEN 0.0 ELSE hits::DOUBLE / len(expected) END, 6) AS recall,
+round(CASE WHEN len(found) + len(expected) = 0 THEN 1.0 ELSE 2.0 * hits / (len(found) + len(expected)) END, 6) AS f1 FROM s"""
+
+
+def _rounded(got, x):
+    return got.select("id", x.alias("x")).select("id", *(F.round(f"x.{c}", 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query(FOUND_SQL + " s AS (SELECT *, len(list_intersect(found, expected)) AS hits FROM b) " + SCORES_SQL)
+def extraction_scores(spark, sf_dir):
+    """Precision, recall and F1 of the mentions against the linked entities, by equal names."""
+    found, expected, got = _found_and_expected(spark, sf_dir)
+    return _rounded(got, learning.scores(found, expected))
+
+
+LEFT = "list_reduce(list_prepend(list_transform(expected, lambda e: lower(e)), list_transform(found, lambda f: [lower(f)])), lambda acc, f: CASE WHEN len(list_filter(acc, lambda e: contains(e, f[1]) OR contains(f[1], e))) = 0 THEN acc ELSE list_filter(acc, lambda e, i: i <> list_position(list_transform(acc, lambda y: contains(y, f[1]) OR contains(f[1], y)), true)) END)"
+
+
+@query(FOUND_SQL + f" s AS (SELECT *, len(expected) - len({LEFT}) AS hits FROM b) " + SCORES_SQL)
+def extraction_fuzzy_scores(spark, sf_dir):
+    """The same where one name may contain the other; each expected name counts once."""
+    found, expected, got = _found_and_expected(spark, sf_dir)
+    return _rounded(got, learning.fuzzy_scores(found, expected))

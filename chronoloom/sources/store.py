@@ -17,6 +17,8 @@ SCHEMAS = {
     "aliases": "alias_id string, canonical_id string, alias_name string, similarity double",
     "skills": "id string, name string, description string, trigger_condition string, action string, success_count bigint, failure_count bigint, confidence double, superseded_by string, created_at timestamp, entity_types array<string>, scope string, created_by_agent string",
     "embeddings": "id string, embedding array<float>",
+    "patterns": "id string, kind string, key string, entity_types array<string>, episodes bigint, confidence double, description string, created_at timestamp",
+    "metadata": "key string, value string, written_at timestamp",
 }
 #: What makes a row of a table the same row.
 KEYS = {"episode_entities": ["episode_id", "entity_id"], "aliases": ["canonical_id", "alias_name"]}
@@ -25,9 +27,10 @@ KEYS = {"episode_entities": ["episode_id", "entity_id"], "aliases": ["canonical_
 class GraphStore:
     """Tables under one path of any file system that Spark knows.
 
-    Every table is a folder of Parquet files; ``append`` adds files, so
-    readers see whole versions of it. Rewrites go to a new folder that then
-    takes the place of the old one.
+    Every table is a folder of numbered versions, each a folder of Parquet
+    files; the highest complete one counts. ``append`` adds files to it;
+    ``replace`` writes the next one and keeps the one before it, so there
+    always is a whole table and frames read before a rewrite still run.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -38,18 +41,39 @@ class GraphStore:
         """Empty tables at ``path``; fails if there are some unless ``exist_ok``."""
         store = cls(spark, path)
         for name, ddl in SCHEMAS.items():
-            store.empty(name, ddl).write.mode("ignore" if exist_ok else "errorifexists").parquet(store.at(name))
+            there = store._versions(name)
+            if there and not exist_ok:
+                raise FileExistsError(f"{store.path} has a table {name}")
+            if not there:
+                store.empty(name, ddl).write.parquet(f"{store.path}/{name}/0")
         return store
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> GraphStore:
         """An existing store; fails if there is none."""
         store = cls(spark, path)
-        store.table("episodes").schema  # noqa: B018  raises where nothing is
+        store.at("episodes")
         return store
 
+    def _folder(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _versions(self, name: str) -> list[int]:
+        """The numbers of the table's complete versions."""
+        fs, path = self._folder(name)
+        if not fs.exists(path):
+            return []
+        got = [x.getPath() for x in fs.listStatus(path)]
+        child = self.spark._jvm.org.apache.hadoop.fs.Path
+        return sorted(int(p.getName()) for p in got if p.getName().isdigit() and fs.exists(child(p, "_SUCCESS")))
+
     def at(self, name: str) -> str:
-        return f"{self.path}/{name}.parquet"
+        """Where the table's present version lies."""
+        there = self._versions(name)
+        if not there:
+            raise FileNotFoundError(f"{self.path} has no table {name}")
+        return f"{self.path}/{name}/{there[-1]}"
 
     def empty(self, name: str, ddl: str | None = None) -> DataFrame:
         return self.spark.createDataFrame([], ddl or SCHEMAS[name])
@@ -79,13 +103,20 @@ class GraphStore:
         new.write.mode("append").parquet(self.at(name))
 
     def replace(self, name: str, df: DataFrame) -> None:
-        """Rewrites a table, also from frames that read it: the new files are complete before they take its place."""
-        self.shaped(name, df).write.mode("overwrite").parquet(self.at(name) + ".new")
-        jvm = self.spark._jvm
-        old, new = jvm.org.apache.hadoop.fs.Path(self.at(name)), jvm.org.apache.hadoop.fs.Path(self.at(name) + ".new")
-        fs = old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(old, True)
-        fs.rename(new, old)
+        """Rewrites a table, also from frames that read it: the new version counts once it is complete, all but the last one before it go."""
+        there = self._versions(name)
+        self.shaped(name, df).write.mode("overwrite").parquet(f"{self.path}/{name}/{there[-1] + 1}")
+        fs, path = self._folder(name)
+        for v in there[:-1]:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, str(v)), True)
+
+    def get_metadata(self, key: str) -> str | None:
+        """A value of the store's own, the last that was set."""
+        row = self.table("metadata").filter(F.col("key") == key).agg(F.max_by("value", "written_at").alias("v")).first()
+        return row.v
+
+    def set_metadata(self, key: str, value: str) -> None:
+        self.append("metadata", self.spark.createDataFrame([(key, value)], "key string, value string").withColumn("written_at", F.current_timestamp()))
 
     def export(self, path: str, *, entity_type: str | None = None, kind: str = "json") -> None:
         """Writes entities (of a type), the edges that touch them and their episodes."""

@@ -160,13 +160,22 @@ def test_update_expire_and_refusal(spark):
 
 
 def test_supersede_and_f1(spark):
-    new = spark.createDataFrame([("n1", "A", "B", 0.5), ("n2", "A", "B", 0.9)], "id string, a string, b string, confidence double")
-    old = spark.createDataFrame([("o1", "A", "B", None), ("o2", "A", "C", None), ("o3", "A", "B", "zz")], "id string, a string, b string, superseded_by string")
-    assert [(r.old_id, r.superseded_by) for r in learning.supersede(new, old).collect()] == [("o1", "n2")]
+    """Any shared type supersedes; a skill that is superseded already, or shares none, or is the new one itself, isn't."""
+    new = spark.createDataFrame([("n1", ["A", "B"], 0.5), ("n2", ["A", "B"], 0.9), ("n3", ["E"], 0.1)], "id string, entity_types array<string>, confidence double")
+    rows = [("o1", ["A", "B"], None), ("o2", ["A", "C"], None), ("o3", ["A", "B"], "zz"), ("o4", ["C", "D"], None), ("n3", ["E"], None), ("o5", None, None)]
+    old = spark.createDataFrame(rows, "id string, entity_types array<string>, superseded_by string")
+    assert sorted((r.old_id, r.superseded_by) for r in learning.supersede(new, old).collect()) == [("o1", "n2"), ("o2", "n2")]
     df = spark.createDataFrame([(["a", "b"], ["b", "c"]), ([], [])], "x array<string>, y array<string>")
     assert [r[0] for r in df.select(learning.f1(F.col("x"), F.col("y"))).collect()] == [0.5, 1.0]
 
 
+def test_fuzzy_scores_take_each_expected_name_once(spark):
+    rows = [(["Epic MyChart", "mychart"], ["MyChart", "SEC audit"]), (["a"], []), ([], []), (["x"], ["X y", "x"])]
+    df = spark.createDataFrame(rows, "f array<string>, e array<string>")
+    got = [tuple(round(x, 3) for x in r[0]) for r in df.select(learning.fuzzy_scores(F.col("f"), F.col("e"))).collect()]
+    assert got == [(0.5, 0.5, 0.5), (0.0, 0.0, 0.0), (1.0, 1.0, 1.0), (1.0, 0.5, 0.667)]
+
+
 def test_dates_of_all_layers(spark):
     text = "met on 2026-03-11, planned 2026-04; March 11, 2026 and 11 March 2026, Mar 2027; yesterday, 2 weeks ago, Q3 2026, FY26, FY2027, for 3 months, over 2 weeks, 2026-02-30"
     df = spark.createDataFrame([(1, text, "2026-05-10"), (2, None, "2026-05-10"), (3, "", None)], "id int, t string, ref string")

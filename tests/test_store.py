@@ -46,7 +46,16 @@ def test_graph_tools(spark, tmp_path):
     assert g.store.table("edges").count() == 3 and g.store.table("entities").count() == 5 and g.stats().first().episodes == 3
     assert g.search("heronrouter depends", limit=5).count() == 2
     assert g.get_decision("e1").first().entities == ["HeronRouter", "OldStore", "PineStore", "lark-cache"]
-    assert g.traverse(["HeronRouter", "Nobody"], depth=1).count() == 3
+    near = g.traverse(["HeronRouter", "Nobody"], depth=1)
+    assert near["nodes"].count() == 3 and near["edges"].count() == 2
+    with pytest.raises(KeyError):
+        g.traverse(["Nobody"])
+    assert g.entity("HeronRouter").count() == 1 and g.entity("HeronRouter", "Database").count() == 0
+    g.embed("episodes", "content")
+    g.embed("episodes", "content")
+    assert g.store.table("embeddings").count() == 2
+    vector = g.store.table("embeddings").filter("id = 'e1'").first().embedding
+    assert g.find_precedents(vector, limit=1).first().id == "e1" and g.search("heronrouter depends", vector=vector, limit=2).first().id == "e1"
     assert g.list_entities(limit=2, offset=1).count() == 2
     assert g.retrieve_for_context("PineStore", now=F.lit("2025-01-03").cast("timestamp")).count() >= 1
     g.export_graph(str(tmp_path / "out"))
@@ -63,6 +72,30 @@ def test_graph_tools(spark, tmp_path):
         g.forget(memory="pattern")
 
 
+def test_contradictions_can_be_read_afterwards(spark, tmp_path):
+    """Frames of a call still run after the tables were replaced; the same target is no contradiction."""
+    g = Graph(spark, str(tmp_path / "g"), create=True)
+    make = lambda i, t: spark.createDataFrame([(i, t, "slack")], "id string, content string, source string").withColumn("recorded_at", F.lit("2025-01-01").cast("timestamp"))
+    at = F.lit("2025-01-02").cast("timestamp")
+    g.add_episodes(make("e1", "HeronRouter depends on lark-cache."), at=at)
+    before = g.store.table("edges")
+    got = g.add_episodes(make("e2", "HeronRouter depends on iris-cache."), at=at)
+    assert before.count() == 1 and g.store.table("edges").count() == 2
+    assert got["contradictions"].count() == 1 and got["edges"].count() == 1 and got["entities"].count() == 1
+
+
+def test_metadata_and_versions(spark, tmp_path):
+    s = GraphStore.create(spark, str(tmp_path / "g"))
+    assert s.get_metadata("runs") is None
+    for v in ("1", "2"):
+        s.set_metadata("runs", v)
+    assert s.get_metadata("runs") == "2"
+    for n in range(4):
+        s.replace("aliases", spark.createDataFrame([(f"a{n}",)], "alias_id string"))
+    assert [r.alias_id for r in s.table("aliases").collect()] == ["a3"] and len(s._versions("aliases")) == 2
+    assert GraphStore.open(spark, str(tmp_path / "g")).table("aliases").count() == 1
+
+
 def test_learn_and_share(spark, tmp_path):
     g = Graph(spark, str(tmp_path / "g"), create=True)
     g.store.append("entities", spark.createDataFrame([("a", "A", "Service"), ("b", "B", "Database")], "id string, name string, entity_type string"))
@@ -73,6 +106,12 @@ def test_learn_and_share(spark, tmp_path):
     g.store.append("edges", spark.createDataFrame([("z", "a", "b", "fixed")], "id string, source_id string, target_id string, relation string"))
     two = g.learn(agent="me").collect()
     assert [s.success_count for s in two] == [4] and g.store.table("skills").count() == 2
+    links = [(f"p{i}", x) for i in range(3) for x in ("a", "b")]
+    g.store.append("episodes", spark.createDataFrame([(f"p{i}",) for i in range(3)], "id string"))
+    g.store.append("episode_entities", spark.createDataFrame(links, "episode_id string, entity_id string"))
+    two = g.learn(agent="me", describe=lambda df: df.withColumn("description", F.lit("told"))).collect()
+    assert {(r.kind, r.key, r.description) for r in g.patterns().collect()} == {("pair", "A|B", "told")}
+    assert g.learn(agent="me").count() == 1 and g.patterns().first().description == "told"
     assert g.skills_for("me").count() == 1 and g.skills_for("you").count() == 0
     g.share_skill(two[0].id)
     assert g.skills_for("you", "Database").first().score >= 0.8
