@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from chronoloom.common import scratch_root, table
 from chronoloom.sources.store import GraphStore
@@ -45,9 +46,12 @@ def sessions(events: DataFrame, *, time: str, by: list[str], gap: str = "30 minu
     return out.select(F.unix_micros("session_window.start").alias("start_us"), F.unix_micros("session_window.end").alias("end_us"), *by, "n")
 
 
-def first_links(links: DataFrame, *, keys: list[str]) -> DataFrame:
-    """Each key once: insert-or-ignore over a stream; state is kept per key."""
-    return links.dropDuplicates(keys)
+def first_links(links: DataFrame, *, keys: list[str], time: str, late: str = "2 days") -> DataFrame:
+    """Each key once a span of ``late``: insert-or-ignore over a stream; the state of a key is dropped when the watermark has passed it.
+
+    Keys that may come again after any time are ``landed`` instead, whose state is the table.
+    """
+    return links.withColumn("_ts", F.col(time).cast("timestamp")).withWatermark("_ts", late).dropDuplicatesWithinWatermark(keys).drop("_ts")
 
 
 def landed(df: DataFrame, name: str) -> DataFrame:
@@ -101,13 +105,21 @@ def ingest(store: GraphStore, spark: SparkSession, sf_dir: str, name: str, *, af
     return run_once(stream_table(spark, sf_dir, name), "", checkpoint=f"{store.path}/_checkpoints/{name}", each=each)
 
 
-def collected(df: DataFrame, name: str, *, mode: str = "append") -> DataFrame:
-    """Runs a stream over its present input and gives the result as a table in the shared folder."""
+def collected(df: DataFrame, name: str, *, keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream over its present input and gives the result as a table in the shared folder.
+
+    With ``keys`` the stream runs in update mode: each micro-batch writes the
+    rows it changed and the last of each key counts, so windows that no
+    watermark has closed yet are there, too, and closed ones leave the state.
+    Without them it runs in complete mode (sessions know no other).
+    """
     spark = df.sparkSession
     base = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    if mode == "append":
-        run_once(df, base + "/out", checkpoint=base + "/check")
+    if keys is None:
+        run_once(df, "", checkpoint=base + "/check", mode="complete", each=lambda b, n: b.write.mode("overwrite").parquet(base + "/out"))
         return spark.read.schema(df.schema).parquet(base + "/out")
-    # all windows of the input, those included that a watermark hasn't closed yet
-    run_once(df, "", checkpoint=base + "/check", mode=mode, each=lambda b, n: b.write.mode("overwrite").parquet(base + "/out"))
-    return spark.read.schema(df.schema).parquet(base + "/out")
+    rest = [c for c in df.columns if c not in keys]
+    spark.createDataFrame([], df.schema).write.parquet(base + "/out/batch=-1")
+    run_once(df, "", checkpoint=base + "/check", mode="update", each=lambda b, n: b.write.mode("overwrite").parquet(f"{base}/out/batch={n}"))
+    got = spark.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).parquet(base + "/out")
+    return got.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*keys, "x.*")
