@@ -50,12 +50,12 @@ def test_streams_over_several_batches(spark, tmp_path, monkeypatch, query, name)
 
 def test_closed_windows_and_keys_leave_the_state(spark, tmp_path):
     """Rows behind the watermark are dropped, and with them the state of their window or key."""
-    rows = [("a", 1, 0), ("b", 4, 86_400 * 40), ("a", 8, 0), ("a", 2, 86_400 * 45)]
+    rows = [("a", 1, 0), ("b", 4, 86_400 * 40), ("c", 3, 86_400 * 41), ("a", 8, 0), ("a", 2, 86_400 * 45)]  # a watermark drops rows from the next batch but one
     for i, r in enumerate(rows):
         spark.createDataFrame([r], "k string, v bigint, s bigint").withColumn("ts", ingest.F.timestamp_seconds("s")).coalesce(1).write.parquet(f"{tmp_path}/in/{i}.parquet")
     read = lambda: spark.readStream.schema("k string, v bigint, s bigint, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*.parquet")
     got = ingest.collected(ingest.windows(read(), time="ts", by=["k"], value="v", late="2 days"), "w", keys=["start_us", "k"]).collect()
-    assert {(r.k, r.total) for r in got} == {("a", 1), ("a", 2), ("b", 4)}
+    assert {(r.k, r.total) for r in got} == {("a", 1), ("a", 2), ("b", 4), ("c", 3)}
     q = ingest.run_once(ingest.first_links(read(), keys=["k"], time="ts"), f"{tmp_path}/out", checkpoint=f"{tmp_path}/check")
     assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "a", "b"]
-    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
