@@ -61,6 +61,7 @@ def _possible(name: str, size: np.ndarray, letters: np.ndarray, heads: np.ndarra
 
 
 def normal_name(c: str):
+    """A name as it is compared: without outer spaces, in small letters."""
     return F.trim(F.lower(c))
 
 
@@ -70,16 +71,19 @@ def most_alike(new: DataFrame, known: DataFrame, *, least: float = 0.85, block:
     The new rows are the stated query set: they go out by type in blocks of
     ``block``, so known rows are never shuffled. Names are compared one by one
     only where the letters that both have, counted for all new names at once,
-    allow the threshold.
+    allow the threshold. Both sides are distinct names of a type first
+    (``normal_name``), however many rows have them.
     """
     spark = known.sparkSession
-    n = new.select("id", "name", "type").dropna().distinct()
+    every = new.select("id", normal_name("name").alias("name"), "type").dropna().distinct()
+    n = every.select(F.xxhash64("name", "type").cast("string").alias("id"), "name", "type").distinct()
     blocks = max(1, -(-n.count() // block))
     n = n.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    rows = known.select(F.col("id").alias("match_id"), F.col("name").alias("match_name"), "type").dropna().distinct()
+    rows = known.select(F.col("id").alias("match_id"), normal_name("name").alias("match_name"), "type").dropna()
+    rows = rows.groupBy("match_name", "type").agg(F.min("match_id").alias("match_id"))
     out = None
     for b in range(blocks):
-        got = n.filter(F.col("_b") == b).select("id", F.lower("name").alias("name"), "type").collect()
+        got = n.filter(F.col("_b") == b).select("id", "name", "type").collect()
         by: dict = {}
         for r in got:
             by.setdefault(r.type, []).append((r.id, r.name))
@@ -92,8 +96,7 @@ def most_alike(new: DataFrame, known: DataFrame, *, least: float = 0.85, block:
                     if typ not in sent.value:
                         continue
                     new, size, letters, heads = sent.value[typ]
-                    names = part["match_name"].str.lower().tolist()
-                    for mid, name in zip(part["match_id"], names):
+                    for mid, name in zip(part["match_id"], part["match_name"]):
                         for j in np.flatnonzero(_possible(name, size, letters, heads, least)):
                             i, x = new[j]
                             s = jaro_winkler(x, name)
@@ -103,7 +106,9 @@ def most_alike(new: DataFrame, known: DataFrame, *, least: float = 0.85, block:
 
         part = rows.mapInPandas(run, "id string, match_id string, similarity double")
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("id").agg(F.max(F.struct("similarity")).alias("s"), F.min_by("match_id", F.struct(-F.col("similarity"), F.col("match_id"))).alias("match_id")).select("id", "match_id", F.col("s.similarity").alias("similarity"))
+    best = out.groupBy("id").agg(F.max("similarity").alias("similarity"), F.min_by("match_id", F.struct(-F.col("similarity"), F.col("match_id"))).alias("match_id"))
+    best = n.join(best, "id").select("name", "type", "match_id", "similarity")
+    return every.join(best, ["name", "type"]).select("id", "match_id", "similarity")
 
 
 def resolve(new: DataFrame, known: DataFrame, aliases: DataFrame, *, least: float = 0.85) -> DataFrame:
@@ -111,8 +116,8 @@ def resolve(new: DataFrame, known: DataFrame, aliases: DataFrame, *, least: floa
 
     All rows of a batch see the entities known before it, not one another.
     """
-    al = aliases.filter("canonical_id IS NOT NULL").select(F.lower("alias_name").alias("_n"), "canonical_id").groupBy("_n").agg(F.min("canonical_id").alias("by_alias"))
-    got = new.select("id", "name", "type").distinct().withColumn("_n", F.lower("name")).join(al, "_n", "left")
+    al = aliases.filter("canonical_id IS NOT NULL").select(normal_name("alias_name").alias("_n"), "canonical_id").groupBy("_n").agg(F.min("canonical_id").alias("by_alias"))
+    got = new.select("id", "name", "type").distinct().withColumn("_n", normal_name("name")).join(al, "_n", "left")
     sim = most_alike(got.filter("by_alias IS NULL"), known, least=least).select("id", F.col("match_id").alias("by_name"))
     got = got.join(sim, "id", "left")
     how = F.when(F.col("by_alias").isNotNull(), "alias").when(F.col("by_name").isNotNull(), "name").otherwise("new")

@@ -35,7 +35,7 @@ def nearest(df: DataFrame, queries: DataFrame, *, id: str, embedding: str, k: in
     Queries go out in blocks of ``block`` vectors, a bound on what is
     broadcast; each block meets every batch of rows in one matrix product, and
     a batch passes on its k best per query only. Null vectors and vectors of
-    another length than the first query's are skipped, zero vectors have
+    another length than the first query's, by id, are skipped in every block, zero vectors have
     similarity 0.
     """
     spark = df.sparkSession
@@ -44,18 +44,18 @@ def nearest(df: DataFrame, queries: DataFrame, *, id: str, embedding: str, k: in
     kind = df.schema[id].dataType.simpleString()
     blocks = max(1, -(-qs.count() // block))
     qs = qs.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks)))
+    first = qs.agg(F.min_by(F.size("e"), "q").alias("n")).first().n
     out = None
     for b in range(blocks):
         got = qs.filter(F.col("b") == b).select("q", "e").orderBy("q").collect()
+        got = [r for r in got if len(r.e) == first]
         if not got:
             continue
-        dims = len(got[0].e)
-        got = [r for r in got if len(r.e) == dims]
         m = np.array([r.e for r in got], np.float64)
         n = np.linalg.norm(m, axis=1, keepdims=True)
         sent = spark.sparkContext.broadcast((np.array([r.q for r in got]), np.divide(m, n, out=np.zeros_like(m), where=n > 0)))
 
-        def run(batches, sent=sent, dims=dims):
+        def run(batches, sent=sent, dims=first):
             ids, unit = sent.value
             for pdf in batches:
                 pdf = pdf[pdf["e"].map(len) == dims]

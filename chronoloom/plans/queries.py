@@ -262,10 +262,10 @@ def invalidate_contradicted(spark, sf_dir):
 
 @query(f"""WITH n AS (SELECT id, name, entity_type AS type FROM {ENT} WHERE created_at >= TIMESTAMPTZ '2025-07-01 00:00:00+00' AND name IS NOT NULL AND entity_type IS NOT NULL),
 k AS (SELECT id, name, entity_type AS type FROM {ENT} WHERE created_at < TIMESTAMPTZ '2025-07-01 00:00:00+00'),
-a AS (SELECT lower(alias_name) AS an, min(canonical_id) AS by_alias FROM aliases WHERE canonical_id IS NOT NULL AND alias_name IS NOT NULL GROUP BY 1),
-m AS (SELECT n.id, n.name, n.type, a.by_alias FROM n LEFT JOIN a ON a.an = lower(n.name)),
-s AS (SELECT m.id, k.id AS kid, row_number() OVER (PARTITION BY m.id ORDER BY jaro_winkler_similarity(lower(m.name), lower(k.name)) DESC, k.id) AS r
-  FROM m JOIN k ON k.type = m.type WHERE m.by_alias IS NULL AND jaro_winkler_similarity(lower(m.name), lower(k.name)) >= 0.85)
+a AS (SELECT trim(lower(alias_name)) AS an, min(canonical_id) AS by_alias FROM aliases WHERE canonical_id IS NOT NULL AND alias_name IS NOT NULL GROUP BY 1),
+m AS (SELECT n.id, trim(lower(n.name)) AS name, n.type, a.by_alias FROM n LEFT JOIN a ON a.an = trim(lower(n.name))),
+s AS (SELECT m.id, k.id AS kid, row_number() OVER (PARTITION BY m.id ORDER BY jaro_winkler_similarity(m.name, trim(lower(k.name))) DESC, k.id) AS r
+  FROM m JOIN k ON k.type = m.type WHERE m.by_alias IS NULL AND jaro_winkler_similarity(m.name, trim(lower(k.name))) >= 0.85)
 SELECT m.id, coalesce(m.by_alias, s.kid, m.id) AS canonical_id, CASE WHEN m.by_alias IS NOT NULL THEN 'alias' WHEN s.kid IS NOT NULL THEN 'name' ELSE 'new' END AS how
 FROM m LEFT JOIN s ON s.id = m.id AND s.r = 1""")
 def dedup_entities(spark, sf_dir):
