@@ -66,15 +66,24 @@ def scratch_root(spark: SparkSession) -> str:
     return _OWN[sc.applicationId]
 
 
+def until_exit(spark: SparkSession, path: str) -> str:
+    """Has a scratch folder deleted when the driver ends; returns it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def table(df: DataFrame, name: str = "t") -> DataFrame:
     """Cuts the lineage: writes ``df`` as Parquet to the shared folder and reads it back.
 
     The files survive the loss of executors, unlike cached or locally
-    checkpointed blocks, and later reads prune columns.
+    checkpointed blocks, and later reads prune columns. They go with the driver
+    at the latest.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    until_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -82,10 +91,10 @@ def table(df: DataFrame, name: str = "t") -> DataFrame:
 
 def drop_table(df: DataFrame) -> None:
     """Deletes the files of a frame made by ``table`` that nothing reads any more."""
-    jvm, path = df.sparkSession._jvm, getattr(df, "_scratch", None)
+    spark, path = df.sparkSession, getattr(df, "_scratch", None)
     if path:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration() if hasattr(df.sparkSession, "_jsc") else df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def small_side(df: DataFrame, most: int = 20_000) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
-from chronoloom.common import scratch_root, table
+from chronoloom.common import scratch_root, table, until_exit
 from chronoloom.sources.store import GraphStore
 
 
@@ -57,7 +57,7 @@ def first_links(links: DataFrame, *, keys: list[str], time: str, late: str = "2
 def landed(df: DataFrame, name: str) -> DataFrame:
     """All distinct rows of a stream's present input, as a table in the shared folder; a batch that runs again replaces its own files."""
     spark = df.sparkSession
-    base = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    base = until_exit(spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}")
     spark.createDataFrame([], df.schema).write.parquet(base + "/out/batch=-1")  # a stream without input has no batch
     run_once(df, "", checkpoint=base + "/check", each=lambda b, n: b.distinct().write.mode("overwrite").parquet(f"{base}/out/batch={n}"))
     return spark.read.schema(df.schema).parquet(base + "/out").select(*df.columns).distinct()
@@ -114,7 +114,7 @@ def collected(df: DataFrame, name: str, *, keys: list[str] | None = None) -> Dat
     Without them it runs in complete mode (sessions know no other).
     """
     spark = df.sparkSession
-    base = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    base = until_exit(spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}")
     if keys is None:
         run_once(df, "", checkpoint=base + "/check", mode="complete", each=lambda b, n: b.write.mode("overwrite").parquet(base + "/out"))
         return spark.read.schema(df.schema).parquet(base + "/out")
