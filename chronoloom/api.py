@@ -152,6 +152,11 @@ class Graph:
         hits = search.bm25(self.store.table("skills").filter("superseded_by IS NULL"), text, ["id", "name", "description"], id="id")
         return search.top(seen.join(hits, "id").withColumn("score", F.greatest("score", F.lit(0.8))), limit, id="id")
 
+    def skills(self, *, every: bool = False) -> DataFrame:
+        """Active skills, or all with those that others supersede, the surest first."""
+        df = self.store.table("skills")
+        return (df if every else df.filter("superseded_by IS NULL")).orderBy(F.desc("confidence"), "id")
+
     def share_skill(self, id: str) -> None:
         df = self.store.table("skills")
         self.store.replace("skills", df.withColumn("scope", F.when(F.col("id") == id, "shared").otherwise(F.col("scope"))))

@@ -136,3 +136,40 @@ def direction(forward: Column, backward: Column) -> Column:
     gone = F.when(says(f, F.lit(" is deprecated")) | says(f, F.lit(" are deprecated")), True)
     cue = F.when(F.col("relation") == "replaced", replaced).when(F.col("relation") == "depends_on", depends).when(F.col("relation") == "deprecated", gone)
     return F.coalesce(cue, backward & ~forward)
+
+
+# Pronouns by what they can stand for.
+PRONOUNS = {"person": "he him his she her hers", "thing": "it its this that these those", "any": "they them their theirs we our us"}
+
+
+def pronoun_mentions(docs: DataFrame, named: DataFrame, *, id: str, text: str, confidence: float = 0.45) -> DataFrame:
+    """(``id``, pronoun, span_start, mention, type, confidence): each pronoun with the nearest name before it that it can stand for.
+
+    he and she stand for persons, it and this for anything else, they and we for
+    both; words are runs of ASCII letters, places are bytes. ``named``: the rows
+    of ``typed_mentions``. Names and pronouns of a text are put in order and
+    read once, no pair is made.
+    """
+    docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).dropna().distinct()
+    words = docs.select("id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0))).alias("n", "w"))
+    before = Window.partitionBy("id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    words = words.withColumn("pos", F.coalesce(F.sum(F.octet_length("w")).over(before), F.lit(0)))
+    kind = reduce(lambda c, k: c.when(F.lower("w").isin(*PRONOUNS[k].split()), k), PRONOUNS, F.when(F.lit(False), ""))
+    none = F.lit(None).cast("string")
+    rows = words.select("id", "pos", F.lit(1).alias("k"), F.col("w").alias("pronoun"), kind.alias("kind"), none.alias("mention"), none.alias("type")).filter("kind IS NOT NULL")
+    rows = rows.unionByName(named.select(F.col(id).alias("id"), F.col("span_start").alias("pos"), F.lit(0).alias("k"), none.alias("pronoun"), none.alias("kind"), "mention", "type"))
+    w = Window.partitionBy("id").orderBy("pos", "k").rowsBetween(Window.unboundedPreceding, 0)
+    person = F.coalesce(F.lower("type") == "person", F.lit(False))
+    row = F.struct("mention", "type")
+    last = lambda cond: F.last(F.when(F.col("mention").isNotNull() & cond, row), ignorenulls=True).over(w)
+    rows = rows.withColumns({"person": last(person), "thing": last(~person), "any": last(F.lit(True))})
+    to = F.when(F.col("kind") == "person", F.col("person")).when(F.col("kind") == "thing", F.col("thing")).otherwise(F.col("any"))
+    rows = rows.filter("pronoun IS NOT NULL").withColumn("to", to).filter("to IS NOT NULL")
+    return rows.select(F.col("id").alias(id), "pronoun", F.col("pos").alias("span_start"), "to.mention", "to.type", F.lit(confidence).alias("confidence"))
+
+
+def merged(first: DataFrame, more: DataFrame, *, id: str) -> DataFrame:
+    """(``id``, head, relation, tail): the first relations, and of further ones those of pairs of names that have none, in either direction."""
+    key = lambda df: df.select(id, "head", "relation", "tail", F.least("head", "tail").alias("_a"), F.greatest("head", "tail").alias("_b")).distinct()
+    a, b = key(first), key(more)
+    return a.unionByName(b.join(a.select(id, "_a", "_b").distinct(), [id, "_a", "_b"], "left_anti").select(*a.columns)).drop("_a", "_b")

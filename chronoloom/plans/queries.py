@@ -592,3 +592,55 @@ def edges_of_episodes(spark, sf_dir):
     """Edges whose provenance is an episode of one source."""
     e = once(spark, sf_dir, "edges", "id", "source_id", "target_id", "relation", "episode_id")
     return graph.edges_of_episodes(e, load(spark, sf_dir, "episodes").filter("source = 'slack'").select("id"))
+
+
+SCOPED = f"""(SELECT a || '|' || b AS id, description, confidence, CASE WHEN success_count > failure_count THEN 'shared' ELSE 'private' END AS scope, a AS agent FROM ({SKILLS_SQL}))"""
+
+
+def _scoped(spark, sf_dir):
+    """Skills as they would be stored: more successes than failures are shared, the others are the first type's own."""
+    got = learning.skills(load(spark, sf_dir, "edges"), load(spark, sf_dir, "entities"))
+    scope = F.when(F.col("success_count") > F.col("failure_count"), "shared").otherwise("private")
+    return got.select(F.concat_ws("|", "a", "b").alias("id"), "description", F.round("confidence", 8).alias("confidence"), scope.alias("scope"), F.col("a").alias("created_by_agent"), F.lit(None).cast("string").alias("superseded_by"))
+
+
+@query(f"SELECT id, scope, confidence FROM {SCOPED} WHERE scope = 'shared' OR agent = 'Component'")
+def visible_skills(spark, sf_dir):
+    """Skills that one agent sees: shared ones and its own."""
+    return learning.visible(_scoped(spark, sf_dir), "Component").select("id", "scope", "confidence")
+
+
+@query(f"SELECT id, greatest(score, 0.8) AS score FROM ({bm25_sql(SCOPED, ['id', 'description'], [word_sql('service')], 'f0 > 0')}) WHERE id IN (SELECT id FROM {SCOPED} WHERE scope = 'shared' OR agent = 'Component')")
+def skills_for_context(spark, sf_dir):
+    """Visible skills among the hits of a text search over all skills, never below 0.8."""
+    every = _scoped(spark, sf_dir)
+    hits = search.top(search.bm25(every, "service", ["id", "description"], id="id"), 20, id="id")
+    seen = hits.join(learning.visible(every, "Component").select("id"), "id", "left_semi")
+    return seen.select("id", F.greatest(F.round("score", 6), F.lit(0.8)).alias("score"))
+
+
+@query(f"""WITH s AS (SELECT id, {ENT_DECAY} AS v FROM {ENT} WHERE ttl_seconds > 0 AND epoch_us({T}) - epoch_us(created_at) > 7776000000000)
+SELECT id, round(v, 6) AS strength FROM s WHERE v < 0.5""")
+def stale_prefilter(spark, sf_dir):
+    """Stale entities that are also old in days, whatever their time to live."""
+    e = once(spark, sf_dir, "entities", "id", "memory_type", "created_at", "ttl_seconds", "usage_count", "last_recalled_at")
+    return lifecycle.stale(e, now(), created="created_at", threshold=0.5, prefilter=True).select("id", F.round("strength", 6).alias("strength"))
+
+
+OLD_EPISODES = "TIMESTAMPTZ '2023-01-01 00:00:00+00'"
+
+
+@query(f"SELECT DISTINCT id, source FROM {EPI} n WHERE id NOT IN (SELECT id FROM episodes WHERE recorded_at < {OLD_EPISODES} AND id IS NOT NULL)")
+def insert_episodes(spark, sf_dir):
+    """Insert or ignore by id: the episodes that those recorded before a time don't have yet, each once."""
+    e = load(spark, sf_dir, "episodes").select("id", "source", "recorded_at")
+    old = e.filter(F.col("recorded_at") < F.lit("2023-01-01").cast("timestamp")).select("id")
+    return e.select("id", "source").distinct().join(old, "id", "left_anti")
+
+
+@query(f"""WITH s AS (SELECT coalesce(source, 'unknown') AS source, count(*) AS n FROM {EPI} GROUP BY 1) SELECT string_agg(source || '=' || n, ',' ORDER BY source) AS sources, sum(n)::BIGINT AS episodes FROM s""")
+def stats_sources(spark, sf_dir):
+    """Episodes by source in one row."""
+    s = once(spark, sf_dir, "episodes", "id", "source").groupBy(F.coalesce("source", F.lit("unknown")).alias("source")).agg(F.count("*").alias("n"))
+    row = F.struct("source", F.concat("source", F.lit("="), F.col("n").cast("string")).alias("x"))
+    return s.agg(F.array_join(F.array_sort(F.collect_list(row))["x"], ",").alias("sources"), F.sum("n").alias("episodes"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronoloom.common import load
-from chronoloom.operators import relations
-from chronoloom.operators.relations import CONSUMERS, PROVIDERS, SCHEMA, STEMS, USED
-from chronoloom.plans.base import once, query
-from chronoloom.plans.text_queries import BETWEEN, EPI, KIND, M
+from chronoloom.operators import extract, relations
+from chronoloom.operators.relations import CONSUMERS, PRONOUNS, PROVIDERS, SCHEMA, STEMS, USED
+from chronoloom.plans.base import SQL, once, query
+from chronoloom.plans.text_queries import BETWEEN, EPI, KIND, M, _sents
 
 
 def _named(spark, sf_dir):
@@ -78,3 +78,29 @@ def typed_relations(spark, sf_dir):
     """Relations between typed names by stems, distance, schema and direction."""
     eps, named = _named(spark, sf_dir)
     return relations.typed_relations(eps, named, id="id", text="content").withColumn("score", F.round("score", 6))
+
+
+_KINDS = " ".join(f"WHEN lower(w) IN ({', '.join(repr(x) for x in words.split())}) THEN '{k}'" for k, words in PRONOUNS.items())
+
+
+@query(rf"""WITH {NAMED_SQL},
+z AS (SELECT id, unnest(q) AS w, generate_subscripts(q, 1) AS n FROM (SELECT id, regexp_extract_all(content, '[A-Za-z]+|[^A-Za-z]+') AS q FROM {TEXTS})),
+y AS (SELECT id, w, CASE {_KINDS} END AS kind, coalesce(sum(strlen(w)) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM z),
+v AS (SELECT id, pos, 1 AS k, w AS pronoun, kind, NULL AS mention, NULL AS type FROM y WHERE kind IS NOT NULL UNION ALL SELECT id, s, 0, NULL, NULL, mention, type FROM named),
+x AS (SELECT *, last_value(CASE WHEN mention IS NOT NULL AND coalesce(lower(type) = 'person', false) THEN {{'m': mention, 't': type}} END IGNORE NULLS) OVER o AS person,
+ last_value(CASE WHEN mention IS NOT NULL AND NOT coalesce(lower(type) = 'person', false) THEN {{'m': mention, 't': type}} END IGNORE NULLS) OVER o AS thing,
+ last_value(CASE WHEN mention IS NOT NULL THEN {{'m': mention, 't': type}} END IGNORE NULLS) OVER o AS anything FROM v WINDOW o AS (PARTITION BY id ORDER BY pos, k ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT id, pronoun, pos, CASE kind WHEN 'person' THEN person WHEN 'thing' THEN thing ELSE anything END AS to_ FROM x WHERE pronoun IS NOT NULL)
+SELECT id, pronoun, pos AS span_start, to_.m AS mention, to_.t AS type, 0.45::DOUBLE AS confidence FROM r WHERE to_.m IS NOT NULL""")
+def pronoun_mentions(spark, sf_dir):
+    """Every pronoun of the episodes with the nearest earlier name that it can stand for."""
+    eps, named = _named(spark, sf_dir)
+    return relations.pronoun_mentions(eps, named, id="id", text="content")
+
+
+@query(f"""WITH a AS (SELECT DISTINCT id, head, relation, tail FROM ({SQL['rule_relations']})), b AS (SELECT DISTINCT id, head, relation, tail FROM ({RELATIONS_SQL}))
+SELECT * FROM a UNION ALL SELECT * FROM b WHERE (id, least(head, tail), greatest(head, tail)) NOT IN (SELECT id, least(head, tail), greatest(head, tail) FROM a)""")
+def merged_relations(spark, sf_dir):
+    """Relations inside a sentence, and typed ones for the pairs of names that those leave out."""
+    eps, named = _named(spark, sf_dir)
+    return relations.merged(extract.relations(_sents(spark, sf_dir), id="id"), relations.typed_relations(eps, named, id="id", text="content"), id="id")

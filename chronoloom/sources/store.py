@@ -20,6 +20,8 @@ SCHEMAS = {
     "patterns": "id string, kind string, key string, entity_types array<string>, episodes bigint, confidence double, description string, created_at timestamp",
     "metadata": "key string, value string, written_at timestamp",
 }
+#: Number of the set of tables and columns above; stores of an older one get what they lack when they are opened.
+SCHEMA_VERSION = 2
 #: What makes a row of a table the same row.
 KEYS = {"episode_entities": ["episode_id", "entity_id"], "aliases": ["canonical_id", "alias_name"]}
 
@@ -50,11 +52,21 @@ class GraphStore:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> GraphStore:
-        """An existing store; fails if there is none."""
+        """An existing store, with the tables added that it lacks; fails if there is none. Columns that its files lack read as null."""
         store = cls(spark, path)
         store.at("episodes")
+        store.migrate()
         return store
 
+    def migrate(self) -> int:
+        """Brings a store to the present ``SCHEMA_VERSION``; returns the number of tables that were added. A second call adds none."""
+        missing = [n for n in SCHEMAS if not self._versions(n)]
+        for name in missing:
+            self.empty(name).write.parquet(f"{self.path}/{name}/0")
+        if self.get_metadata("schema_version") != str(SCHEMA_VERSION):
+            self.set_metadata("schema_version", str(SCHEMA_VERSION))
+        return len(missing)
+
     def _folder(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
@@ -144,6 +156,16 @@ def vocabulary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame(ents, "type string, description string"), spark.createDataFrame(rels, "relation string, head string, tail string, description string")
 
 
+def thresholds(path: str, **defaults: float) -> dict[str, float]:
+    """Numbers of the table ``[thresholds]`` (or the whole) of a TOML file over ``defaults``; unknown names and other types are refused."""
+    d = tomllib.loads(Path(path).read_text())
+    own = d.get("thresholds", {k: v for k, v in d.items() if not isinstance(v, dict)})
+    wrong = [k for k, v in own.items() if k not in defaults or isinstance(v, bool) or not isinstance(v, (int, float))]
+    if wrong:
+        raise ValueError(f"no thresholds: {', '.join(wrong)}")
+    return defaults | {k: float(v) for k, v in own.items()}
+
+
 GOLD = "domain string, source string, text string, expected_entities array<struct<name: string, entity_type: string, span_start: bigint, span_end: bigint>>, expected_relations array<struct<head: string, relation: string, tail: string>>"
 
 

@@ -35,3 +35,15 @@ def test_overlaps_nulls_and_spans(spark):
     assert {(r.id, r.mention, r.type, r.span_start, r.span_end) for r in named.collect()} == {
         ("d0", "NewStore", "Component", 7, 15), ("d0", "lark-cache", "Infrastructure", 20, 30), ("d3", "Ann Lee", "Person", 0, 7)}
     assert rel.count() == 0
+
+
+def test_pronouns_and_merge(spark):
+    from chronoloom.operators.relations import merged, pronoun_mentions
+
+    docs = spark.createDataFrame([("a", "Ann Lee chose Mossdb. It broke; she fixed it and they slept. Éh, this."), ("b", "It is nothing."), ("c", None)], "id string, content string")
+    named = typed_mentions(docs, spark.createDataFrame(NAMES, "name string, type string"), id="id", text="content", name="name", type="type")
+    got = [(r.pronoun, r.span_start, r.mention) for r in pronoun_mentions(docs, named, id="id", text="content").orderBy("span_start").collect()]
+    assert got == [("It", 22, "Mossdb"), ("she", 32, "Ann Lee"), ("it", 42, "Mossdb"), ("they", 49, "Mossdb"), ("this", 66, "Mossdb")]
+    rel = lambda *rows: spark.createDataFrame(list(rows), "id string, head string, relation string, tail string")
+    one, two = rel(("a", "x", "chose", "y"), ("a", "x", "chose", "y")), rel(("a", "y", "fixed", "x"), ("a", "x", "fixed", "z"), ("b", "x", "fixed", "y"))
+    assert sorted(map(tuple, merged(one, two, id="id").collect())) == [("a", "x", "chose", "y"), ("a", "x", "fixed", "z"), ("b", "x", "fixed", "y")]

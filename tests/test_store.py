@@ -1,8 +1,10 @@
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
 from chronoloom.api import Graph
-from chronoloom.sources.store import GraphStore, gold_episodes, vocabulary
+from chronoloom.sources.store import GraphStore, gold_episodes, thresholds, vocabulary
 from chronoloom.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -93,7 +95,17 @@ def test_metadata_and_versions(spark, tmp_path):
     for n in range(4):
         s.replace("aliases", spark.createDataFrame([(f"a{n}",)], "alias_id string"))
     assert [r.alias_id for r in s.table("aliases").collect()] == ["a3"] and len(s._versions("aliases")) == 2
-    assert GraphStore.open(spark, str(tmp_path / "g")).table("aliases").count() == 1
+    shutil.rmtree(tmp_path / "g" / "patterns")  # as in a store of an older version
+    again = GraphStore.open(spark, str(tmp_path / "g"))
+    assert again.table("aliases").count() == 1 and again.table("patterns").count() == 0
+    assert again.get_metadata("schema_version") == "2" and again.migrate() == 0
+
+
+def test_thresholds(tmp_path):
+    (tmp_path / "t.toml").write_text("[thresholds]\nentity = 0.6\n")
+    assert thresholds(str(tmp_path / "t.toml"), entity=0.5, relation=0.4) == {"entity": 0.6, "relation": 0.4}
+    with pytest.raises(ValueError):
+        thresholds(str(tmp_path / "t.toml"), relation=0.4)
 
 
 def test_learn_and_share(spark, tmp_path):
@@ -112,6 +124,7 @@ def test_learn_and_share(spark, tmp_path):
     two = g.learn(agent="me", describe=lambda df: df.withColumn("description", F.lit("told"))).collect()
     assert {(r.kind, r.key, r.description) for r in g.patterns().collect()} == {("pair", "A|B", "told")}
     assert g.learn(agent="me").count() == 1 and g.patterns().first().description == "told"
+    assert g.skills().count() == 1 and g.skills(every=True).count() == 2
     assert g.skills_for("me").count() == 1 and g.skills_for("you").count() == 0
     g.share_skill(two[0].id)
     assert g.skills_for("you", "Database").first().score >= 0.8
