@@ -10,6 +10,7 @@ from collections.abc import Callable
 from functools import reduce
 from pathlib import Path
 
+import numpy as np
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -149,6 +150,30 @@ def keyed_side(side: DataFrame, keys: list[str], *, most: int = 20_000, salts: i
     return split
 
 
+def bit_map(keys: DataFrame, key: str, *, most: int = 1 << 27) -> bytes:
+    """One bit for each 64-bit key, in a map of at most ``most`` bits (16 MB) for workers to test with ``in_map``.
+
+    A set bit may be another key's, so what it lets through is joined by key; a
+    full map costs time, never rows.
+    """
+    bits, n = 1 << 18, keys.count()
+    while bits < min(16 * n, most):
+        bits *= 2
+    at = F.pmod(key, F.lit(bits))
+    rows = keys.select(F.floor(at / 32_768).alias("b"), (at % 32_768).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect()
+    out = bytearray(bits // 8)
+    for r in rows:
+        out[r.b * 4096 : (r.b + 1) * 4096] = r.m
+    return bytes(out)
+
+
+def in_map(bits: bytes, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys (64-bit, unsigned) have their bit set."""
+    m = np.frombuffer(bits, np.uint8)
+    at = keys % np.uint64(8 * len(m))
+    return m[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+
 def most_frequent(df: DataFrame, n: str, most: int) -> DataFrame:
     """The rows of the highest counts ``n``, at most ``most``: all that reach a level that so many rows reach.
 

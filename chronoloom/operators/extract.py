@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.common import bit_map, in_map, table
 
 #: Names of software in running text: CamelCase words and hyphenated lower-case names, with or without a number.
 MENTION = r"[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+|[a-z]{3,}-[a-z]{3,}(?:-[0-9]+)?"
@@ -41,29 +46,77 @@ def mentions(df: DataFrame, *, id: str, text: str) -> DataFrame:
     return m.groupBy(id, "mention").agg(F.count("*").alias("n")).select(id, "mention", kind.alias("type"), "n")
 
 
+_WORD = re.compile(r"[^\W_]+")
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Hashes(dict):
+    """64-bit hashes of words, emptied when large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def _sequences(texts: list[str], known: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the folded words of all texts, one after the other, and how many each text has."""
+    words = [_WORD.findall(t.lower()) for t in texts]
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    return np.fromiter((known[w] for ws in words for w in ws), np.uint64, int(n.sum())), n
+
+
+def _key_names(batches):
+    """(i, name) to (i, name, key, length): the key of the words of a name, and how many there are."""
+    known = _Hashes()
+    for b in batches:
+        h, n = _sequences(b.column("n").to_pylist(), known)
+        power = np.cumprod(np.full(max(n.max(initial=0), 1), _BASE, np.uint64))
+        ends = np.cumsum(n)
+        keys = np.array([(h[e - k : e] * power[:k]).sum(dtype=np.uint64) for e, k in zip(ends, n)], np.uint64)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys.view(np.int64)), pa.array(n)], names=["i", "n", "key", "len"])
+
+
 def dictionary_links(docs: DataFrame, names: DataFrame, *, id: str, text: str, name_id: str, name: str) -> DataFrame:
     """(``id``, ``name_id``, span_start, span_end): texts that contain a name, word by word in its own case, with the bytes of its first mention.
 
-    Names meet the texts' word sequences in an equi-join on the folded words;
-    the exact spelling between word boundaries is checked on what meets.
-    Sequences are made of every length that the names have (one row a length
-    comes to the driver). A name in a third of all texts stays one row on its
-    side, its texts are spread by AQE; there is no product of texts and names.
-    Blank and null names link nothing.
+    Names meet the texts' word sequences in an equi-join on 64-bit keys of the
+    folded words; the exact spelling between word boundaries is checked on what
+    meets. Sequences of every length that the names have (one row a length
+    comes to the driver) are hashed for a whole batch of texts at once, and only
+    those that a map of the names' keys (16 MB at most) lets through leave the
+    workers. A name in a third of all texts stays one row on its side, its
+    texts are spread by AQE; there is no product of texts and names. Blank and
+    null names link nothing.
     """
-    def grams(w: Column, n: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, F.lit(n)), " "))
-
-    split = lambda c: F.filter(F.split(F.lower(F.col(c)), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    keyed = names.select(F.col(name_id).alias("_i"), F.col(name).alias("_n"), split(name).alias("_w")).distinct()
-    keyed = keyed.withColumn("_k", F.size("_w")).filter("_k >= 1")
-    lengths = sorted(r._k for r in keyed.select("_k").distinct().collect())
-    keyed = keyed.select("_i", "_n", F.array_join("_w", " ").alias("_g"))
-    d = docs.select(F.col(id).alias("_d"), F.col(text).alias("_t")).distinct()
-    words = d.select("_d", split(text if text == "_t" else "_t").alias("_w"))
-    none = F.array().cast("array<string>")
-    every = F.array_distinct(F.concat(none, *(F.when(F.size("_w") >= n, grams(F.col("_w"), n)).otherwise(none) for n in lengths)))
-    met = words.select("_d", F.explode(every).alias("_g")).join(keyed, "_g").select("_d", "_i", "_n").distinct()
+    spark = docs.sparkSession
+    rows = names.select(F.col(name_id).alias("i"), F.col(name).alias("n")).filter("n IS NOT NULL").distinct()
+    kind, doc = rows.schema["i"].dataType.simpleString(), docs.schema[id].dataType.simpleString()
+    keyed = table(rows.mapInArrow(_key_names, f"i {kind}, n string, key bigint, len bigint").filter("len > 0"), "names")
+    lengths = sorted(r.len for r in keyed.select("len").distinct().collect())
+    shared = spark.sparkContext.broadcast(bit_map(keyed.select("key").distinct(), "key"))
+
+    def find(batches):
+        known = _Hashes()
+        for b in batches:
+            h, n = _sequences(b.column("_t").to_pylist(), known)
+            of, left = np.repeat(np.arange(len(n)), n), np.repeat(np.cumsum(n), n) - np.arange(len(h))
+            at, keys, key, power = [], [], np.zeros(len(h), np.uint64), np.uint64(1)
+            for k in range(1, (lengths[-1] if lengths else 0) + 1):
+                # the key of the k words from each place on, by one multiplication more
+                power = power * _BASE
+                key = key + np.concatenate([h[k - 1 :], np.zeros(min(k - 1, len(h)), np.uint64)]) * power
+                if k in lengths:
+                    hit = np.flatnonzero(left >= k)
+                    hit = hit[in_map(shared.value, key[hit])]
+                    at.append(of[hit])
+                    keys.append(key[hit])
+            got = np.unique(np.stack([np.concatenate(at).astype(np.uint64), np.concatenate(keys)], 1), axis=0) if at else np.empty((0, 2), np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column("_d").take(pa.array(got[:, 0].astype(np.int64))), pa.array(got[:, 1].astype(np.uint64).view(np.int64))], names=["_d", "key"])
+
+    d = docs.select(F.col(id).alias("_d"), F.col(text).alias("_t")).filter("_t IS NOT NULL").distinct()
+    met = d.mapInArrow(find, f"_d {doc}, key bigint").join(keyed.select(F.col("i").alias("_i"), F.col("n").alias("_n"), "key"), "key").select("_d", "_i", "_n").distinct()
     sure = met.join(d, "_d")
     quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}])"), F.regexp_replace("_n", r"([\\^$.|?*+()\[\]{}])", r"\\$1"), F.lit(r"(?![\p{L}\p{N}])"))
     sure = sure.withColumn("_p", F.regexp_instr("_t", quoted)).filter("_p > 0")
