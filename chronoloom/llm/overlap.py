@@ -11,15 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from chronoloom.common import spread, table
+from chronoloom.common import bit_map, in_map, spread, table
 from chronoloom.llm.names import lcs_length
 from chronoloom.llm.words import WordHashes, folded
 
 
-#: Most bits of the map of evaluation buckets that workers hold, 16 MB at any number of rows.
-MAP_BITS = 1 << 27
-
-
 def grams_of(words: list[str], shingle: int, known: WordHashes) -> np.ndarray:
     """32-bit hashes of the runs of ``shingle`` words; a repeat counts as one of its own, so that the set is the multiset."""
     n: dict[str, int] = {}
@@ -56,7 +52,6 @@ def buckets(bands: int, rows: int, only=None, seed: int = 7):
     band = rng.integers(1, 2**63, bands, dtype=np.uint64)
 
     def run(batches):
-        bits = np.frombuffer(only.value, np.uint8) if only is not None else None
         for b in batches:
             grams = b.column("grams")
             flat, ends = grams.flatten().to_numpy(zero_copy_only=False).view(np.uint32), grams.offsets.to_numpy()
@@ -69,29 +64,14 @@ def buckets(bands: int, rows: int, only=None, seed: int = 7):
                 hashes[i] = (low.reshape(bands, rows) * mix).sum(axis=1, dtype=np.uint64) + band
             n, h = np.repeat(b.column("n").to_numpy(zero_copy_only=False), bands), hashes.ravel()
             h ^= h >> np.uint64(29)
-            if bits is not None:
-                at = h % np.uint64(8 * len(bits))
-                there = bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+            if only is not None:
+                there = in_map(only.value, h)
                 n, h = n[there], h[there]
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(h.view(np.int64))], names=["n", "h"])
 
     return run
 
 
-def bucket_map(cells: DataFrame) -> bytes:
-    """One bit for each bucket, in a map of at most ``MAP_BITS``. What it lets through is joined by bucket, so a full map costs time, not rows."""
-    bits = 1 << 18
-    n = cells.count()
-    while bits < min(16 * n, MAP_BITS):
-        bits *= 2
-    at = F.pmod("h", F.lit(bits))
-    rows = cells.select(F.floor(at / 32_768).alias("b"), (at % 32_768).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect()
-    out = bytearray(bits // 8)
-    for r in rows:
-        out[r.b * 4096 : (r.b + 1) * 4096] = r.m
-    return bytes(out)
-
-
 def _jaccard(a: str, b: str) -> Column:
     inter = F.size(F.array_intersect(a, b))
     return inter / (F.size(a) + F.size(b) - inter)
@@ -156,7 +136,7 @@ def cross_split_overlaps(
     # two longs a bucket row; of train only those rows leave the workers whose bucket the evaluation splits may have, too
     cells = lambda side, only=None: spread(texts.filter(side).select("n", "grams")).mapInArrow(buckets(bands, rows, only), "n bigint, h bigint")
     right = table(cells("e"), "buckets")
-    left = cells("t", df.sparkSession.sparkContext.broadcast(bucket_map(right)))
+    left = cells("t", df.sparkSession.sparkContext.broadcast(bit_map(right, "h")))
     met = left.select(F.col("n").alias("a"), "h").join(right.select(F.col("n").alias("b"), "h"), "h").select("a", "b").distinct()
     sure = (
         met.join(texts.select(F.col("n").alias("a"), F.col("grams").alias("ga")), "a")
