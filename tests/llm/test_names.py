@@ -132,3 +132,34 @@ def test_short_form_of_several_names(spark):
     ]
     got = {tuple(r) for r in identity_pairs(name_identities(spark.createDataFrame(e, ENT), spark.createDataFrame([], AL), **KW)).collect()}
     assert got == {("1", "2"), ("3", "4"), ("6", "7")}
+
+
+def test_misspelt_words_stay_off_the_driver(spark, monkeypatch):
+    """30,000 misspelt words are neither fetched nor broadcast; by broadcast or by shuffle the identities are the same."""
+    from pyspark.sql import functions as F
+
+    from chronoloom.common import bounded_side, table
+    from chronoloom.llm import names
+
+    many = spark.range(30_000).select(F.lit("p").alias("kind"), F.concat(F.lit("mis"), "id").alias("w"), F.lit("thimatorvanin").alias("c"))
+    most, fetch = [0], type(many).collect
+
+    def collect(df):
+        got = fetch(df)
+        most[0] = max(most[0], len(got))
+        return got
+
+    e = [("1", "Andre Mis7", "Person", 0), ("2", "Mis29999, Andre", "Person", 0), ("3", "Andre Thimatorvanin", "Person", 0), ("4", "Andre Mis30000", "Person", 0)]
+    found = []
+    for bound in (names.BROADCAST, 50_000):
+        made = table(many, "canonical")
+        with monkeypatch.context() as m:
+            m.setattr(names, "BROADCAST", bound)
+            m.setattr(names, "canonical_words", lambda words, made=made: made)
+            m.setattr(type(made), "collect", collect)
+            got = name_identities(spark.createDataFrame(e, ENT), spark.createDataFrame([], AL), **KW)
+        assert most[0] <= 1000
+        found.append({tuple(r) for r in identity_pairs(got).collect()})
+    assert found == [{("1", "2"), ("1", "3"), ("2", "3")}] * 2
+    hinted = [bounded_side(made, n)._jdf.queryExecution().analyzed().toString() for n in (names.BROADCAST, 30_000)]
+    assert ["broadcast" in x for x in hinted] == [False, True]
